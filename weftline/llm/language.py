@@ -35,7 +35,7 @@ SEGMENT = "struct<start:int,end:int,lang:string,confidence:double,sentences:int>
 FENCE = re.compile(r"^[ \t]*(```|~~~)")
 SKIP = re.compile(r"^\s*(#{1,6}\s|\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b[\]: ]|at \S+\(|\$ |\|)")
 MARK = re.compile(r"^\s*(?:(?:>\s*)+|[-*+]\s+|\d+[.)]\s+)*")
-NOISE = re.compile(r"`[^`\n]*`|\b[a-z]+[A-Z]\w*\b|[^\s`]*[_/\\(){}<>=@#0-9][^\s`]*")
+NOISE = re.compile(r"`[^`\n]*`|\b[a-z]+[A-Z]\w*\b|[^\s`]*[_/\\(){}<>=@#0-9][^\s`]*?(?=[.!?…,;:\"'»”]*(?:\s|$))")
 SENTENCE = re.compile(r"[^.!?…]+[.!?…]+[\"'»”)\]]*")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
