@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, mix, pack, split
+from weftline.llm import language, mix, neardup, pack, split
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.similar_sets(table(spark, d, "chunks"), n=3, threshold=0.7, least=25)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*_alike(spark, d)).toDF("chunk_id_a", "chunk_id_b")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*_alike(spark, d))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
@@ -52,7 +64,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p4_found, p4_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
+    fs = [p1_found, p1_groups, p4_found, p4_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
     return {f.__name__: f for f in fs}
 
 
