@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, mix, neardup, pack, split
+from weftline.llm import language, mix, neardup, neighbours, pack, split
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where((F.col("piece_no") == 0) & (F.col("pieces") > 1)).select("chunk_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    # a row of similarity 0.8 can only be pushed out of a list by rows above 0.8, so the floor changes no answer
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunks"), floor=0.8)).toDF("chunk_id_a", "chunk_id_b")
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "chunks"), asks="id % 100 = 0", beam=256, probes=8).withColumn("sim", F.round("sim", 4))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_documents(table(spark, d, "documents"))
 
@@ -64,7 +73,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_groups, p4_found, p4_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
+    fs = [p1_found, p1_groups, p4_found, p4_pieces, p7_found, p7_neighbours, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
     return {f.__name__: f for f in fs}
 
 
