@@ -15,11 +15,11 @@ from weftline.session import materialize
 
 WIDTH = 384
 #: Vectors that projection and centroids are fitted on, at most about; dimensions of the projected space that graphs are walked in.
-SAMPLE, DIMS = 8192, 64
+SAMPLE, DIMS = 8192, 48
 #: Vectors a shard aims at, most centroids, and most rows or guests that one graph gets before its shard is split.
 SHARD, CENTROIDS, SPLIT = 4096, 1024, 16384
 #: Out-degree of the graph, beam while building, distance relaxation of the pruning.
-DEGREE, BUILD_BEAM, ALPHA = 24, 40, 1.2
+DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.05
 
 
 @dataclass
@@ -66,13 +66,13 @@ def unpack16(blobs: list[bytes], width: int) -> np.ndarray:
     return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def fit_space(sample: np.ndarray, n: int, shard: int = SHARD, split: int = SPLIT) -> Space:
+def fit_space(sample: np.ndarray, n: int, shard: int = SHARD, split: int = SPLIT, dims: int = DIMS) -> Space:
     """Principal axes and k-means centres of a sample. The number of centres follows the number of vectors, so shards keep
     their size up to CENTROIDS of them; what the sample shows to be larger is split."""
     rng = np.random.default_rng(3)
     mean = sample.mean(axis=0)
     _, vectors = np.linalg.eigh(np.cov((sample - mean).T))
-    axes = np.ascontiguousarray(vectors[:, ::-1][:, : min(DIMS, sample.shape[1])]).astype(np.float32)
+    axes = np.ascontiguousarray(vectors[:, ::-1][:, : min(dims, sample.shape[1])]).astype(np.float32)
     low = (sample - mean) @ axes
     k = max(1, min(CENTROIDS, -(-n // shard), len(low)))
     centres = low[rng.choice(len(low), k, replace=False)]
@@ -275,7 +275,7 @@ def place_rows(space, width: int, probes: int):
 
 
 def nearest(
-    chunks: DataFrame, k: int = 5, asks: str = "true", width: int = WIDTH, beam: int = 32, probes: int = 2, floor: float = -1.0, shard: int = SHARD
+    chunks: DataFrame, k: int = 5, asks: str = "true", width: int = WIDTH, beam: int = 24, probes: int = 2, floor: float = -1.0, shard: int = SHARD, dims: int = DIMS
 ) -> DataFrame:
     """(id, nb, sim, rank): the ``k`` most similar other vectors, of similarity ``floor`` at least, of every row for which ``asks`` holds.
 
@@ -300,7 +300,7 @@ def nearest(
             sample = good.limit(SAMPLE).select("id", "embedding").mapInArrow(sample_rows(width), "v binary").toArrow()
         else:
             return spark.createDataFrame([], "id long, nb long, sim double, rank int")
-    space = spark.sparkContext.broadcast(fit_space(unpack16(sample.column("v").to_pylist(), width), n, shard))
+    space = spark.sparkContext.broadcast(fit_space(unpack16(sample.column("v").to_pylist(), width), n, shard, dims=dims))
     # a class of copies asks if one of its members does; its representative stands for it
     ask = F.expr(asks)
     wanted = good.where(ask).select("id") if asks != "true" else None

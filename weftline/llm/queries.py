@@ -40,7 +40,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(table(spark, d, "chunks"), asks="id % 100 = 0", beam=256, probes=8).withColumn("sim", F.round("sim", 4))
+    return neighbours.nearest(table(spark, d, "chunks"), asks="id % 100 = 0", beam=256, probes=8, dims=96).withColumn("sim", F.round("sim", 4))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
