@@ -117,10 +117,12 @@ Try       <- "try" @Block NL? ("catch" @CatchParam? @Block (NL? "finally" @Block
 CatchParam <- Target Ann?
 Switch    <- "switch" @Seq @Cases
 Cases     <- NL* (("case" Seq / "default") ":" Item*)*
-Import    <- "import" (STR / "type"? ((Name ("," (@Names / "*" "as" Name))? / @Names / "*" "as" Name) "from" STR)) End / TsImport
-Names     <- ("type"? (Key / STR) ("as" (Key / STR))? ("," "type"? (Key / STR) ("as" (Key / STR))?)* ","?)?
+Import    <- "import" (STR / TsType? ((Name ("," (@Names / "*" "as" Name))? / @Names / "*" "as" Name) "from" STR)) End / TsImport
+Names     <- (Named ("," Named)* ","?)?
+Named     <- TsType &(Key / STR) Rename / Rename
+Rename    <- (Key / STR) ("as" (Key / STR))?
 Export    <- "export" ("default" ("async"? "function" "*"? Name? FuncTail / Decos Class / Assign End) / "*" ("as" Key)? "from" STR End
-           / "type"? @Names ("from" STR)? End / Var End / "async"? "function" "*"? Name FuncTail / Decos Class / TsStmt / TsExport)
+           / TsType? @Names ("from" STR)? End / Var End / "async"? "function" "*"? Name FuncTail / Decos Class / TsStmt / TsExport)
 Seq       <- Assign ("," Assign)*
 Assign    <- Arrow / "yield" ("*"? Assign)? / Cond (ASSIGN Assign)?
 Arrow     <- "async"? (Name / TypeParams? @Params Ret?) "=>" (@Block / Assign)
@@ -149,6 +151,7 @@ ClassItem <- Decos Mods (Prop TsOpt? TypeParams? @Params Ret? (@Block / TsNoBody
 Mods      <- (("static" / "async" / "get" / "set" / "*" / TsMod) &(Prop / "*"))*
 """
 JS_ONLY = r"""
+TsType <- NEVER
 Ann <- NEVER
 Ret <- NEVER
 TypeParams <- NEVER
@@ -166,6 +169,7 @@ TsIndex <- NEVER
 Cast <- NEVER
 """
 TS_ONLY = r"""
+TsType    <- "type"
 Ann       <- ":" Type
 Ret       <- ":" ("asserts"? (Name / "this") "is" Type / "asserts" (Name / "this") / Type)
 TypeParams <- "<" TypeParam ("," TypeParam)* ","? ">"
@@ -818,8 +822,8 @@ def language(name: str) -> Language:
         ops = "; , . : = :: -> ... ? + - * / % & | ^ << < > <= == != && || ! ~ ++ -- += -= *= /= %= &= |= ^= <<= @"
         return Brace(
             name, JAVA_WORDS, JAVA_SOFT, ops, JAVA,
-            {"(": ["Args", "Params", "Paren", "AnnotArgs", "Cond", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType"], "[": ["Empty", "Index"], "{": ["Block", "ClassBody", "EnumBody", "ArrayInit", "AnnotList", "Cases"]}
-            | {"(": ["Args", "Params", "Paren", "AnnotArgs", "Cond", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType"]} | {},
+            {"(": ["Args", "Params", "Paren", "AnnotArgs", "Cond", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType", "PrimCast", "Patterns"], "[": ["Empty", "Index"],
+             "{": ["Block", "ClassBody", "EnumBody", "ArrayInit", "AnnotList", "Cases"]},
             listed={"Block": "Block"}, strings=rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{DQ}|{SQ}', word=r"[^\W\d][\w$]*|\$[\w$]*", opexp=r"<<=|\.\.\.|::|->|&&|\|\||\+\+|--|<<|[-+*/%&|^=!<]=", glue="else while",
             ASSIGN="= += -= *= /= %= &= |= ^= <<=", BINOP="+ - * / % & | ^ << < <= == != && ||",
         )

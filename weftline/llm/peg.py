@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 EOF, ERR, NL = "\x03", "\x00", "N"
 #: Placeholders of groups: the kind of bracket and a bit for each role.
-BASES = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
+BASES = {"(": 0xF0000, "[": 0xF4000, "{": 0xF8000}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
 MOST_UNITS = 200_000
