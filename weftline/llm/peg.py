@@ -22,7 +22,13 @@ EOF, ERR, NL = "\x03", "\x00", "N"
 BASES = {"(": 0xF0000, "[": 0xF4000, "{": 0xF8000}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
-MOST_UNITS = 200_000
+MOST_UNITS = 100_000
+#: Longer units are parsed each time instead of being kept.
+LONGEST = 512
+#: A long run of list items of one shape parses as three of them do.
+RUN = re.compile(r"(,(?:.:)?.)\1{3,}", re.S)
+#: Roles that take any tokens: they say nothing of a group.
+TRIVIAL = {"Any", "Tree", "Tokens"}
 
 _GRAMMAR = re.compile(r'\s*(?:#[^\n]*|("(?:[^"\\]|\\.)+")|(@\w+)|(\w+)|(<-)|([/*+?&!().]))')
 
@@ -34,9 +40,11 @@ class Units(dict):
         self.make = make
 
     def __missing__(self, unit):
-        if len(self) >= MOST_UNITS:
-            self.clear()
-        self[unit] = out = self.make(unit)
+        out = self.make(unit)
+        if len(unit) <= LONGEST:
+            if len(self) >= MOST_UNITS:
+                self.clear()
+            self[unit] = out
         return out
 
 
@@ -214,14 +222,14 @@ class Grammar:
     def match(self, rule: str, unit: str) -> bool:
         return self.reach(rule, unit) is None
 
-    def reach(self, rule: str, unit: str) -> int | None:
+    def reach(self, rule: str, unit: str, memo: dict | None = None) -> int | None:
         """None where the rule consumes the unit; otherwise the furthest position that it failed at."""
         self.furthest = 0
         s = unit + EOF
-        end = self.table[rule](s, 0, {})
+        end = self.table[rule](s, 0, {} if memo is None else memo)
         return None if end == len(unit) else max(self.furthest, end)
 
-    def accepts(self, rule: str, unit: str) -> bool:
+    def accepts(self, rule: str, unit: str, memo: dict | None = None) -> bool:
         """Like match; a list of statements is accepted if each of its parts is, and else parsed as a whole."""
         listed = self.listed.get(rule)
         if listed and ERR not in unit:
@@ -229,7 +237,7 @@ class Grammar:
             items, last = self.whole[listed], self.whole[rule]
             if all(items[p] for p in parts[:-2]) and last[parts[-2] if len(parts) > 1 else ""]:
                 return True
-        return ERR not in unit and self.whole[rule][unit]
+        return ERR not in unit and self.reach(rule, unit, memo) is None
 
     def mask(self, group: str) -> str:
         """The placeholder of an innermost group."""
@@ -237,8 +245,12 @@ class Grammar:
         if group[-1] != CLOSE[opener] or ERR in group:
             return ERR
         inner = group[1:-1]
+        if len(inner) > 32:
+            inner = RUN.sub(r"\1\1\1", inner)
         flat = inner.replace(NL, "")
-        bits = sum(1 << k for k, r in enumerate(self.roles[opener]) if self.accepts(r, inner if r in self.lined else flat))
+        lined: dict = {}
+        table: dict = {} if flat != inner else lined  # the readings of one string share its table
+        bits = sum(1 << k for k, r in enumerate(self.roles[opener]) if (self.accepts(r, inner, lined) if r in self.lined else self.accepts(r, flat, table)))
         return chr(BASES[opener] + bits)
 
     def flatten(self, kinds: str) -> str:
@@ -275,6 +287,10 @@ class Grammar:
             return len(kinds)
         return self._descend([rule], *units[0], len(kinds))
 
+    def dead(self, opener: str, holder: str) -> bool:
+        bits = ord(holder) - BASES[opener]
+        return not any(bits >> k & 1 for k, r in enumerate(self.roles[opener]) if r not in TRIVIAL)
+
     def _descend(self, rules: list[str], chars: list, where: list, after: int) -> int:
         best, spot = -1, after
         for r in rules:
@@ -288,8 +304,8 @@ class Grammar:
                 w = where[keep[far]]
                 if isinstance(w, tuple):
                     opener_at, opener, inner, inner_where = w
-                    failing = [x for x in self.roles[opener] if not self.accepts(x, "".join(c for c in inner if x in self.lined or c != NL))]
-                    at = max(opener_at, self._descend(failing, inner, inner_where, opener_at + 1)) if ord(chars[keep[far]]) == BASES[opener] else opener_at
+                    failing = [x for x in self.roles[opener] if x not in TRIVIAL and not self.accepts(x, "".join(c for c in inner if x in self.lined or c != NL))]
+                    at = max(opener_at, self._descend(failing, inner, inner_where, opener_at + 1)) if self.dead(opener, chars[keep[far]]) else opener_at
                 else:
                     at = w
             if at > best:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, mix, neardup, neighbours, pack, split
+from weftline.llm import docpairs, language, mix, neardup, neighbours, pack, split, validity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,26 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(*_alike(spark, d))
 
 
+def p2_judged(spark: SparkSession, d: str) -> DataFrame:
+    return validity.judge_files(table(spark, d, "files"), table(spark, d, "file_sources"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_judged(spark, d).where("not valid").select("file_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(p2_judged(spark, d))
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, d, "chunks"), table(spark, d, "files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).select("chunk_id", "func_name")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
@@ -73,7 +93,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_groups, p4_found, p4_pieces, p7_found, p7_neighbours, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
+    fs = [p1_found, p1_groups, p2_found, p2_judged, p2_rates, p3_found, p3_pairs, p4_found, p4_pieces, p7_found, p7_neighbours, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
     return {f.__name__: f for f in fs}
 
 
