@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import docpairs, handwritten, language, mix, neardup, neighbours, pack, split, validity
+from weftline.llm import credentials, docpairs, handwritten, language, mix, neardup, neighbours, pack, split, validity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where((F.col("piece_no") == 0) & (F.col("pieces") > 1)).select("chunk_id")
 
 
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact(table(spark, d, "chunks")).select("chunk_id", "content", "skeleton_content", (F.size("content_places") + F.size("skeleton_places")).alias("places"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found_lines(credentials.redact(table(spark, d, "chunks"), only_places=True))
+
+
 def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "files"), table(spark, d, "file_sources"), table(spark, d, "upstream_files"))
 
@@ -101,7 +109,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_groups, p2_found, p2_judged, p2_rates, p3_found, p3_pairs, p4_found, p4_pieces, p6_found, p6_reasons, p7_found, p7_neighbours, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
+    fs = [p1_found, p1_groups, p2_found, p2_judged, p2_rates, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_reasons, p7_found, p7_neighbours, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_labels, p10_segments]
     return {f.__name__: f for f in fs}
 
 
