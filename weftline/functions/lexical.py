@@ -14,7 +14,11 @@ def tokens(text: Column) -> Column:
 
 def occurrences(text: Column, terms: list[str]) -> list[Column]:
     t = tokens(text)
-    return [F.size(F.filter(t, lambda x, w=w: x == w)) for w in terms]
+
+    def count(word: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == word))
+
+    return [count(w) for w in terms]
 
 
 def cover_score(text: Column, terms: list[str]) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.config import Settings
 from weftline.functions.text import generic_skeleton, lines
@@ -127,7 +128,7 @@ def chunk_files(sources: DataFrame, settings: Settings = Settings()) -> DataFram
     return s.unionByName(line_chunks(rest, settings), allowMissingColumns=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_skeleton_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda t: None if t is None else python_skeleton(t))
 

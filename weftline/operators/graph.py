@@ -92,7 +92,11 @@ def pattern_symbols(chunks: DataFrame) -> DataFrame:
     """(chunk_id, kind, name): calls, functions, classes and bases by pattern, for any language. Pure expressions."""
     c = F.col("content")
     kinds = {"call": T.called_names(c), "function": T.defined_names(c), "class": T.class_names(c), "base": T.base_names(c)}
-    rows = F.flatten(F.array(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k, v in kinds.items()]))
+
+    def tagged(kind: str, names):
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    rows = F.flatten(F.array(*[tagged(k, v) for k, v in kinds.items()]))
     return chunks.where(c.isNotNull()).select(F.col("id").alias("chunk_id"), F.explode(rows).alias("s")).select("chunk_id", "s.kind", "s.name")
 
 
