@@ -24,11 +24,11 @@ SHORT_TERMS = r"pass|pwd|pw|pin"
 NAME = rf"(?:(?i:{LONG_TERMS})|(?<![A-Za-z])(?i:{SHORT_TERMS})|(?<=[a-z])(?:Pass|Pwd|Pw))"
 #: A name, perhaps quoted or with a type, an assignment, a quoted value.
 QUOTED = re.compile(rf"""{NAME}(?P<q1>\\?["'`]?)\]?\)?[ \t]*(?:[?!]?:[ \t]*[&\w\[\]<>'|. ]{{1,30}}?)?[ \t]*(?:=>|:=|===?|=|:)[ \t]*(?:[A-Za-z_.:]+\()?[rRbBuUfF]{{0,2}}(?P<q>\\?["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
-PAIRED = re.compile(rf"""["'`][\w.-]*{NAME}["'`][ \t]*,[ \t]*(?P<q>["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
+PAIRED = re.compile(rf"""["'`][\w.-]{{0,60}}{NAME}["'`][ \t]*,[ \t]*(?P<q>["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
 SETTER = re.compile(rf"""\b(?:set|with|add)\w*{NAME}\([ \t]*(?P<q>["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
 XML = re.compile(rf"""<[\w.:-]*{NAME}(?:\s[^<>\n]*)?>(?P<v>[^<>\n]{{4,}})</""")
 BARE = re.compile(rf"""^[ \t]*(?:export[ \t]+|-[ \t]+)?[\w.-]*{NAME}[ \t]*[:=][ \t]*(?P<v>[^\s"'`][^\s]*)[ \t]*(?:[#;][^\n]*)?$""", re.M)
-FLAG = re.compile(rf"""--[\w-]*{NAME}(?:=|[ \t]+)(?P<v>[^\s"'`]{{4,}})""")
+FLAG = re.compile(rf"""(?<!-)--[\w-]{{0,40}}{NAME}(?:=|[ \t]+)(?P<v>[^\s"'`]{{4,}})""")
 SCHEME = re.compile(r"""\b(?P<s>Bearer|Basic|Token|ApiKey|Digest)[ \t]+(?P<v>[A-Za-z0-9+/._~=!@#$%^&*-]{8,})""")
 ADDRESS = re.compile(r"""\b[a-zA-Z][a-zA-Z0-9+.-]{1,30}://[^\s:/@"'`<>]{0,80}:(?P<v>[^\s@/"'`]{3,120})@""")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\[nr]|[\s\"'+]|[A-Za-z0-9+/=:,. -])*?)(?=-----END|\Z|[\"'`])")
@@ -126,8 +126,9 @@ def text_of(b: bytes) -> str | None:
 
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_-])|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 HEX = re.compile(r"(?<![0-9a-zA-Z])(?:0x)?(?P<h>(?:[0-9a-fA-F]{2}){12,})(?![0-9a-zA-Z])")
-PERCENT = re.compile(r"[\w.~!*'()+,;:@/?&=-]*(?:%[0-9a-fA-F]{2}[\w.~!*'()+,;:@/?&=-]*){2,}")
-ESCAPED = re.compile(r"(?:[\w .:=,;/+@#!{}-]*\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}))+[\w .:=,;/+@#!{}-]*")
+PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2}[\w.~!*'()+,;:@/?&=-]{0,256}){2,}")
+ESCAPED = re.compile(r"(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]{1,6}\})[\w .:=,;/+@#!-]{0,256})+")
+BEFORE = re.compile(r"[\w.~:=,;/+@#!-]{0,64}\Z")
 
 
 def _unescape(s: str) -> str:
@@ -147,11 +148,11 @@ def layers(text: str) -> Iterator[tuple[int, int, bytes | str]]:
             pass
     for m in HEX.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m.group("h"))
-    for m in PERCENT.finditer(text):
-        yield m.start(), m.end(), unquote_to_bytes(m.group())
-    for m in ESCAPED.finditer(text):
-        if "\\" in m.group():
-            yield m.start(), m.end(), _unescape(m.group())
+    for pattern, opened in ((PERCENT, unquote_to_bytes), (ESCAPED, _unescape)):
+        for m in pattern.finditer(text):
+            a = max(0, m.start() - 64)  # what stands unencoded just before belongs to the run
+            a += BEFORE.search(text[a : m.start()]).start()
+            yield a, m.end(), opened(text[a : m.end()])
 
 
 def find(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
@@ -262,9 +263,9 @@ def redact(chunks: DataFrame, only_places: bool = False) -> DataFrame:
 
     Needs id, content, skeleton_content. A null field stays null and has no places; an empty one stays empty; repeated rows are masked
     each for itself; an empty table gives no rows. A credential belongs to the line on which its value begins. Texts are scanned whole; nothing is
-    shuffled unless the table has fewer splits than there are cores.
+    shuffled unless the table has fewer splits than there are cores. Rows without an id are left out.
     """
-    return spread(chunks.select("id", *FIELDS)).mapInPandas(scan_rows(only_places), ROWS)
+    return spread(chunks.where("id is not null").select("id", *FIELDS)).mapInPandas(scan_rows(only_places), ROWS)
 
 
 def found_lines(redacted: DataFrame) -> DataFrame:

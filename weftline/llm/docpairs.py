@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -276,6 +277,7 @@ PAIRS = "chunk_id long, func_name string, language string, description string, d
 
 
 def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sys.setrecursionlimit(20_000)
     for pdf in batches:
         rows = []
         for cid, text, lang in zip(pdf["id"], pdf["content"], pdf["lang"]):
@@ -284,8 +286,11 @@ def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             ex = extractor(lang)
             clean = ex.lang.clean(text)
-            for name, says, d0, d1, c0, c1 in ex.pairs(text):
-                rows.append((cid, name, lang, says, d0, d1, c0, c1, clean[c0:c1]))
+            try:
+                for name, says, d0, d1, c0, c1 in ex.pairs(text):
+                    rows.append((cid, name, lang, says, d0, d1, c0, c1, clean[c0:c1]))
+            except RecursionError:  # brackets nested beyond any source file
+                continue
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
 
@@ -302,14 +307,14 @@ def documented_functions(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
     Needs id, file_id, content, chunk_type, language of ``chunks`` and id, path, language of ``files``. A chunk's language is that of
     its file's suffix, else its own label, else its file's, else it is guessed from its opening words. Null and empty contents give no rows, a
-    null chunk_type is no block, repeated rows give repeated pairs, empty tables none. Offsets count characters of the
+    null chunk_type is no block, rows without an id are left out, repeated rows give repeated pairs, empty tables none. Offsets count characters of the
     content without byte-order mark and with LF line ends.
 
     Plan: only paths and labels of files join the chunks (a hash join built on the small side, split by AQE where one file holds
     many chunks); the grammars run in one Python stage without a further shuffle.
     """
     f = files.select(F.col("id").alias("file_id"), F.col("path"), F.col("language").alias("file_language")).hint("shuffle_hash")
-    c = chunks.where((F.col("chunk_type").isNull() | (F.col("chunk_type") != "block")) & (F.length("content") > 0)).select("id", "file_id", "content", F.col("language").alias("own"))
+    c = chunks.where((F.col("chunk_type").isNull() | (F.col("chunk_type") != "block")) & (F.length("content") > 0) & F.col("id").isNotNull()).select("id", "file_id", "content", F.col("language").alias("own"))
     ours = sorted(set(SUFFIXES.values()))
     own, other = F.lower(F.trim("own")), F.lower(F.trim("file_language"))
     lang = F.coalesce(suffix_language(F.col("path"), F.lit(None).cast("string")), F.when(own.isin(*ours), own), F.when(other.isin(*ours), other))

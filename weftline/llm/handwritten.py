@@ -97,7 +97,7 @@ def upstream_copies(traits: DataFrame, upstream: DataFrame) -> DataFrame:
     rare = index.groupBy("h").agg(F.collect_set("item_id").alias("items"), F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = materialize(rare.select("h", F.explode("items").alias("item_id")), "upstream-lines")
     size = rare.groupBy("item_id").agg(F.count("*").alias("rare_lines"))
-    hits = traits.select("file_id", "n_lines", F.explode("lines").alias("h")).join(rare, "h").groupBy("file_id", "n_lines", "item_id").agg(F.count("*").alias("shared"))
+    hits = traits.select("file_id", "n_lines", F.explode("lines").alias("h")).join(rare, "h").groupBy("file_id", "n_lines", "item_id").agg(F.count_distinct("h").alias("shared"))
     hits = hits.join(size, "item_id").select("file_id", "item_id", (F.col("shared") / F.col("rare_lines")).alias("of_item"), (F.col("shared") / F.col("n_lines")).alias("of_file"))
     return hits.where((F.col("of_item") >= CONTAINED) & (F.col("of_file") >= CONTAINED)).groupBy("file_id").agg(F.max_by(F.struct("item_id", "of_item", "of_file"), F.struct("of_item", -F.col("item_id"))).alias("x")).select("file_id", "x.*")
 
@@ -109,22 +109,22 @@ def not_handwritten(files: DataFrame, sources: DataFrame, upstream: DataFrame) -
     Needs id, repository_id, path, language, size_bytes of ``files``, file_id, content of ``sources`` and item_id, content of ``upstream``. Only
     files with the suffix of a language we know, or without suffix, are judged; configuration files never come out. A file whose content is
     null or missing is judged by its path. Line ends and a byte-order mark change nothing; size_bytes is given as stored, as it may be null
-    or wrong. Empty tables give no rows.
+    or wrong. A file is judged once for each of its rows in ``files``, however often its text comes; rows without an id and empty tables give no rows.
 
     Plan: one Python pass per text writes traits and line hashes; text itself is never shuffled. Paths join by id.
     """
-    text = spread(sources.select("file_id", "content").where(F.length("content") > 0))
+    text = spread(sources.select("file_id", "content").where((F.length("content") > 0) & F.col("file_id").isNotNull()))
     traits = materialize(text.mapInPandas(trait_rows, TRAITS), "file-traits")
     copies = upstream_copies(traits, upstream)
     parts = F.split(F.regexp_replace("path", r"[^/]*$", ""), "/")
     lang = suffix_language(F.col("path"), F.col("language"))
     base = F.regexp_extract("path", r"([^/]+)$", 1)
-    f = files.select("id", "repository_id", "path", "size_bytes", lang.alias("lang"), parts.alias("dirs"), base.alias("base"))
+    f = files.select("id", "repository_id", "path", "size_bytes", lang.alias("lang"), parts.alias("dirs"), base.alias("base")).where("id is not null")
     f = f.where(F.col("lang").isNotNull() | ~F.col("base").contains("."))
     script = F.col("lang").isin("javascript", "typescript")
     # a directory under node_modules and the like may itself be called gen or dist: the outer one decides
     has = lambda names: F.exists("dirs", lambda d: F.lower(d).isin(*names))
-    j = f.join(traits.drop("lines", "n_lines"), f["id"] == traits["file_id"], "left").drop("file_id").join(copies, F.col("id") == F.col("file_id"), "left")
+    j = f.join(traits.drop("lines", "n_lines").dropDuplicates(["file_id"]).alias("t"), F.col("id") == F.col("t.file_id"), "left").drop("file_id").join(copies, F.col("id") == F.col("file_id"), "left")
     reason = (
         F.when(F.coalesce("header", F.lit(False)) | F.col("base").rlike(GENERATED_NAMES), "generated")
         .when(has(VENDOR_DIRS) | F.col("item_id").isNotNull(), "vendored")

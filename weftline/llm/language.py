@@ -35,8 +35,8 @@ SEGMENT = "struct<start:int,end:int,lang:string,confidence:double,sentences:int>
 FENCE = re.compile(r"^[ \t]*(```|~~~)")
 SKIP = re.compile(r"^\s*(#{1,6}\s|\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b[\]: ]|at \S+\(|\$ |\|)")
 MARK = re.compile(r"^\s*(?:(?:>\s*)+|[-*+]\s+|\d+[.)]\s+)*")
-NOISE = re.compile(r"`[^`\n]*`|\b[a-z]+[A-Z]\w*\b|[^\s`]*[_/\\(){}<>=@#0-9][^\s`]*?(?=[.!?…,;:\"'»”]*(?:\s|$))")
-SENTENCE = re.compile(r"[^.!?…]+[.!?…]+[\"'»”)\]]*")
+NOISE = re.compile(r"`[^`\n]*`|\b[a-z]+[A-Z]\w*\b|(?<![^\s`])[^\s`]*[_/\\(){}<>=@#0-9][^\s`]*?(?=[.!?…,;:\"'»”]*(?:\s|$))")
+STOP = re.compile(r"[.!?…]+[\"'»”)\]]*")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -84,11 +84,13 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
             continue
         start = block[0][0]
         joined = NOISE.sub(blank, " ".join(x for _, x in block))
-        for m in SENTENCE.finditer(joined):
-            s = m.group()
+        at_word = 0
+        for m in STOP.finditer(joined):
+            s = joined[at_word : m.end()]
             if len(WORD.findall(s)) >= 2:
                 lead = len(s) - len(s.lstrip())
-                out.append((start + m.start() + lead, start + m.end(), lower(s.strip())))
+                out.append((start + at_word + lead, start + m.end(), lower(s.strip())))
+            at_word = m.end()
     return out
 
 
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> np.ndarray:
     The sample is taken by hash of the id, with a rank that Spark prunes to ``per_language`` rows a task before the shuffle. Counts
     are summed on the executors; at most BUCKETS x 9 of them reach the driver."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id", normal_label(F.col("lang")).alias("label"), F.xxhash64("doc_id").alias("h")).where("label is not null")
+    ids = docs.where("doc_id is not null").select("doc_id", normal_label(F.col("lang")).alias("label"), F.xxhash64("doc_id").alias("h")).where("label is not null")
     top = ids.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
     sample = materialize(docs.join(F.broadcast(top.select("doc_id", "label").distinct()), "doc_id").select("text", "label"), "lang-sample").repartition(spark.sparkContext.defaultParallelism)
     logp = None
@@ -219,11 +221,12 @@ def label_documents(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     ``label`` is the language that the document's label names, or null. ``segments`` are its runs of sentences in one language with
     character offsets and confidence. ``languages`` are those with two full sentences or more, ``main_lang`` the one of them
     with the most sentences (on a tie the first in LANGS' alphabetical order); both are empty or null for null or empty texts and for texts without
-    prose. Copies are labelled each for itself; an empty table gives no rows and is not fitted on.
+    prose. Copies are labelled each for itself; an empty table gives no rows and is not fitted on, and rows without an id
+    are left out.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, per_language))  # BUCKETS x 9 floats: 1.2 MB
-    rows = spread(docs.select("doc_id", "text", normal_label(F.col("lang")).alias("label")))
+    rows = spread(docs.where("doc_id is not null").select("doc_id", "text", normal_label(F.col("lang")).alias("label")))
     out = rows.mapInPandas(label_rows(model), f"doc_id long, label string, segments array<{SEGMENT}>")
     names = F.array_distinct(F.transform("segments", lambda s: s.lang))
     tally = F.transform(

@@ -32,7 +32,7 @@ def mix_sources(
     that cannot fill its part gives all it may, and the report shows the share really reached. Whole epochs over a source come
     first; what is left of its budget is drawn without replacement by Efraimidis-Spirakis keys, weighted by quality, up to the
     document that would pass the budget; that one is passed over and the draw goes on behind it among documents that still
-    fit, until less than ``tolerance`` of the budget is open or none fits. Documents with a null or unlisted source, and those of no tokens, are not used.
+    fit, until less than ``tolerance`` of the budget is open or none fits. Documents without an id, with a null or unlisted source, and those of no tokens, are not used.
     Repeated rows of one id are drawn together and counted once each. A source without documents is reported with share 0 and limits nothing.
 
     Plan: one pass over the text writes id, source, size and weight; budgets come from one sum a source; the prefix sum runs over
@@ -40,7 +40,7 @@ def mix_sources(
     task ever sorts a whole source.
     """
     t = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats"))
-    rows = spread(docs.select("doc_id", "text", source_name(F.col("source")).alias("source")))
+    rows = spread(docs.where("doc_id is not null").select("doc_id", "text", source_name(F.col("source")).alias("source")))
     rows = rows.mapInPandas(size_rows(tokenizer, ["doc_id", "source"], False, True), "doc_id long, source string, n_tokens long, weight double")
     sized = materialize(rows.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()), "mix-sizes")
     size = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("documents"))

@@ -148,22 +148,22 @@ def similar_sets(
     links: (a, b, similarity), a < b, every pair of representatives of at least ``threshold`` (exact Jaccard similarity of the
     sets) that meets in a band.
 
-    Null contents and texts of fewer than ``least`` tokens do not count; repeated rows are copies; ids must be unique. Further
+    Null contents and texts of fewer than ``least`` tokens do not count; a row that comes again under its id counts once, and rows without an id do not. Further
     columns are ignored. An empty table gives two empty tables.
 
     Plan: one Python pass writes sketches. A bucket of two needs no join, as its least and greatest id are the pair; only buckets of
     three and more are joined back to their members. Buckets above ``bucket`` members never emit their pairs: see hot_pairs.
     """
-    cols = spread(texts.select("id", "content").where(F.col("content").isNotNull()))
+    cols = spread(texts.select("id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull()))
     sketches = materialize(cols.mapInPandas(sketch_rows(n, least, bands, rows), SKETCH), "neardup-sketch")
     keys = sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(keys.where("copies > 1"), "neardup-copies")
-    members = sketches.select("id", "set_key").join(copies.select("set_key", "rep"), "set_key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    members = sketches.select("id", "set_key").join(copies.select("set_key", "rep"), "set_key", "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct()
     members = materialize(members, "neardup-members")
     extra = members.where("id <> rep").select("id")
     flat = sketches.select("id", F.explode("bands").alias("h")).join(extra, "id", "left_anti")
     sizes = materialize(flat.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "neardup-buckets")
-    twos = sizes.where("k = 2").select("a", "b")
+    twos = sizes.where("k = 2 and a < b").select("a", "b")
     more = sizes.where("k > 2").select("h", "k")
     inside = materialize(flat.join(more, "h").select("h", "id", "k"), "neardup-inside")
     few = inside.where(F.col("k") <= bucket)
@@ -176,7 +176,7 @@ def similar_sets(
     side = sketches.select("id", "shingles", "signature")
     both = pairs.join(side.toDF("a", "sa", "ga"), "a").join(side.toDF("b", "sb", "gb"), "b")
     links = both.mapInPandas(verify_rows(threshold), "a long, b long, similarity double")
-    return members, materialize(links, "neardup-links")
+    return members, materialize(links.dropDuplicates(["a", "b"]), "neardup-links")
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def search_shard(space, width: int, beam: int, keep: int, floor: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q": np.zeros(0, np.int64), "nb": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        pdf = pdf.sort_values(["id", "indexed"], kind="stable")
+        pdf = pdf.sort_values(["id", "indexed"], kind="stable").drop_duplicates(["id", "indexed"])
         own, asks = pdf["indexed"].to_numpy(bool), np.flatnonzero(pdf["asks"].to_numpy(bool))
         ids = pdf["id"].to_numpy(np.int64)
         if not own.any() or not len(asks):
@@ -279,7 +279,7 @@ def nearest(
 ) -> DataFrame:
     """(id, nb, sim, rank): the ``k`` most similar other vectors, of similarity ``floor`` at least, of every row for which ``asks`` holds.
 
-    Needs id (unique) and embedding. Usable embeddings have ``width`` finite numbers, not all zero; other rows (null, narrower, with
+    Needs id and embedding; a row that comes again counts once, rows without an id do not. Usable embeddings have ``width`` finite numbers, not all zero; other rows (null, narrower, with
     nulls or NaN) are neither indexed nor answered. Equal directions are one point: its members come out as each other's
     neighbours of similarity 1, on equal similarity by id, and are indexed once, so copies of one vector load no shard. A table with fewer
     than k + 1 usable rows gives shorter lists; an empty table gives no rows.
@@ -288,8 +288,8 @@ def nearest(
     16-bit vectors to shards, one graph a shard. A shard that the sample shows to be too large is split, and so are its guests.
     """
     spark = chunks.sparkSession
-    good = chunks.where(F.expr(usable(width)))
-    keys = materialize(good.select("id", "embedding").mapInArrow(key_rows(width), "id long, key binary"), "nn-keys")
+    good = chunks.where(F.expr(usable(width)) & F.col("id").isNotNull())
+    keys = materialize(good.select("id", "embedding").mapInArrow(key_rows(width), "id long, key binary").distinct(), "nn-keys")
     n = keys.count()
     many = max(1, -(-n // SAMPLE))
     sample = good.where(F.expr(f"pmod(xxhash64(id), {many}) = 0")).select("id", "embedding").mapInArrow(sample_rows(width), "v binary").toArrow()

@@ -31,7 +31,7 @@ def p2_judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_judged(spark, d).where("not valid").select("file_id")
+    return p2_judged(spark, d).where("not valid").select("file_id").distinct()
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_reasons(spark, d).select("file_id")
+    return p6_reasons(spark, d).select("file_id").distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

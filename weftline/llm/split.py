@@ -80,10 +80,10 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 
     Needs id, content, start_line and chunk_type. Concatenating the pieces without their overlap gives the content back.
     A null start_line gives null lines; a null content is never oversized; repeated rows are split each for itself; chunks
-    within the limit and empty tables give no rows. Only oversized rows leave the JVM; nothing is shuffled unless the table has
+    within the limit, rows without an id and empty tables give no rows. Only oversized rows leave the JVM; nothing is shuffled unless the table has
     fewer splits than there are cores.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
-    big = chunks.select("id", "content", "start_line", "chunk_type").where(F.char_length("content") > limit)
+    big = chunks.select("id", "content", "start_line", "chunk_type").where((F.char_length("content") > limit) & F.col("id").isNotNull())
     return spread(big).mapInPandas(pieces_of(limit, overlap), PIECES)

@@ -28,21 +28,24 @@ def cause(text: str, at: int, lang: str) -> str:
 
 
 def judge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(100_000)  # deeply nested source nests rules as deep
+    sys.setrecursionlimit(20_000)  # deeply nested source nests rules as deep
     for pdf in batches:
         valid, why, char, line = [], [], [], []
         for text, lang in zip(pdf["content"], pdf["lang"]):
             judge = language(lang)
-            ok = judge.valid(text)
+            try:
+                ok = judge.valid(text)
+            except RecursionError:
+                ok = None
             valid.append(ok)
-            if ok:
+            if ok is not False:
                 why.append(None), char.append(None), line.append(None)
             else:
                 clean = judge.clean(text)
                 at = judge.failure(text)
                 why.append(cause(clean, at, lang)), char.append(at), line.append(clean.count("\n", 0, at) + 1)
         yield pd.DataFrame(
-            {"file_id": pdf["id"], "repository_id": pdf["repository_id"], "language": pdf["lang"], "valid": valid, "cause": pd.array(why, dtype="string"), "fail_char": pd.array(char, dtype="Int32"), "fail_line": pd.array(line, dtype="Int32")}
+            {"file_id": pdf["id"], "repository_id": pdf["repository_id"], "language": pdf["lang"], "valid": pd.array(valid, dtype="boolean"), "cause": pd.array(why, dtype="string"), "fail_char": pd.array(char, dtype="Int32"), "fail_line": pd.array(line, dtype="Int32")}
         )
 
 
@@ -52,7 +55,7 @@ def judge_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     Needs id, repository_id, path, language of ``files`` and file_id, content of ``sources``. A file's language is that of its suffix in any
     case; without a suffix, that of its label; other files and null contents are not judged and give no row. An empty content
     is a valid file but for Java-like rules of Go, which wants a package. fail_char is the furthest failure in the text without byte-order
-    mark and with LF line ends. Repeated rows are judged each; empty tables give no rows.
+    mark and with LF line ends. A text nested beyond what can be parsed has a null verdict. Repeated rows are judged each; empty tables give no rows.
 
     Plan: files are cut to their id and language before the join, which hashes that small side; each text is parsed once, where the
     join leaves it, as a whole.
@@ -65,7 +68,7 @@ def judge_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 def rates(judged: DataFrame) -> DataFrame:
     """Files, invalid files and their rate per repository and language."""
-    bad = F.sum((~F.col("valid")).cast("long"))
+    bad = F.sum(F.coalesce(~F.col("valid"), F.lit(False)).cast("long"))
     return judged.groupBy("repository_id", "language").agg(
         F.count("*").alias("files"),
         bad.alias("invalid"),
