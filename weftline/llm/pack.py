@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import TOKENIZER, size_rows
-from weftline.session import spread
+from weftline.session import materialize, spread
 
 CAPACITY = 2048
 #: Neighbours on the curve that are packed together, best fit, largest first.
@@ -78,12 +78,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
 
     Needs doc_id and text; other columns are ignored. One row for each piece; a text of up to ``capacity`` tokens is one
     piece, a longer one is cut after every ``capacity`` tokens. Null and empty texts are pieces of no tokens and share
-    containers with others. Repeated doc_ids are packed once for each row. An empty table gives no rows.
+    containers with others. Repeated doc_ids are packed once for each row; rows without one are left out. An empty table gives no rows.
 
     Plan: tokens and curve key in one pass over the text; only ids, sizes and keys are range-sorted by (key, id), so copies of
     one text spread over tasks; each task packs its stretch of the curve with a bounded set of open containers.
     """
-    sized = spread(docs.select("doc_id", "text")).mapInPandas(size_rows(tokenizer, ["doc_id"], True, False), "doc_id long, n_tokens long, curve_key long")
+    sized = spread(docs.where("doc_id is not null").select("doc_id", "text")).mapInPandas(size_rows(tokenizer, ["doc_id"], True, False), "doc_id long, n_tokens long, curve_key long")
+    sized = materialize(sized, "pack-sizes")  # the range sort samples its input: else every text is tokenized twice
     n = F.col("n_tokens")
     pieces = sized.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / capacity)).cast("int")))).select(
         "doc_id",
