@@ -19,7 +19,7 @@ JAVA_WORDS = "abstract assert boolean break byte case catch char class continue
 JAVA_SOFT = "record sealed permits yield non var when"
 GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
 RUST_WORDS = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while"
-RUST_SOFT = "union auto macro_rules"
+RUST_SOFT = "union auto macro_rules raw default"
 
 PYTHON = r"""
 Line      <- Simple / Header Simple?
@@ -193,7 +193,7 @@ Type      <- Union ("extends" Union "?" Type ":" Type)?
 Union     <- "|"? Inter ("|" Inter)*
 Inter     <- "&"? Postfix ("&" Postfix)*
 Postfix   <- PrimType (@EmptyIdx / @TypeIdx)*
-PrimType  <- FuncType / ("keyof" / "unique" / "readonly" / "infer") Postfix / "typeof" Name ("." Key)* TypeArgs? / "import" @Args ("." Key)* TypeArgs?
+PrimType  <- FuncType / ("keyof" / "unique" / "readonly" / "infer") Postfix / "typeof" ("import" @Args / Name) ("." Key)* TypeArgs? / "import" @Args ("." Key)* TypeArgs?
            / TypeRef / STR / NUM / "-" NUM / TEMPLATE / "void" / "null" / "this" / "true" / "false" / @TypeBody / @Tuple / @TypeParen
 FuncType  <- "abstract"? "new"? TypeParams? @Params "=>" ("asserts"? (Name / "this") "is" Type / Type)
 TypeParen <- Type
@@ -395,7 +395,7 @@ Closure   <- ("static" / "async" / "move")* ("||" / "|" (CParam ("," CParam)* ",
 CParam    <- Attr* Pat1 (":" Type)?
 Range     <- Bin ((".." / "..=") Bin?)? / (".." / "..=") Bin?
 Bin       <- Un (BINOP Un / ">" ">"? "="? Un / "as" Type)*
-Un        <- ("-" / "!" / "*" / "&" "raw"? "mut"? / "&&" "mut"?)* (Closure / Post)
+Un        <- ("-" / "!" / "*" / "&" ("raw" &("const" / "mut"))? ("mut" / "const")? / "&&" "mut"?)* (Closure / Post)
 Post      <- Atom Suffix*
 Suffix    <- "?" / "." (Name ("::" GArgs)? / NUM / "await") / @Args / @Index
 Atom      <- NUM / STR / "true" / "false" / BlockExpr / Macro / EPath @StructLit / EPath / @Paren / @Array / "_"
@@ -508,7 +508,7 @@ PY_TOKEN = rf"""[ \t\f]*(?:\\\n[ \t\f]*)*(\n[ \t\f]*|\#[^\n]*|(?:[rRbBuUfFtT]{{1
   |->|:=|\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|>>|<<|[-+*/%@&|^=!<>]=|\S|\Z)"""
 BRACE = r"""[ \t\f\v\xa0﻿]*(\n[ \t\n]*|//[^\n]*|/\*.*?\*/|{strings}|{word}|{number}|{ops}|\S|\Z)"""
 JS_WORD = r"[\#]?[^\W\d][\w$]*|[\#]?\$[\w$]*"
-JS_STRINGS = rf"""{DQ}|{SQ}|`[^`\\$]*(?:(?:\\.|\$(?!\{{)|\$\{{[^{{}}`]*(?:\{{[^{{}}`]*\}}[^{{}}`]*)*\}})[^`\\$]*)*`"""
+JS_STRINGS = rf"""{DQ}|{SQ}|`[^`\\$]*(?:(?:\\.|\$(?!\{{)|\$\{{[^{{}}`]*(?:(?:\{{[^{{}}]*\}}|`[^`]*`)[^{{}}`]*)*\}})[^`\\$]*)*`"""
 #: A slash behind an operand divides and is taken with it; any other slash opens a regular expression.
 JS_DIVIDE = r"(?:(?!(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await)\b)[^\W\d][\w$]*|\d[\w.]*|\)|\])[ \t]*/(?![/*])=?"
 JS_REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
@@ -771,7 +771,7 @@ class Go(Brace):
 
 class Rust(Brace):
     def __init__(self):
-        ops = "; , . : = :: -> => .. ..= ... + - * / % & | ^ << < > <= == != && || ! ++ += -= *= /= %= &= |= ^= <<= @ ? # $ ~ raw yield default _"
+        ops = "; , . : = :: -> => .. ..= ... + - * / % & | ^ << < > <= == != && || ! ++ += -= *= /= %= &= |= ^= <<= @ ? # $ ~ yield _"
         ops = ops.replace(" ++", "")
         super().__init__(
             "rust", RUST_WORDS, RUST_SOFT, ops, RUST,

@@ -166,7 +166,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> np.ndarray:
     spark = docs.sparkSession
     ids = docs.where("doc_id is not null").select("doc_id", normal_label(F.col("lang")).alias("label"), F.xxhash64("doc_id").alias("h")).where("label is not null")
     top = ids.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    sample = materialize(docs.join(F.broadcast(top.select("doc_id", "label").distinct()), "doc_id").select("text", "label"), "lang-sample").repartition(spark.sparkContext.defaultParallelism)
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(top.select("doc_id", "label").distinct()), "doc_id").select("text", "label"), "lang-sample").repartition(spark.sparkContext.defaultParallelism)
     logp = None
     for _ in range(2):
         rows = sample.mapInPandas(count_rows(logp), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

@@ -33,17 +33,18 @@ def judge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         valid, why, char, line = [], [], [], []
         for text, lang in zip(pdf["content"], pdf["lang"]):
             judge = language(lang)
+            ok = reason = at = None
             try:
                 ok = judge.valid(text)
+                if not ok:
+                    clean = judge.clean(text)
+                    at = judge.failure(text)
+                    reason = cause(clean, at, lang)
             except RecursionError:
-                ok = None
-            valid.append(ok)
-            if ok is not False:
-                why.append(None), char.append(None), line.append(None)
-            else:
-                clean = judge.clean(text)
-                at = judge.failure(text)
-                why.append(cause(clean, at, lang)), char.append(at), line.append(clean.count("\n", 0, at) + 1)
+                if ok is not None:
+                    reason = "syntax"
+            valid.append(ok), why.append(reason), char.append(at)
+            line.append(None if at is None else clean.count("\n", 0, at) + 1)
         yield pd.DataFrame(
             {"file_id": pdf["id"], "repository_id": pdf["repository_id"], "language": pdf["lang"], "valid": pd.array(valid, dtype="boolean"), "cause": pd.array(why, dtype="string"), "fail_char": pd.array(char, dtype="Int32"), "fail_line": pd.array(line, dtype="Int32")}
         )
@@ -53,7 +54,7 @@ def judge_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     """(file_id, repository_id, language, valid, cause, fail_char, fail_line) of every file that can be judged.
 
     Needs id, repository_id, path, language of ``files`` and file_id, content of ``sources``. A file's language is that of its suffix in any
-    case; without a suffix, that of its label; other files and null contents are not judged and give no row. An empty content
+    case; without a suffix or path, that of its label; other files and null contents are not judged and give no row. An empty content
     is a valid file but for Java-like rules of Go, which wants a package. fail_char is the furthest failure in the text without byte-order
     mark and with LF line ends. A text nested beyond what can be parsed has a null verdict. Repeated rows are judged each; empty tables give no rows.
 
