@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftline.config import SKIPPED_DIRS, SUFFIX_LANGUAGE, Settings
-from weftline.functions.text import language_of, suffix
+from weftline.functions.text import language_of
+
+
+class Slice(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class TreeReader(DataSourceReader):
+    """Lists names on the driver, leaving out whole directories before they are entered; tasks read the files. Spark's own file sources hide
+    names that begin with ``_`` or a dot, so ``__init__.py`` would be lost to them."""
+
+    SLICE = 500
+
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"]
+
+    def partitions(self) -> list[InputPartition]:
+        found = []
+        for at, dirs, names in os.walk(self.root):
+            dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS and not d.startswith("."))
+            found += [os.path.relpath(os.path.join(at, n), self.root) for n in sorted(names) if n.endswith(tuple(SUFFIX_LANGUAGE))]
+        return [Slice(found[k : k + self.SLICE]) for k in range(0, len(found), self.SLICE)] or [Slice([])]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        for path in partition.paths:
+            full = os.path.join(self.root, path)
+            try:
+                with open(full, "rb") as f:
+                    content = f.read()
+                stat = os.stat(full)
+            except OSError:  # gone or not readable since it was listed
+                continue
+            yield path.replace(os.sep, "/"), content, len(content), datetime.fromtimestamp(stat.st_mtime, timezone.utc).replace(tzinfo=None)
+
+
+class TreeDataSource(DataSource):
+    """Option: path, a directory that the driver and all executors see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, content binary, length long, modified_at timestamp_ntz"
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options)
 
 
 def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:
     """(path, language, content, size_bytes, content_hash, fingerprint, modified_at) of the files under ``root`` with a known suffix.
 
     Directories that begin with a dot or hold builds and dependencies are left out (files that begin with a dot are not), and so are files
-    that are no UTF-8 or longer than max_file_size characters. Content is read only for files that the path filter keeps."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/") + "/"
-    at = F.instr("path", prefix)
-    path = F.expr("substring(path, instr(path, '{0}') + {1})".format(prefix.replace("'", "\\'"), len(prefix)))
-    dirs = F.split(F.regexp_replace(path, r"[^/]*$", ""), "/")
-    skipped = F.exists(dirs, lambda d: d.isin(*SKIPPED_DIRS) | d.startswith("."))
-    rows = raw.where(at > 0).withColumn("rel", path).where(suffix(F.col("rel")).isin(*SUFFIX_LANGUAGE) & ~skipped)
+    that are no UTF-8 or longer than max_file_size characters. Only files that the path filter keeps are read."""
+    spark.dataSource.register(TreeDataSource)
+    rows = spark.read.format("source_tree").option("path", root).load()
     text = F.try_validate_utf8(F.col("content").cast("string"))
     out = rows.select(
-        F.col("rel").alias("path"),
-        language_of(F.col("rel")).alias("language"),
+        F.col("path"),
+        language_of(F.col("path")).alias("language"),
         text.alias("text"),
         F.col("length").cast("int").alias("size_bytes"),
         F.sha2("content", 256).alias("content_hash"),
         F.sha1("content").alias("fingerprint"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"),
+        F.col("modified_at"),
     )
     return out.where(F.col("text").isNotNull() & (F.char_length("text") <= settings.max_file_size)).withColumnRenamed("text", "content")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -60,7 +60,7 @@ class GitReader(DataSourceReader):
         for rec in out.split(RECORD)[1:]:
             h, author, email, message, when, files = rec.split(FIELD)
             changed = [(ln.split("\t")[-1], CHANGES.get(ln[0], "modified")) for ln in files.strip().split("\n") if "\t" in ln]
-            yield h, author, email, message.strip(), datetime.utcfromtimestamp(int(when)), [{"path": a, "change_type": b} for a, b in changed]
+            yield h, author, email, message.strip(), datetime.fromtimestamp(int(when), timezone.utc).replace(tzinfo=None), [{"path": a, "change_type": b} for a, b in changed]
 
     def tree(self, p: Part) -> Iterator[tuple]:
         for line in git(self.repo, "ls-tree", "-r", "-z", self.commit).split("\0"):
@@ -80,7 +80,7 @@ class GitReader(DataSourceReader):
                 info.setdefault(current, {})
             elif line.startswith("\t"):
                 x = info[current]
-                yield self.file, line_no, current, x.get("author"), datetime.utcfromtimestamp(int(x.get("author-time", "0"))), x.get("summary")
+                yield self.file, line_no, current, x.get("author"), datetime.fromtimestamp(int(x.get("author-time", "0")), timezone.utc).replace(tzinfo=None), x.get("summary")
             elif " " in line:
                 k, v = line.split(" ", 1)
                 info[current].setdefault(k, v)
