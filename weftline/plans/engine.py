@@ -69,6 +69,8 @@ class Engine:
         self.relate()
         if commits is not None:
             self.add_commits(rid, commits)
+        for n in ("repositories", "files", "commits", "file_commits", "global_symbols"):  # else plans grow from run to run
+            t[n] = materialize(t[n], n)
         return status
 
     def relate(self) -> None:
@@ -92,7 +94,7 @@ class Engine:
         links = c.select(F.col("id").alias("commit_id"), F.explode("files_changed").alias("x")).select("commit_id", "x.path", "x.change_type")
         f = t["files"].where(F.col("repository_id") == rid).select(F.col("id").alias("file_id"), "path")
         links = links.join(f, "path").withColumn("id", key("file_id", "commit_id")).dropDuplicates(["id"])
-        t["file_commits"] = materialize(store.upsert(t["file_commits"], conform(links, "file_commits"), ["file_id", "commit_id"]), "links")
+        t["file_commits"] = store.upsert(t["file_commits"], conform(links, "file_commits"), ["file_id", "commit_id"])
 
     def query_vector(self, text: str) -> list[float]:
         return [float(x) for x in self.load_backend()([text])[0]]
