@@ -552,6 +552,10 @@ class Python(Language):
         if tok in "()[]{}":
             return tok
         if tok[-1] in "\"'" and len(tok) > 1:
+            head = tok[: min(tok.find(q) for q in "\"'" if q in tok)].lower()
+            if "f" in head or "t" in head:
+                quotes = 3 if tok[len(head) : len(head) + 3] in ('"""', "\'\'\'") and len(tok) - len(head) >= 6 else 1
+                return self.kinds["STR"] if self.fields(tok[len(head) + quotes : -quotes]) else ERR
             return self.kinds["STR"]
         if c.isalpha() or c == "_":
             return self.kinds["IDENT"]
@@ -559,6 +563,46 @@ class Python(Language):
             return self.kinds["NUM"]
         return ERR
 
+    def fields(self, text: str) -> bool:
+        """Whether the replacement fields of a formatted string are closed and hold expressions; formats may hold fields again."""
+        p = 0
+        while p < len(text):
+            c = text[p]
+            if c in "{}" and text[p : p + 2] == c * 2:
+                p += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                depth, q, cut = 0, p + 1, None
+                while q < len(text) and (depth or text[q] != "}"):
+                    if text[q] in "\"'":
+                        end = text.find(text[q], q + 1)
+                        if end < 0:
+                            return False
+                        q = end
+                    elif text[q] in "([{":
+                        depth += 1
+                    elif text[q] in ")]}":
+                        depth -= 1
+                    elif not depth and cut is None and (text[q] == ":" or text[q] == "!" and text[q + 1 : q + 2] != "="):
+                        cut = q
+                    q += 1
+                if q >= len(text):
+                    return False
+                body, spec = text[p + 1 : cut or q], text[cut:q] if cut else ""
+                if spec.startswith("!"):
+                    if not re.match(r"![rsa](?=:|$)", spec):
+                        return False
+                    spec = spec[2:]
+                kinds = "".join([self.classify[t] for t in self.token.findall(re.sub(r"=\s*$", "", body))])
+                flat = self.grammar.flatten(self.INSIDE.sub("", kinds))
+                if ERR in flat or not self.grammar.match("Value", flat) or not self.fields(spec):
+                    return False
+                p = q + 1
+            else:
+                p += 1
+        return True
+
     def line_class(self, line: str) -> str:
         g = self.grammar
         if g.match("Simple", line):
@@ -824,7 +868,7 @@ def language(name: str) -> Language:
             name, JAVA_WORDS, JAVA_SOFT, ops, JAVA,
             {"(": ["Args", "Params", "Paren", "AnnotArgs", "Cond", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType", "PrimCast", "Patterns"], "[": ["Empty", "Index"],
              "{": ["Block", "ClassBody", "EnumBody", "ArrayInit", "AnnotList", "Cases"]},
-            listed={"Block": "Block"}, strings=rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{DQ}|{SQ}', word=r"[^\W\d][\w$]*|\$[\w$]*", opexp=r"<<=|\.\.\.|::|->|&&|\|\||\+\+|--|<<|[-+*/%&|^=!<]=", glue="else while",
+            listed={"Block": "Block"}, strings=rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{DQ}|\'(?:[^\'\\\n]|\\(?:u+[0-9a-fA-F]{{4}}|[0-7]{{1,3}}|[^\n]))\'', word=r"[^\W\d][\w$]*|\$[\w$]*", opexp=r"<<=|\.\.\.|::|->|&&|\|\||\+\+|--|<<|[-+*/%&|^=!<]=", glue="else while",
             ASSIGN="= += -= *= /= %= &= |= ^= <<=", BINOP="+ - * / % & | ^ << < <= == != && ||",
         )
     if name == "go":
