@@ -72,8 +72,10 @@ def strong(v: str) -> bool:
     kinds = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w.\-/]"))
     if kinds < 2:
         return False
-    if re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+)+|[A-Za-z]+(?:[_.-][A-Za-z]+)*", v):
-        return False  # a name, not a value
+    if re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", v):
+        # letters alone are a name, unless their case changes as often as by chance
+        turns = sum(a.islower() != b.islower() for a, b in zip(v, v[1:]))
+        return len(v) >= 10 and v.isalpha() and turns >= 0.36 * (len(v) - 1)
     return True
 
 
