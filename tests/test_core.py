@@ -94,6 +94,19 @@ def test_structural_chunks_and_skeletons(spark):
     assert [x[2] for x in chunking.python_chunks(big, 1024)] == ["g"]
 
 
+def test_code_outside_definitions(spark):
+    src = "import os\nfrom a import b\n\n\ndef f():\n    pass\n\nX = 1\n"
+    df = spark.createDataFrame([(1, src, "python")], "file_id long, content string, language string")
+    got = chunking.structural_chunks(df, Settings(include_residual=True)).orderBy("start_line").collect()
+    assert [(r.chunk_type, r.start_line, r.end_line) for r in got] == [("block", 1, 2), ("function_definition", 5, 6), ("block", 8, 8)]
+    assert all(src.encode()[r.start_byte : r.end_byte].decode() == r.content for r in got)
+    spark.conf.set("spark.weftline.include_residual", "false")
+    spark.conf.set("spark.weftline.chunk_size", "120")
+    st = Settings.from_conf(spark)
+    assert st.include_residual is False and st.chunk_lines == 2
+    spark.conf.unset("spark.weftline.chunk_size")
+
+
 def test_scalars(spark):
     assert [one(spark, T.language_of(F.lit(p))) for p in ("a.py", "a.tsx", "x/y.b.rs", "A.PY", "Makefile", ".py")] == ["python", "typescript", "rust", "unknown", "unknown", "python"]
     assert one(spark, T.stem(F.lit("a/b.c.py"))) == "b.c" and one(spark, T.stem(F.lit("a/Makefile"))) == "Makefile"
@@ -244,7 +257,7 @@ def test_git_tables(spark, repo):
 
 
 def test_engine_end_to_end(spark, repo, tmp_path):
-    e = Engine(spark, Settings(embedding_dimension=16))
+    e = Engine(spark, Settings(embedding_dimension=16, include_residual=True))
     spark.dataSource.register(GitDataSource)
     commits = spark.read.format("git").options(path=str(repo)).load()
     status = e.index(str(repo), scan(spark, str(repo)), commits)
@@ -252,7 +265,7 @@ def test_engine_end_to_end(spark, repo, tmp_path):
     pack = e.context_pack("helper_fn LIMIT")
     assert pack["chunks"].where("section = 1").count() > 0 and pack["lineage"].count() > 0
     kinds = {r.relation_type for r in e.tables["relations"].collect()}
-    assert "calls" in kinds
+    assert {"imports", "calls"} <= kinds
     assert pack["chunks"].where("section = 0").first().boost_reason == "global_symbol"
     assert e.context_pack("x", relations=False, history=False)["relations"].count() == 0
     assert "helper_fn" in {r.path: r.skeleton for r in e.overview(str(repo)).collect()}["helper.py"]

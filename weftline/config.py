@@ -31,6 +31,7 @@ class Settings:
     search_limit: int = 10
     pack_limit: int = 5
     embedding_batch: int = 32
+    include_residual: bool = False  # also chunk what lies outside definitions
 
     @property
     def chunk_lines(self) -> int:
@@ -43,4 +44,5 @@ class Settings:
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Settings:
         found = {f.name: spark.conf.get(f"spark.weftline.{f.name}", None) for f in fields(cls)}
-        return replace(cls(), **{k: type(getattr(cls(), k))(v) for k, v in found.items() if v is not None})
+        read = lambda k, v: v.lower() in ("true", "1") if isinstance(getattr(cls(), k), bool) else type(getattr(cls(), k))(v)
+        return replace(cls(), **{k: read(k, v) for k, v in found.items() if v is not None})

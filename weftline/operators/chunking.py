@@ -78,6 +78,29 @@ def python_chunks(source: str, most: int) -> list[tuple]:
     return list(_walk(tree, 1, most, text, starts))
 
 
+def residual_blocks(source: str, covered: list[tuple[int, int]], size: int) -> list[tuple]:
+    """Rows like those of python_chunks for the lines outside the covered ranges, at most ``size`` lines each, blank ends left out."""
+    text = source.split("\n")
+    inside = [False] * (len(text) + 2)
+    for a, b in covered:
+        inside[a : b + 1] = [True] * (b + 1 - a)
+    starts, at = [], 0
+    for line in text:
+        starts.append(at)
+        at += len(line.encode("utf-8", "replace")) + 1
+    out, run = [], []
+    for k in range(1, len(text) + 2):
+        free = k <= len(text) and not inside[k]
+        if free and (run or text[k - 1].strip()):
+            run.append(k)
+        if run and (not free or len(run) == size):
+            while not text[run[-1] - 1].strip():
+                run.pop()
+            out.append(("block", 0, None, run[0], run[-1], starts[run[0] - 1], "\n".join(text[run[0] - 1 : run[-1]])))
+            run = []
+    return out
+
+
 def python_skeleton(content: str) -> str:
     """Signatures with docstrings of a Python text's definitions, members of classes indented; the first line where nothing is defined or parses."""
     first = content.strip().split("\n")[0].strip() if content.strip() else ""
@@ -107,14 +130,19 @@ STRUCTURAL = "file_id long, content string, chunk_type string, depth int, name s
 
 
 def structural_chunks(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Chunks of Python files by their definitions, of at most twice the chunk size; larger ones are entered. Needs file_id, content, language."""
+    """Chunks of Python files by their definitions, of at most twice the chunk size; larger ones are entered. Needs file_id, content, language.
+
+    Code outside definitions is left out unless ``include_residual`` is set."""
     most = 2 * settings.chunk_size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for fid, text in zip(pdf["file_id"], pdf["content"]):
-                for kind, depth, name, a, b, byte, body in python_chunks(text, most):
+                found = python_chunks(text, most)
+                if found and settings.include_residual:
+                    found += residual_blocks(text, [(x[3], x[4]) for x in found], settings.chunk_lines)
+                for kind, depth, name, a, b, byte, body in found:
                     rows.append((fid, body, kind, depth, name, a, b, byte, byte + len(body.encode("utf-8", "replace"))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STRUCTURAL.split(", ")])
 
