@@ -124,6 +124,8 @@ def test_cosine(spark):
     c = lambda a, b: one(spark, V.cosine(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))))
     assert c([1.0, 0.0], [1.0, 1.0]) == pytest.approx(0.5**0.5)
     assert c([0.0, 0.0], [1.0, 1.0]) is None and c([1.0], [1.0, 1.0]) is None
+    df = spark.createDataFrame([([1.0, 0.0],), ([0.0, 0.0],), (None,), ([1.0],)], "v array<float>")
+    assert [r.x and round(r.x, 6) for r in df.select(V.cosine_to(F.col("v"), [1.0, 1.0]).alias("x")).collect()] == [0.707107, None, None, None]
 
 
 def test_upsert_latest_and_cascade(spark):

@@ -1 +1 @@
-"""Column functions; all of them run inside the JVM."""
+"""Column functions; all but the product with one vector run inside the JVM."""

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: x != "")
-
-
 def occurrences(text: Column, terms: list[str]) -> list[Column]:
-    t = tokens(text)
-
-    def count(word: str) -> Column:
-        return F.size(F.filter(t, lambda x: x == word))
-
-    return [count(w) for w in terms]
+    """How often each term is a token of the text; one pattern pass a term, without building the list of tokens."""
+    low = F.lower(text)
+    return [F.regexp_count(low, F.lit(f"(?<![a-z0-9_]){w}(?![a-z0-9_])")) if re.fullmatch("[a-z0-9_]+", w) else F.lit(0) for w in terms]
 
 
 def cover_score(text: Column, terms: list[str]) -> Column:
@@ -33,7 +28,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(id, score) of the documents (id, content) that hold a term: corpus counts over all documents, term counts summed where they are."""
     terms = sorted({t.lower() for t in terms})
     n = [c.alias(f"tf{k}") for k, c in enumerate(occurrences(F.col("content"), terms))]
-    per = docs.where(F.col("content").isNotNull()).select("id", F.size(tokens(F.col("content"))).alias("len"), *n)
+    per = docs.where(F.col("content").isNotNull()).select("id", F.regexp_count(F.lower("content"), F.lit("[a-z0-9_]+")).alias("len"), *n)
     stats = per.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     j = per.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

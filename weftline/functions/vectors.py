@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def as_double(v: Column) -> Column:
@@ -26,6 +29,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == F.size(y), dot(x, y) / F.nullif(norm(x) * norm(y), F.lit(0.0)))
 
 
+def cosine_to(v: Column, vector: Sequence[float]) -> Column:
+    """Cosine of a column to one vector: a matrix product for each Arrow batch. Null where ``cosine`` is null."""
+    q = np.asarray(vector, dtype=np.float64)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    @F.pandas_udf(DoubleType())
+    def run(s: pd.Series) -> pd.Series:
+        out = np.full(len(s), np.nan)
+        fit = np.flatnonzero(s.map(lambda x: x is not None and len(x) == len(q)).to_numpy(bool))
+        if len(fit):
+            x = np.stack(s.iloc[fit].to_numpy()).astype(np.float64)
+            n = np.linalg.norm(x, axis=1)
+            out[fit] = np.where(n > 0, (x @ q) / np.where(n > 0, n, 1.0), np.nan)
+        return pd.Series(out).astype(object).where(np.isfinite(out), None)
+
+    return run(v)
+
+
 def literal(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 

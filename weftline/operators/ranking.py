@@ -66,7 +66,7 @@ def top_scored(base: DataFrame, q: Query) -> DataFrame:
     """(id, vector_score, lexical_score, score, rank): the first stage. The vector part is weighed with 1 - lexical weight even where no
     lexical score is used. Only ids and scores are sorted; payloads join afterwards."""
     lw = clamp(q.lexical_weight)
-    v = F.round(V.cosine(F.col("embedding"), V.literal(q.vector)), 6) if q.vector is not None else F.lit(None).cast("double")
+    v = F.round(V.cosine_to(F.col("embedding"), q.vector), 6) if q.vector is not None else F.lit(None).cast("double")
     terms = [t for t in q.text.lower().split() if t]
     use = q.lexical and bool(terms)
     lex = cover_score(F.col("content"), terms) if use else F.lit(None).cast("double")
