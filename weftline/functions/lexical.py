@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 K1, B = 1.2, 0.75
 
 
@@ -29,6 +31,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     terms = sorted({t.lower() for t in terms})
     n = [c.alias(f"tf{k}") for k, c in enumerate(occurrences(F.col("content"), terms))]
     per = docs.where(F.col("content").isNotNull()).select("id", F.regexp_count(F.lower("content"), F.lit("[a-z0-9_]+")).alias("len"), *n)
+    per = materialize(per, "bm25-counts")  # numbers only: the texts are read once for both the corpus counts and the scores
     stats = per.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     j = per.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
