@@ -51,6 +51,19 @@ def test_relations_of_four_chunks(spark, code):
     assert got(graph.inheritance_relations(syms, chunks)) == {(4, 3)}
 
 
+def test_symbols_of_python_that_does_not_parse(spark):
+    block = "    return a\n\n# the function returns what the class holds\ndef build(x):\n    y = (x +\n        grow(x))\n\nclass Late(m.Base):"
+    method = "    async def close(self):\n        self.flush()\n"
+    rows = [chunk_row(1, 1, block, "block"), chunk_row(2, 2, method, "function_definition", "Python"), chunk_row(3, 3, "from x import build, Late, close\n", "block"), chunk_row(4, 4, "class Base:\n    def flush(self): ...\n", "class_definition"), chunk_row(5, 5, "import a\nx = (", "block")]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    syms = graph.symbols(chunks)
+    assert {(r.chunk_id, r.kind, r.name) for r in syms.where("chunk_id in (1, 2, 5) and kind <> 'call'").collect()} == {(1, "function", "build"), (1, "class", "Late"), (1, "base", "Base"), (2, "function", "close")}
+    got = lambda df: {(r.source_chunk_id, r.target_chunk_id) for r in df.collect()}
+    assert got(graph.import_relations(syms, spark.createDataFrame([], "chunk_id long, name string"))) == {(3, 1), (3, 2)}
+    assert got(graph.call_relations(syms, chunks)) == {(2, 4)}
+    assert got(graph.inheritance_relations(syms, chunks, ["block"])) == {(1, 4)}
+
+
 EDGE = "source_chunk_id long, target_chunk_id long"
 
 

@@ -81,6 +81,11 @@ def class_names(content: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?:class|struct|interface|trait)\s+([A-Za-z_][A-Za-z0-9_]*)"), 1))
 
 
+def python_headers(content: Column, word: str) -> Column:
+    """Distinct names behind ``def`` or ``class`` at the start of a line, for Python that does not parse."""
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(rf"(?m)^[ \t]*(?:async[ \t]+)?{word}[ \t]+([A-Za-z_][A-Za-z0-9_]*)"), 1))
+
+
 def base_names(content: Column) -> Column:
     """Bases of the first class header, by pattern: those in parentheses, or behind ``extends``; ``object`` is left out."""
     inside = F.regexp_extract(content, r"class\s+\w+\s*\(([^)]*)\)", 1)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -17,7 +17,7 @@ from weftline.session import materialize
 #: Chunk types whose calls and bases are followed.
 CALLERS = ["function_definition", "method_definition", "decorated_definition"]
 INHERITORS = ["class_definition"]
-SYMBOLS = "chunk_id long, kind string, name string, module string"
+SYMBOLS = "chunk_id long, kind string, name string, module string, unparsed string"
 
 
 def python_symbols(content: str) -> list[tuple[str, str, str | None]] | None:
@@ -80,31 +80,46 @@ def _script_imports(content: str) -> list[tuple[str, str, str]]:
 
 
 def _symbol_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A mapInPandas function: a row for each symbol, and one with the text itself for a Python text that does not parse."""
     for pdf in batches:
         rows = []
         for cid, text, lang in zip(pdf["id"], pdf["content"], pdf["lang"]):
             found = python_symbols(text) if lang == "python" else _script_imports(text)
-            rows += [(cid, *x) for x in found or ()]
-        yield pd.DataFrame(rows, columns=["chunk_id", "kind", "name", "module"])
+            rows += [(cid, None, None, None, text)] if found is None else [(cid, *x, None) for x in found]
+        yield pd.DataFrame(rows, columns=["chunk_id", "kind", "name", "module", "unparsed"])
 
 
-def pattern_symbols(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, kind, name): calls, functions, classes and bases by pattern, for any language. Pure expressions."""
-    c = F.col("content")
-    kinds = {"call": T.called_names(c), "function": T.defined_names(c), "class": T.class_names(c), "base": T.base_names(c)}
+def _tagged(kinds: dict) -> Column:
+    """Array of (kind, name) from arrays of names by kind."""
 
-    def tagged(kind: str, names):
+    def tagged(kind: str, names: Column) -> Column:
         return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
-    rows = F.flatten(F.array(*[tagged(k, v) for k, v in kinds.items()]))
+    return F.flatten(F.array(*[tagged(k, v) for k, v in kinds.items()]))
+
+
+def _python_patterns(c: Column) -> Column:
+    """Array of (kind, name) for a Python text that does not parse: definitions by their headers at the start of a line, calls and bases by pattern."""
+    bases = F.array_distinct(F.transform(T.base_names(c), lambda x: F.regexp_extract(x, r"([^.]*)$", 1)))
+    return _tagged({"call": T.called_names(c), "function": T.python_headers(c, "def"), "class": T.python_headers(c, "class"), "base": bases})
+
+
+def pattern_symbols(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, kind, name): calls, functions, classes and bases by pattern, for any language. Pure expressions."""
+    c = F.col("content")
+    rows = _tagged({"call": T.called_names(c), "function": T.defined_names(c), "class": T.class_names(c), "base": T.base_names(c)})
     return chunks.where(c.isNotNull()).select(F.col("id").alias("chunk_id"), F.explode(rows).alias("s")).select("chunk_id", "s.kind", "s.name")
 
 
 def symbols(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, kind, name, module) of all chunks: Python by its grammar, imports of scripts by line, the rest by pattern."""
+    """(chunk_id, kind, name, module) of all chunks: Python by its grammar, imports of scripts by line, the rest by pattern.
+
+    Python that does not parse (blocks of lines, indented methods) gives calls, bases and definitions by pattern, and no imports."""
     lang = F.lower(F.coalesce("language", F.lit("unknown")))
     base = chunks.where(F.col("content").isNotNull()).select("id", "content", lang.alias("lang"))
     parsed = base.where(F.col("lang").isin("python", "javascript", "typescript")).mapInPandas(_symbol_rows, SYMBOLS)
+    own = F.array(F.struct("kind", "name"))
+    parsed = parsed.select("chunk_id", "module", F.explode(F.when(F.col("unparsed").isNull(), own).otherwise(_python_patterns(F.col("unparsed")))).alias("s")).select("chunk_id", "s.kind", "s.name", "module")
     rest = pattern_symbols(base.where(F.col("lang") != "python")).withColumn("module", F.lit(None).cast("string"))
     return parsed.unionByName(rest).distinct()
 
