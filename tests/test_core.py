@@ -107,6 +107,37 @@ def test_structural_chunks_and_skeletons(spark):
     assert [x[2] for x in chunking.python_chunks(big, 1024)] == ["g"]
 
 
+JAVA = "package a;\n/** é */\n@Entity(name = \"{\")\npublic class A<T> extends B {\n    private int[] x = {1, 2};\n    A(int a) { this.a = a; }\n    @Override\n    public <R> List<R> f(final T t, int... b) throws G { new C() { void in() { } }; return null; }\n}\ninterface I { void g(); }\nenum E { P(1), Q(2); }\n"
+SCRIPT = "import a from 'b';\nexport const f = async (a) => {\n  return `${a}}`;\n}\nlet g = /[/{]/.test(s)\n  .x;\nexport default class A extends B {\n  get v() { return 1 }\n  static async *w(a = {}) { if (a) { h() } }\n}\nasync function h(a) { for (const k of a) { } }\nvar o = { m() { return 1; } };\nconst {p, q} = function () { return '}' };\n"
+TS = "export interface I<T> { a: { b: T }; m(): void }\nexport function f<T>(a: T): { b: T } {\n  return a;\n}\ndeclare function g(): void;\nabstract class C { m(): string { return '' } abstract n(): void }\n"
+GO = "\ufeff// a\npackage a\n\ntype (\n\tT struct {\n\t\tA int\n\t}\n)\ntype U = map[string]interface{}\n\nfunc (t *T) F(a int) (b error) {\n\treturn func() { r := '{' }\n}\n\nfunc G[K any](a K) interface{} {\n}\n"
+RUST = "use a::b;\n#[derive(X)]\npub struct A<'a>(&'a u8);\nstruct B;\nimpl<'a> T for A<'a> { fn f(&self) -> char { '{' } }\npub(crate) async unsafe fn g(x: impl Fn() -> u8) -> impl X { r#\"}\"# }\npub trait T { fn f(&self); }\nenum E { A { x: u8 }, B }\n"
+
+
+@pytest.mark.parametrize("lang,src,want", [
+    ("java", JAVA, [("class_declaration", "A", 3, 9, 1), ("interface_declaration", "I", 10, 10, 1)]),
+    ("javascript", SCRIPT, [("lexical_declaration", "f", 2, 4, 2), ("lexical_declaration", "g", 5, 6, 1), ("class_declaration", "A", 7, 10, 2), ("function_declaration", "h", 11, 11, 1), ("variable_declaration", "o", 12, 12, 1), ("lexical_declaration", None, 13, 13, 1)]),
+    ("typescript", TS, [("interface_declaration", "I", 1, 1, 2), ("function_declaration", "f", 2, 4, 2), ("method_definition", "m", 6, 6, 3)]),
+    ("go", GO, [("type_declaration", "T", 4, 8, 1), ("type_declaration", "U", 9, 9, 1), ("method_declaration", "F", 11, 13, 1), ("function_declaration", "G", 15, 16, 1)]),
+    ("rust", RUST, [("struct_item", "A", 3, 3, 1), ("struct_item", "B", 4, 4, 1), ("impl_item", "A", 5, 5, 1), ("function_item", "g", 6, 6, 1), ("trait_item", "T", 7, 7, 1), ("enum_item", "E", 8, 8, 1)]),
+])
+def test_structural_chunks_of_other_languages(spark, lang, src, want):
+    df = spark.createDataFrame([(1, src, lang.upper()), (2, src + "{", lang), (3, None, lang)], "file_id long, content string, language string")
+    got = chunking.structural_chunks(df).orderBy("start_byte").collect()
+    assert [(r.chunk_type, r.name, r.start_line, r.end_line, r.depth) for r in got] == want
+    assert all(src.encode()[r.start_byte : r.end_byte].decode() == r.content and r.file_id == 1 for r in got)
+
+
+def test_long_declarations_are_entered_and_definitions_listed(spark):
+    names = lambda src, lang, most: [(x[0], x[2]) for x in chunking.brace_chunks(src, lang, most)]
+    assert names(JAVA, "java", 110) == [("constructor_declaration", "A"), ("method_declaration", "f"), ("interface_declaration", "I")]
+    assert names(JAVA.replace("interface I { ", "interface I { int LONG_NAME = 1; "), "java", 40) == [("constructor_declaration", "A"), ("method_declaration", "in"), ("method_declaration", "g")]
+    assert names(SCRIPT, "javascript", 45)[2:4] == [("method_definition", "v"), ("method_definition", "w")]
+    df = spark.createDataFrame([(1, "é = 1\n" + SCRIPT.split("\n", 1)[1], "javascript"), (2, "class A:\n    async def f(self): pass\n", "python"), (3, TS, "typescript"), (4, JAVA, "java")], "file_id long, content string, language string")
+    got = {(r.file_id, r.kind, r.name, r.start_row, r.start_col, r.end_row, r.end_col) for r in chunking.definitions(df).collect()}
+    assert got == {(1, "class", "A", 6, 15, 9, 1), (1, "function", "h", 10, 0, 10, 46), (2, "class", "A", 0, 0, 1, 27), (2, "function", "f", 1, 4, 1, 27), (3, "function", "f", 1, 7, 3, 1)}
+
+
 def test_code_outside_definitions(spark):
     src = "import os\nfrom a import b\n\n\ndef f():\n    pass\n\nX = 1\n"
     df = spark.createDataFrame([(1, src, "python")], "file_id long, content string, language string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from weftline.config import Settings
 from weftline.functions.text import generic_skeleton, lines
+from weftline.operators.declarations import declarations
 
 #: Kinds of syntax nodes that make a chunk, by language.
 CHUNKABLE = {
@@ -78,6 +80,60 @@ def python_chunks(source: str, most: int) -> list[tuple]:
     return list(_walk(tree, 1, most, text, starts))
 
 
+def _offsets(text: str, ends: list[int]) -> dict[int, int]:
+    """Byte offsets in UTF-8 of offsets in characters."""
+    out, at, byte = {}, 0, 0
+    for e in sorted(set(ends)):
+        byte += len(text[at:e].encode("utf-8", "replace"))
+        out[e], at = byte, e
+    return out
+
+
+def brace_chunks(source: str, language: str, most: int) -> list[tuple]:
+    """Rows like those of python_chunks for a Java, JavaScript, TypeScript, Go or Rust source; none where brackets do not match."""
+    found = list(declarations(source, language, most))
+    at = _offsets(source, [d.start for d in found])
+    line = lambda k: source.count("\n", 0, k) + 1
+    return [(d.kind, d.depth, d.name, line(d.start), line(d.end), at[d.start], source[d.start : d.end]) for d in found]
+
+
+def definitions_of(source: str, language: str) -> list[tuple]:
+    """(kind, name, start_byte, end_byte, start_row, start_col, end_row, end_col) of all functions and classes of a Python, JavaScript or TypeScript
+    source, nested ones too. Rows and columns count from 0, columns in bytes."""
+    text, starts, at = source.split("\n"), [], 0
+    for x in text:
+        starts.append(at)
+        at += len(x.encode("utf-8", "replace")) + 1
+    if language == "python":
+        try:
+            nodes = [n for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        found = [("class" if isinstance(n, ast.ClassDef) else "function", n.name, starts[n.lineno - 1] + n.col_offset, starts[n.end_lineno - 1] + n.end_col_offset) for n in nodes]
+    else:
+        kinds = {"function_declaration": "function", "class_declaration": "class"}
+        own = [d for d in declarations(source, language, None) if d.kind in kinds]
+        at = _offsets(source, [x for d in own for x in (d.start, d.end)])
+        found = [(kinds[d.kind], d.name, at[d.start], at[d.end]) for d in own]
+    point = lambda b: (k := bisect_right(starts, b) - 1, b - starts[k])
+    return [(*x, *point(x[2]), *point(x[3])) for x in sorted(found, key=lambda x: (x[2], -x[3]))]
+
+
+DEFINITIONS = "file_id long, kind string, name string, start_byte long, end_byte long, start_row int, start_col int, end_row int, end_col int"
+
+
+def definitions(sources: DataFrame) -> DataFrame:
+    """Functions and classes of Python, JavaScript and TypeScript files. Needs file_id, content, language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, *x) for f, t, lang in zip(pdf["file_id"], pdf["content"], pdf["lang"]) for x in definitions_of(t, lang)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DEFINITIONS.split(", ")])
+
+    own = sources.select("file_id", "content", F.lower("language").alias("lang"))
+    return own.where(F.col("lang").isin("python", "javascript", "typescript") & F.col("content").isNotNull()).mapInPandas(run, DEFINITIONS)
+
+
 def residual_blocks(source: str, covered: list[tuple[int, int]], size: int) -> list[tuple]:
     """Rows like those of python_chunks for the lines outside the covered ranges, at most ``size`` lines each, blank ends left out."""
     text = source.split("\n")
@@ -130,7 +186,8 @@ STRUCTURAL = "file_id long, content string, chunk_type string, depth int, name s
 
 
 def structural_chunks(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Chunks of Python files by their definitions, of at most twice the chunk size; larger ones are entered. Needs file_id, content, language.
+    """Chunks of the files of CHUNKABLE's languages by their definitions, of at most twice the chunk size; larger ones are entered. Needs file_id,
+    content, language. Python is cut by its grammar, the others by headers and matching brackets, with constructors of Java as well.
 
     Code outside definitions is left out unless ``include_residual`` is set."""
     most = 2 * settings.chunk_size
@@ -138,15 +195,16 @@ def structural_chunks(sources: DataFrame, settings: Settings = Settings()) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for fid, text in zip(pdf["file_id"], pdf["content"]):
-                found = python_chunks(text, most)
+            for fid, text, lang in zip(pdf["file_id"], pdf["content"], pdf["lang"]):
+                found = python_chunks(text, most) if lang == "python" else brace_chunks(text, lang, most)
                 if found and settings.include_residual:
                     found += residual_blocks(text, [(x[3], x[4]) for x in found], settings.chunk_lines)
                 for kind, depth, name, a, b, byte, body in found:
                     rows.append((fid, body, kind, depth, name, a, b, byte, byte + len(body.encode("utf-8", "replace"))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STRUCTURAL.split(", ")])
 
-    return sources.where((F.lower("language") == "python") & F.col("content").isNotNull()).select("file_id", "content").mapInPandas(run, STRUCTURAL)
+    own = sources.select("file_id", "content", F.lower("language").alias("lang"))
+    return own.where(F.col("lang").isin(*CHUNKABLE) & F.col("content").isNotNull()).mapInPandas(run, STRUCTURAL)
 
 
 def chunk_files(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
