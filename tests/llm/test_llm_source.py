@@ -109,6 +109,17 @@ def test_credentials_and_what_grants_nothing():
         assert C.find(s) == [], s
 
 
+def test_bare_values_beside_code():
+    yaml = "apiVersion: v1\nkind: Secret\ntype: Opaque\nstringData:\n  password: Xk29vQpz81\n"
+    shell = 'set -e\nif [ -z "$1" ]; then\n  return 1\nfi\nstart() {\n  DB_PASSWORD=Xk29vQpz81\n}\n'
+    for text in ("export DB_PASSWORD=Xk29vQpz81", "#!/bin/sh\nimport x\nexport DB_PASSWORD=Xk29vQpz81\n", yaml, shell, "use = x\npackage = y\ntoken = Xk29vQpz81\n", "from: a\nif: b\napi_key: brief-garden-857\n"):
+        spans = C.find(text)
+        assert [text[a:b] for a, b, _ in spans] in (["Xk29vQpz81"], ["brief-garden-857"]), text
+        assert "Xk29" not in C.mask(text, spans)
+    for text in ("def f(token2):\n    token = token2x\n    return token\n", "call(\n    token=token2x,\n    pin=b,\n)\nreturn 1", "call(a,\n    token=token2x\n)\nreturn 1", "const a = {\n  token: token2x\n};\n", "struct A {\n    token: Token2,\n}\n", "let token = sha256x;\ntoken = sha256x;\n"):
+        assert C.find(text) == [], text
+
+
 def test_encoded_layers_and_key_containers():
     inner = 'password = "hT7#kLm92x"'
     once = base64.b64encode(inner.encode()).decode()

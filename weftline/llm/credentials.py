@@ -27,7 +27,7 @@ QUOTED = re.compile(rf"""{NAME}(?P<q1>\\?["'`]?)\]?\)?[ \t]*(?:[?!]?:[ \t]*[&\w\
 PAIRED = re.compile(rf"""["'`][\w.-]{{0,60}}{NAME}["'`][ \t]*,[ \t]*(?P<q>["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
 SETTER = re.compile(rf"""\b(?:set|with|add)\w*{NAME}\([ \t]*(?P<q>["'`])(?P<v>[^"'`\n]{{4,}}?)(?P=q)""")
 XML = re.compile(rf"""<[\w.:-]*{NAME}(?:\s[^<>\n]*)?>(?P<v>[^<>\n]{{4,}})</""")
-BARE = re.compile(rf"""^[ \t]*(?:export[ \t]+|-[ \t]+)?[\w.-]*{NAME}[ \t]*[:=][ \t]*(?P<v>[^\s"'`][^\s]*)[ \t]*(?:[#;][^\n]*)?$""", re.M)
+BARE = re.compile(rf"""^[ \t]*(?P<lead>export[ \t]+|-[ \t]+)?[\w.-]*{NAME}(?P<sep>[ \t]*[:=][ \t]*)(?P<v>[^\s"'`][^\s]*)[ \t]*(?:[#;][^\n]*)?$""", re.M)
 FLAG = re.compile(rf"""(?<!-)--[\w-]{{0,40}}{NAME}(?:=|[ \t]+)(?P<v>[^\s"'`]{{4,}})""")
 SCHEME = re.compile(r"""\b(?P<s>Bearer|Basic|Token|ApiKey|Digest)[ \t]+(?P<v>[A-Za-z0-9+/._~=!@#$%^&*-]{8,})""")
 ADDRESS = re.compile(r"""\b[a-zA-Z][a-zA-Z0-9+.-]{1,30}://[^\s:/@"'`<>]{0,80}:(?P<v>[^\s@/"'`]{3,120})@""")
@@ -42,7 +42,8 @@ TRIGGER = re.compile(
     r"(?i:passw|passp|secret|token|api[_-]?key|credential|[a-z][_-]?key\b|signer|keymaterial)|(?<![A-Za-z])(?i:pass|pwd|pw|pin)(?![a-z])|Pass\b|Pwd\b|Pw\b|Bearer |Basic |Token |ApiKey |://|PRIVATE KEY|eyJ|A[KS]IA|gh[pousr]_|github_pat|glpat|xox|k_live|k_test|SG\.|AIza|npm_|pypi-|dop_v1|ya29|hf_|sk-|shpat"
     r"|[A-Za-z0-9+/_-]{24,}|[0-9a-fA-F]{24,}|%[0-9a-fA-F]{2}[\w.-]*%[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"
 )
-CODE = re.compile(r"^\s*(?:def|class|import|from|function|const|let|var|public|private|protected|func|fn|pub|package|use|return|if|elif|for|while|try|export|async|static|impl|type|struct|@\w+)\b|;[ \t]*$|[)\w][ \t]*\{[ \t]*$|=>", re.M)
+#: A statement of code; keys of a mapping or a settings file and the exports of a shell are none, though they may be called as a keyword is.
+CODE = re.compile(r"^\s*(?:(?:def|class|import|from|function|const|let|var|public|private|protected|func|fn|pub|package|use|return|if|elif|for|while|export(?![ \t]+[\w.-]+=)|async|static|impl|type|struct)\b(?![ \t]*(?::(?:[ \t]|$)|=(?!=)))|try\b(?!:[ \t]+\S)|@\w+\b)|;[ \t]*$|[)\w][ \t]*\{[ \t]*$|=>", re.M)
 
 #: Words that stand where a credential will be.
 SAMPLES = {
@@ -83,6 +84,23 @@ def bare_value(v: str) -> bool:
     return strong(v) and not re.search(r"[(){}\[\]]|^[a-z_]\w*\.[a-z_]\w*", v)
 
 
+def bare_places(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of unquoted values that stand alone behind a name. Where a text has code too, each line is judged for itself: statements, arguments,
+    members of literals, and assignments with blanks of what may be a variable hold no literal."""
+    code = None
+    for m in BARE.finditer(text):
+        v, sep = m.group("v"), m.group("sep")
+        if not bare_value(v):
+            continue
+        if code is None:
+            code = CODE.search(text) is not None
+        if code and not (m.group("lead") or "").startswith("export"):
+            before = text[max(0, m.start() - 400) : m.start()].rstrip()[-1:]
+            if CODE.search(m.group()) or v[-1] in ",;" or before in ("(", "[", ",") or ":" in sep and before == "{" or sep.strip(":=") and re.fullmatch(r"[A-Za-z_$][\w$]*(?:[.:]+\w+)*", v) and "=" in sep:
+                continue
+        yield m.start("v"), m.end("v")
+
+
 def der_key(b: bytes) -> bool:
     """Whether bytes are a private key by the grammar of its container: PKCS#1, PKCS#8 or SEC1 in DER, or an OpenSSH key."""
     if b.startswith(b"openssh-key-v1\x00"):
@@ -195,10 +213,7 @@ def find(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
         v = m.group("v").rstrip(".,;)")
         if strong(v):
             out.append((m.start("v"), m.start("v") + len(v), "named"))
-    if not CODE.search(text):
-        for m in BARE.finditer(text):
-            if bare_value(m.group("v")):
-                out.append((m.start("v"), m.end("v"), "named"))
+    out += [(a, b, "named") for a, b in bare_places(text)]
     if depth < DEPTH:
         for a, b, inside in layers(text):
             if isinstance(inside, bytes):
