@@ -146,6 +146,15 @@ def test_redacted_rows(spark):
     assert C.redact(spark.createDataFrame([], CHUNK)).count() == 0
 
 
+def test_marks_behind_a_licence():
+    mark = "// Code generated by x. DO NOT EDIT.\n"
+    block = "/*\nCopyright The Authors.\n\nPermission is granted.\n*/\n\n"
+    for text in (block + mark + "package a\n", "// line\n" * 40 + mark + "package a\n", '"""\nCopyright.\n\nThis file was generated by x.\n"""\nx = 1\n', "/* a */ /* b\nc */\n" + mark, "<!--\nCopyright\n-->\n<!-- @generated -->\n"):
+        assert H.header_says_generated(text), text
+    for text in (block + "package a\n\nfunc f() {}\n" + mark, '"""One line."""\nx = 1\n# @generated\n', "/* a */ int x;\n" + mark, block + "// Writes stubs.\nint x;\n" + mark):
+        assert not H.header_says_generated(text), text
+
+
 def test_files_no_one_wrote(spark):
     body = "\n".join(f"def handler_number_{k}(value_{k}, other_{k}):\n    return value_{k} + {k} * other_{k}" for k in range(30)) + "\n"
     edited = body.replace("handler_number_3(", "renamed(").replace("\n", "\r\n")

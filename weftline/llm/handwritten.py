@@ -18,8 +18,6 @@ GENERATED_DIRS = ["generated", "__generated__", "gen", "autogen", "auto_generate
 VENDOR_DIRS = ["vendor", "_vendor", "third_party", "third-party", "thirdparty", "external", "deps", "node_modules", "bower_components"]
 GENERATED_NAMES = r"(?i)(_pb2(_grpc)?\.pyi?|_pb\.[jt]sx?|\.pb\.\w+|[._]generated\.\w+|\.gen\.\w+|_gen\.go|\.g\.\w+|\.designer\.\w+)$"
 MINIFIED_NAMES = r"(?i)\.min\.(js|mjs|cjs|css)$"
-#: Lines of a header that are read for a generator's mark, after blank lines; a mark further down speaks of other files.
-HEADER = 12
 #: Least length of a line that counts, most upstream items that a rare line occurs in, least containment both ways.
 LINE, RARE, CONTAINED = 12, 2, 0.5
 #: A script is minified if less than this share of it is white space outside literals, over lines this long at the mean.
@@ -31,30 +29,40 @@ STRONG = re.compile(r"@generated\b|<auto-?generated|^\W*auto-?generated\b(?! fil
 MAKER = re.compile(r"\b(auto-?|machine-?|automatically )?(generated|created|produced|output|written) (by|from|of|with)\b|\bauto-?(generated|created)\b|\bcodegen\b", re.I)
 BAN = re.compile(r"\b(do not|don't|never) (edit|modify|change|touch)\b(?! (them|it)\b)|\b(changes?|edits?|modifications?)\b.{0,24}\b(lost|overwritten|discarded)\b", re.I)
 SPEAKS = re.compile(r"\b(once|formerly|by hand since|maintained by hand|hand-?written|finds|lists|writes|checks|on top of)\b", re.I)
-COMMENT = re.compile(r"^\s*(#|//|/\*|\*|<!--|--|;|\"\"\"|''')")
+COMMENT = re.compile(r"^\s*(#|//|/\*|\*|<!--|--|;|[rRuU]?\"\"\"|[rRuU]?''')")
+#: What ends a comment of several lines, by what begins it.
+CLOSES = {"/*": "*/", "<!--": "-->"} | {p + q: q for p in ("", *"rRuU") for q in ('"""', "'''")}
 LITERAL = re.compile(r"\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\]*(?:\\.[^`\\]*)*`|(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?)\w{0,3}(?![\w$])")
 BETWEEN = re.compile(r"[,\[\]{}()\s;:&=]+")
 
 
-def header_says_generated(text: str) -> bool:
-    """Whether a comment among the first lines says that a tool wrote this very file."""
-    seen = 0
-    for line in text.lstrip("﻿").split("\n"):
-        s = line.strip()
-        if not s:
-            continue
-        seen += 1
-        if seen > HEADER:
-            return False
-        if not COMMENT.match(s):
+def header_lines(text: str) -> Iterator[str]:
+    """Lines of the comments that a text begins with, up to the first line of code, however many; open block comments and docstrings are followed."""
+    closes = None
+    for line in text.lstrip("\ufeff").split("\n"):
+        rest = s = line.strip()
+        if closes is None and s and not COMMENT.match(s):
             if s.startswith(("package ", "#!", "use strict", "'use strict'", '"use strict"')):
                 continue
-            return False
-        if SPEAKS.search(s):
-            continue
-        if STRONG.search(s) or MAKER.search(s) and BAN.search(s):
-            return True
-    return False
+            return
+        if s:
+            yield s
+        while rest:
+            if closes is None:
+                m = COMMENT.match(rest)
+                if not m:
+                    return
+                closes, rest = CLOSES.get(m.group(1)), rest[m.end() :]
+                if closes is None:
+                    break
+            if closes not in rest:
+                break
+            rest, closes = rest.split(closes, 1)[1].strip(), None
+
+
+def header_says_generated(text: str) -> bool:
+    """Whether a comment before the first line of code says that a tool wrote this very file."""
+    return any(not SPEAKS.search(s) and (STRONG.search(s) or MAKER.search(s) and BAN.search(s)) for s in header_lines(text))
 
 
 def composition(text: str) -> tuple[float, float, float]:
