@@ -155,6 +155,16 @@ def test_marks_behind_a_licence():
         assert not H.header_says_generated(text), text
 
 
+def test_copies_of_a_library_with_versions(spark):
+    body = lambda n: "".join(f"def handler_number_{k}(value_{k}):\n    return value_{k} + {k}\n" for k in range(n))
+    up = [(k, lib, f"1.{k}", body(20) + f"LAST_OF_VERSION = {k}\n") for k, lib in ((1, "a"), (2, "a"), (3, "a"))] + [(k, f"b{k}", "1", "import everything_at_once\n" + f"only_here_{k} = {k}\n") for k in (4, 5, 6)]
+    files = [(1, 1, "src/x.py", None, 1, None, None), (2, 1, "src/y.py", None, 1, None, None)]
+    src = [(1, body(20), None, None), (2, "import everything_at_once\n" + "mine_and_no_other = 1\n", None, None)]
+    make = lambda: (spark.createDataFrame(files, FILE), spark.createDataFrame(src, SRC))
+    got = H.not_handwritten(*make(), spark.createDataFrame(up, "item_id long, library string, version string, content string")).collect()
+    assert [(r.file_id, r.reason, r.item_id) for r in got] == [(1, "vendored", 1)]
+
+
 def test_files_no_one_wrote(spark):
     body = "\n".join(f"def handler_number_{k}(value_{k}, other_{k}):\n    return value_{k} + {k} * other_{k}" for k in range(30)) + "\n"
     edited = body.replace("handler_number_3(", "renamed(").replace("\n", "\r\n")

@@ -18,7 +18,7 @@ GENERATED_DIRS = ["generated", "__generated__", "gen", "autogen", "auto_generate
 VENDOR_DIRS = ["vendor", "_vendor", "third_party", "third-party", "thirdparty", "external", "deps", "node_modules", "bower_components"]
 GENERATED_NAMES = r"(?i)(_pb2(_grpc)?\.pyi?|_pb\.[jt]sx?|\.pb\.\w+|[._]generated\.\w+|\.gen\.\w+|_gen\.go|\.g\.\w+|\.designer\.\w+)$"
 MINIFIED_NAMES = r"(?i)\.min\.(js|mjs|cjs|css)$"
-#: Least length of a line that counts, most upstream items that a rare line occurs in, least containment both ways.
+#: Least length of a line that counts, most upstream libraries that a rare line occurs in, least containment both ways.
 LINE, RARE, CONTAINED = 12, 2, 0.5
 #: A script is minified if less than this share of it is white space outside literals, over lines this long at the mean.
 SPACE, MEAN_LINE = 0.09, 90
@@ -98,11 +98,14 @@ TRAITS = "file_id long, header boolean, dense boolean, data boolean, n_lines int
 def upstream_copies(traits: DataFrame, upstream: DataFrame) -> DataFrame:
     """(file_id, item_id, of_item, of_file): each file with the published item that it holds most of, exact shares of rare lines.
 
-    The inverted index is that of the items' lines; a line in more than RARE items is boilerplate and dropped. Files meet items by equal
+    The inverted index is that of the items' lines; a line in more than RARE libraries is boilerplate and dropped, however many versions of a library
+    hold it; without a column ``library`` each item is one. Files meet items by equal
     hashes only; a hot line is one row of the index, and its hits are added up by (file, item) before they move."""
     items = upstream.select(F.col("item_id").alias("file_id"), "content").where(F.col("content").isNotNull()).mapInPandas(trait_rows, TRAITS)
     index = items.select(F.col("file_id").alias("item_id"), F.explode("lines").alias("h"))
-    rare = index.groupBy("h").agg(F.collect_set("item_id").alias("items"), F.count("*").alias("n")).where(F.col("n") <= RARE)
+    own = F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    library = upstream.select("item_id", (F.coalesce("library", own) if "library" in upstream.columns else own).alias("library")).distinct()
+    rare = index.join(library, "item_id").groupBy("h").agg(F.collect_set("item_id").alias("items"), F.collect_set("library").alias("of")).where(F.size("of") <= RARE)
     rare = materialize(rare.select("h", F.explode("items").alias("item_id")), "upstream-lines")
     size = rare.groupBy("item_id").agg(F.count("*").alias("rare_lines"))
     hits = traits.select("file_id", "n_lines", F.explode("lines").alias("h")).join(rare, "h").groupBy("file_id", "n_lines", "item_id").agg(F.count_distinct("h").alias("shared"))
