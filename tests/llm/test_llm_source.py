@@ -165,6 +165,16 @@ def test_copies_of_a_library_with_versions(spark):
     assert [(r.file_id, r.reason, r.item_id) for r in got] == [(1, "vendored", 1)]
 
 
+def test_source_files_of_any_suffix(spark):
+    dense = "export function _a(_b){" + "".join(f"if(_b.x{k}){{_c(_b,_d{k});return _b.y{k}||_e;}}" for k in range(60)) + "}"
+    cases = {1: ("node_modules/x.mjs", "a()", "vendored"), 2: ("a/b.min.css", None, "minified"), 3: ("a/b.pb.cc", None, "generated"), 4: ("a/b.PB.H", None, "generated"), 5: ("a/b.designer.cs", None, "generated"), 6: ("a/b.c", "/* Code generated by x. DO NOT EDIT. */\nint x;\n", "generated"), 7: ("a/b.cjs", dense, "minified"),
+             8: ("vendor/a.json", "{}", None), 9: ("vendor/.env", "A=1", None), 10: ("vendor/README.MD", "x", None), 11: ("a/b.cc", "int x;\n", None), 12: ("generated/a.YML", "# Code generated by x. DO NOT EDIT.\n", None)}
+    files = spark.createDataFrame([(i, 1, p, None, None, None, None) for i, (p, *_) in cases.items()], FILE)
+    src = spark.createDataFrame([(i, t, None, None) for i, (_, t, _) in cases.items()], SRC)
+    got = {r.file_id: r.reason for r in H.not_handwritten(files, src, spark.createDataFrame([], "item_id long, content string")).collect()}
+    assert got == {i: r for i, (*_, r) in cases.items() if r}
+
+
 def test_files_no_one_wrote(spark):
     body = "\n".join(f"def handler_number_{k}(value_{k}, other_{k}):\n    return value_{k} + {k} * other_{k}" for k in range(30)) + "\n"
     edited = body.replace("handler_number_3(", "renamed(").replace("\n", "\r\n")

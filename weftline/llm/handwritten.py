@@ -18,6 +18,13 @@ GENERATED_DIRS = ["generated", "__generated__", "gen", "autogen", "auto_generate
 VENDOR_DIRS = ["vendor", "_vendor", "third_party", "third-party", "thirdparty", "external", "deps", "node_modules", "bower_components"]
 GENERATED_NAMES = r"(?i)(_pb2(_grpc)?\.pyi?|_pb\.[jt]sx?|\.pb\.\w+|[._]generated\.\w+|\.gen\.\w+|_gen\.go|\.g\.\w+|\.designer\.\w+)$"
 MINIFIED_NAMES = r"(?i)\.min\.(js|mjs|cjs|css)$"
+#: Suffixes of configuration, documents and other files that are no source; all others are judged.
+NO_SOURCE = (
+    "json jsonc json5 jsonl ndjson yml yaml xml xsd xsl xslt cfg conf config cnf ini toml env properties props plist editorconfig gitignore gitattributes gitmodules dockerignore npmignore npmrc lock sum mod "
+    "txt md markdown rst adoc tex pdf doc docx xls xlsx ppt pptx csv tsv log diff patch ipynb parquet avro orc db sqlite pem crt key svg png jpg jpeg gif ico webp bmp woff woff2 ttf otf eot mp3 mp4 wav zip gz tgz tar jar war class so dll exe bin map"
+).split()
+#: Suffixes of scripts beside those of a language we know.
+SCRIPTS = ["mjs", "cjs", "mts", "cts"]
 #: Least length of a line that counts, most upstream libraries that a rare line occurs in, least containment both ways.
 LINE, RARE, CONTAINED = 12, 2, 0.5
 #: A script is minified if less than this share of it is white space outside literals, over lines this long at the mean.
@@ -117,8 +124,8 @@ def not_handwritten(files: DataFrame, sources: DataFrame, upstream: DataFrame) -
     """(file_id, repository_id, reason, item_id, size_bytes) of every source file that no one wrote by hand, with the first reason that holds:
     generated, vendored, minified, data.
 
-    Needs id, repository_id, path, language, size_bytes of ``files``, file_id, content of ``sources`` and item_id, content of ``upstream``. Only
-    files with the suffix of a language we know, or without suffix, are judged; configuration files never come out. A file whose content is
+    Needs id, repository_id, path, language, size_bytes of ``files``, file_id, content of ``sources`` and item_id, content of ``upstream``, with
+    library if it has versions. Files with a suffix of NO_SOURCE, such as configuration, never come out; all others are judged. A file whose content is
     null or missing is judged by its path. Line ends and a byte-order mark change nothing; size_bytes is given as stored, as it may be null
     or wrong. A file is judged once for each of its rows in ``files``, however often its text comes; rows without an id and empty tables give no rows.
 
@@ -131,8 +138,9 @@ def not_handwritten(files: DataFrame, sources: DataFrame, upstream: DataFrame) -
     lang = suffix_language(F.col("path"), F.col("language"))
     base = F.regexp_extract("path", r"([^/]+)$", 1)
     f = files.select("id", "repository_id", "path", "size_bytes", lang.alias("lang"), parts.alias("dirs"), base.alias("base")).where("id is not null")
-    f = f.where(F.col("lang").isNotNull() | ~F.col("base").contains("."))
-    script = F.col("lang").isin("javascript", "typescript")
+    suffix = F.lower(F.regexp_extract("base", r"\.([^.]+)$", 1))
+    f = f.where(~suffix.isin(*NO_SOURCE))
+    script = F.coalesce(F.col("lang").isin("javascript", "typescript"), F.lit(False)) | suffix.isin(*SCRIPTS)
     # a directory under node_modules and the like may itself be called gen or dist: the outer one decides
     has = lambda names: F.exists("dirs", lambda d: F.lower(d).isin(*names))
     j = f.join(traits.drop("lines", "n_lines").dropDuplicates(["file_id"]).alias("t"), F.col("id") == F.col("t.file_id"), "left").drop("file_id").join(copies, F.col("id") == F.col("file_id"), "left")
