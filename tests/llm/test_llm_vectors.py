@@ -60,10 +60,38 @@ def test_asking_rows_only(spark):
     assert {r.id for r in got} == {100, 200, 300}
 
 
-def test_split_shards_answer_alike(spark):
-    x = table()[:500]
-    space = N.fit_space(x / np.linalg.norm(x, axis=1, keepdims=True), 500, shard=500, split=120)
-    assert space.parts.max() > 1
+def recall(lists, want):
+    return np.mean([len({r.nb for r in lists[i]} & set(w)) / len(w) for i, w in want.items()])
+
+
+def by_id(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.id, []).append(r)
+    return out
+
+
+def test_recall_of_defaults_over_many_shards(spark):
+    """Beam, probes and dimensions as the queries use them, no floor; only the shards are smaller, so that there are 30."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 96))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.8 * rng.standard_normal((3000, 96))).astype(np.float32)
+    want = {i: w for i, w in brute(x, np.arange(1, 3001), 5).items() if i % 100 == 0}
+    got = by_id(N.nearest(frame(spark, x), asks="id % 100 = 0", width=96, shard=100).collect())
+    assert set(got) == set(want) and recall(got, want) >= 0.95
+
+
+def test_large_cells_are_refined(spark):
+    """Cells above ``split`` are cut by centres of their own, and where these cannot tell rows apart, by hash: all rows still answer."""
+    x = table(900)
+    want = brute(x, np.arange(1, 901), 5)
+    want = {i: w for i, w in want.items() if not 100 <= i <= 113}
+    got = by_id(N.nearest(frame(spark, x), width=16, shard=150, split=60).collect())
+    assert set(got) == set(range(1, 901)) and all(len(v) == 5 for v in got.values()) and recall(got, want) >= 0.85
+    near = np.tile(np.random.default_rng(2).standard_normal(16), (200, 1)).astype(np.float32)
+    near[:, 0] += np.arange(200, dtype=np.float32) * 1e-6
+    got = by_id(N.nearest(frame(spark, near), width=16, shard=100, split=40).collect())
+    assert len(got) == 200 and all(len(v) == 5 for v in got.values())
 
 
 def test_few_and_no_rows(spark):

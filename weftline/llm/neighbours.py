@@ -14,33 +14,51 @@ from pyspark.sql import functions as F
 from weftline.session import materialize
 
 WIDTH = 384
-#: Vectors that projection and centroids are fitted on, at most about; dimensions of the projected space that graphs are walked in.
-SAMPLE, DIMS = 8192, 48
-#: Vectors a shard aims at, most centroids, and most rows or guests that one graph gets before its shard is split.
-SHARD, CENTROIDS, SPLIT = 4096, 1024, 16384
-#: Out-degree of the graph, beam while building, distance relaxation of the pruning.
-DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.05
+#: Vectors that the projection and the centres of the first level are fitted on, at most about; dimensions of the projected space.
+SAMPLE, DIMS = 16384, 96
+#: Vectors a shard aims at, centres fitted at one time (more come by refining cells), and most rows of a shard that is not refined.
+SHARD, CENTROIDS, SPLIT = 2048, 1024, 16384
+#: Shards that a vector asks at most, and how much farther than the nearest centre another may be to be asked.
+PROBES, SLACK = 4, 0.15
+#: Out-degree of the graph, beam while building, distance relaxation of the pruning, beam of a query, queries that walk together.
+DEGREE, BUILD_BEAM, ALPHA, BEAM, GROUP = 32, 48, 1.05, 24, 64
+#: Sample rows a centre when a cell is refined, rows of a cell that are refined in one task, rounds after which a cell is cut by hash.
+PER_CENTRE, SLICE, ROUNDS = 16, 65536, 4
+
+
+def kmeans(low: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
+    k = max(1, min(k, len(low)))
+    centres = low[np.random.default_rng(seed).choice(len(low), k, replace=False)]
+    for _ in range(rounds):
+        own = ((centres**2).sum(axis=1) - 2 * (low @ centres.T)).argmin(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, low)
+        count = np.bincount(own, minlength=k)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+    return centres.astype(np.float32)
+
+
+def route(low: np.ndarray, centres: np.ndarray, probes: int, slack: float) -> np.ndarray:
+    """The nearest centres of each row, the home first; -1 for those farther than 1 + ``slack`` times the distance of the home."""
+    d = (low**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (low @ centres.T)
+    k = min(probes, len(centres))
+    top = np.argpartition(d, k - 1, axis=1)[:, :k]
+    top = np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, axis=1), axis=1, kind="stable"), axis=1)
+    dist = np.sqrt(np.maximum(np.take_along_axis(d, top, axis=1), 0))
+    return np.where(dist <= (1 + slack) * dist[:, :1] + 1e-6, top, -1)
 
 
 @dataclass
 class Space:
-    """Projection, centroids and, for each centroid, how many parts its vectors and its guests are split into."""
+    """Projection and the centres of the first level."""
 
     mean: np.ndarray
     axes: np.ndarray
     centres: np.ndarray
-    parts: np.ndarray
-    guest_parts: np.ndarray
 
     def project(self, unit: np.ndarray) -> np.ndarray:
         return (unit - self.mean) @ self.axes
 
-    def nearest(self, low: np.ndarray, probes: int) -> np.ndarray:
-        d = (self.centres**2).sum(axis=1) - 2 * (low @ self.centres.T)
-        k = min(probes, len(self.centres))
-        top = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, axis=1), axis=1, kind="stable"), axis=1)
-
 
 def usable(width: int) -> str:
     return f"size(embedding) = {width} and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -66,67 +84,69 @@ def unpack16(blobs: list[bytes], width: int) -> np.ndarray:
     return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def fit_space(sample: np.ndarray, n: int, shard: int = SHARD, split: int = SPLIT, dims: int = DIMS) -> Space:
-    """Principal axes and k-means centres of a sample. The number of centres follows the number of vectors, so shards keep
-    their size up to CENTROIDS of them; what the sample shows to be larger is split."""
-    rng = np.random.default_rng(3)
+def fit_space(sample: np.ndarray, n: int, shard: int = SHARD, dims: int = DIMS, most: int = CENTROIDS) -> Space:
+    """Principal axes and k-means centres of a sample; the number of centres follows the number ``n`` of vectors up to ``most``, beyond which
+    cells are refined by samples of their own (see ``refine``)."""
     mean = sample.mean(axis=0)
     _, vectors = np.linalg.eigh(np.cov((sample - mean).T))
     axes = np.ascontiguousarray(vectors[:, ::-1][:, : min(dims, sample.shape[1])]).astype(np.float32)
-    low = (sample - mean) @ axes
-    k = max(1, min(CENTROIDS, -(-n // shard), len(low)))
-    centres = low[rng.choice(len(low), k, replace=False)]
-    for _ in range(10):
-        own = ((centres**2).sum(axis=1) - 2 * (low @ centres.T)).argmin(axis=1)
-        total = np.zeros_like(centres)
-        np.add.at(total, own, low)
-        count = np.bincount(own, minlength=k)
-        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
-    space = Space(mean.astype(np.float32), axes, centres.astype(np.float32), np.ones(k, int), np.ones(k, int))
-    near = space.nearest(low, 2)
-    share = n / len(low)
-    space.parts = np.ceil(np.bincount(near[:, 0], minlength=k) * share / split).astype(int).clip(1)
-    if near.shape[1] > 1:
-        space.guest_parts = np.ceil(np.bincount(near[:, 1], minlength=k) * share / split).astype(int).clip(1)
-    return space
+    low = ((sample - mean) @ axes).astype(np.float32)
+    return Space(mean.astype(np.float32), axes, kmeans(low, min(most, -(-n // shard))))
+
+
+def near_order(low: np.ndarray, leaf: int = GROUP) -> np.ndarray:
+    """An order in which rows near each other stand together: halves along the widest axis, down to runs of ``leaf``."""
+    out, stack = [], [np.arange(len(low))]
+    while stack:
+        a = stack.pop()
+        if len(a) <= leaf:
+            out.append(a)
+            continue
+        x = low[a]
+        a = a[np.argsort(x[:, int(x.var(axis=0).argmax())], kind="stable")]
+        half = -(-len(a) // (2 * leaf)) * leaf
+        half = half if half < len(a) else leaf
+        stack += [a[half:], a[:half]]
+    return np.concatenate(out)
 
 
 class Graph:
-    """A directed graph over the projected vectors of a shard, built in doubling batches by greedy search and robust pruning."""
+    """A directed graph over the vectors of a shard, built in doubling batches by greedy search and robust pruning.
 
-    def __init__(self, low: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 5):
-        self.low = np.ascontiguousarray(low, dtype=np.float32)
-        self.sq = (self.low**2).sum(axis=1)
+    Searches compare full vectors; pruning compares projected ones. Queries that lie near each other walk together: what one of
+    them opens is compared with all, as one matrix product."""
+
+    def __init__(self, unit: np.ndarray, low: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 5):
+        self.unit, self.low = np.ascontiguousarray(unit, dtype=np.float32), low
         self.degree, self.alpha = degree, alpha
-        n = len(low)
-        self.out = np.full((n, degree), -1, dtype=np.int64)
+        n = len(unit)
+        self.out = np.full((n, degree), -1, dtype=np.int32)
+        self.met, self.opened = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         order = np.random.default_rng(seed).permutation(n)
-        first = order[: min(n, 128)]
-        self.starts = first[: min(len(first), 8)]
-        if len(first) > 1:
-            d = self.sq[first][:, None] + self.sq[first][None] - 2 * self.low[first] @ self.low[first].T
-            near = np.argsort(d, axis=1, kind="stable")[:, : min(len(first), beam + 1)]
-            self.out[first] = self.prune(first, first[near])
+        self.entries = first = order[: min(n, 128)]
+        near = np.argsort(-(self.unit[first] @ self.unit[first].T), axis=1, kind="stable")[:, : beam + 1]
+        self.out[first] = self.prune(first, first[near])
         done = len(first)
         while done < n:
-            batch = order[done : done + min(max(done, 64), 1024)]
-            near, _ = self.search(self.low[batch], beam)
-            self.out[batch] = self.prune(batch, near)
+            batch = order[done : done + min(max(done, GROUP), 2048)]
+            batch = batch[near_order(low[batch])]
+            for a in range(0, len(batch), GROUP):
+                part = batch[a : a + GROUP]
+                self.out[part] = self.prune(part, self.search(self.unit[part], beam)[0])
             self.link_back(batch)
             done += len(batch)
 
     def prune(self, points: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Up to ``degree`` of the candidates ``near`` (-1: none): the closest first, each removing those that it is nearer to, by
         the relaxed distance, than the point is."""
-        b, c = near.shape
+        x, p = self.low[near], self.low[points]
+        sq = (x**2).sum(axis=2)
         ok = (near >= 0) & (near != points[:, None])
-        v = self.low[near]
-        sq = self.sq[near]
-        dp = np.where(ok, sq + self.sq[points][:, None] - 2 * (v @ self.low[points][:, :, None])[..., 0], np.inf)
-        between = sq[:, :, None] + sq[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        dp = np.where(ok, sq + (p**2).sum(axis=1)[:, None] - 2 * (x @ p[:, :, None])[..., 0], np.inf)
+        between = sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
         between *= self.alpha**2
-        out = np.full((b, self.degree), -1, dtype=np.int64)
-        rows = np.arange(b)
+        out = np.full((len(near), self.degree), -1, dtype=np.int32)
+        rows = np.arange(len(near))
         alive = dp.copy()
         for r in range(self.degree):
             k = alive.argmin(axis=1)
@@ -139,15 +159,13 @@ class Graph:
 
     def link_back(self, batch: np.ndarray) -> None:
         """Edges back from the new neighbours; where a list overflows, old and nearest new edges are pruned together."""
-        to = self.out[batch]
-        src = np.repeat(batch, self.degree)[to.ravel() >= 0]
-        dst = to.ravel()[to.ravel() >= 0]
-        d = self.sq[src] + self.sq[dst] - 2 * (self.low[src] * self.low[dst]).sum(axis=1)
-        o = np.lexsort((d, dst))
+        to = self.out[batch].ravel()
+        src, dst = np.repeat(batch, self.degree)[to >= 0], to[to >= 0]
+        o = np.lexsort((((self.low[src] - self.low[dst]) ** 2).sum(axis=1), dst))
         src, dst = src[o], dst[o]
         heads, start, count = np.unique(dst, return_index=True, return_counts=True)
         rank = np.arange(len(dst)) - np.repeat(start, count)
-        added = np.full((len(heads), self.degree), -1, dtype=np.int64)
+        added = np.full((len(heads), self.degree), -1, dtype=np.int32)
         keep = rank < self.degree
         added[np.repeat(np.arange(len(heads)), count)[keep], rank[keep]] = src[keep]
         both = np.concatenate([self.out[heads], added], axis=1)
@@ -155,46 +173,41 @@ class Graph:
         packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)
         self.out[heads[room]] = packed[room, : self.degree]
         full = np.flatnonzero(~room)
-        for a in range(0, len(full), 1024):
-            part = full[a : a + 1024]
+        for a in range(0, len(full), 512):
+            part = full[a : a + 512]
             self.out[heads[part]] = self.prune(heads[part], both[part])
 
     def search(self, q: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search of all queries at once: ids (-1: none) and distances of the ``beam`` best that were met, nearest first."""
-        b = len(q)
-        ids = np.full((b, beam), -1, dtype=np.int64)
-        dist = np.full((b, beam), np.inf, dtype=np.float32)
-        seen = np.zeros((b, beam), dtype=bool)
-        s = self.starts[: min(beam, len(self.starts))]
-        ids[:, : len(s)] = s
-        dist[:, : len(s)] = self.sq[s] - 2 * (q @ self.low[s].T)
-        o = np.argsort(dist, axis=1, kind="stable")
-        ids, dist = np.take_along_axis(ids, o, axis=1), np.take_along_axis(dist, o, axis=1)
-        live = np.arange(b)
-        while len(live):
-            i, d, e = ids[live], dist[live], seen[live]
-            left = np.where(e, np.inf, d)
-            w = min(width, beam)
-            pick = np.argpartition(left, w - 1, axis=1)[:, :w]
-            good = np.isfinite(np.take_along_axis(left, pick, axis=1))
-            going = good.any(axis=1)
-            live, i, d, e, pick, good = live[going], i[going], d[going], e[going], pick[going], good[going]
-            if not len(live):
-                break
-            np.put_along_axis(e, pick, True, axis=1)
-            at = np.where(good, np.take_along_axis(i, pick, axis=1), -1)
-            new = np.where((at >= 0)[:, :, None], self.out[at], -1).reshape(len(live), -1)
-            nd = self.sq[new] - 2 * (self.low[new] @ q[live][:, :, None])[..., 0]
-            nd[new < 0] = np.inf
-            ci, cd = np.concatenate([i, new], axis=1), np.concatenate([d, nd], axis=1)
-            ce = np.concatenate([e, np.zeros(new.shape, dtype=bool)], axis=1)
-            o = np.argsort(cd, axis=1, kind="stable")[:, : 3 * beam]
-            ci, cd, ce = (np.take_along_axis(x, o, axis=1) for x in (ci, cd, ce))
-            cd[:, 1:][ci[:, 1:] == ci[:, :-1]] = np.inf
-            o = np.argsort(cd, axis=1, kind="stable")[:, :beam]
-            ci, cd, ce = (np.take_along_axis(x, o, axis=1) for x in (ci, cd, ce))
-            ids[live], dist[live], seen[live] = np.where(np.isfinite(cd), ci, -1), cd, ce | ~np.isfinite(cd)
-        return ids, dist
+        """Beam search of a group of queries: ids and similarities of the ``beam`` best nodes each has met, best first. A round
+        opens the ``width`` best unopened nodes of every query's beam; the search ends when all nodes of all beams are open."""
+        ids, sim = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0), dtype=np.float32)
+        new = self.entries
+        self.met[new] = True
+        seen = [new]
+        while len(new):
+            ids = np.concatenate([ids, np.broadcast_to(new, (len(q), len(new)))], axis=1)
+            sim = np.concatenate([sim, q @ self.unit[new].T], axis=1)
+            if ids.shape[1] > beam:
+                k = np.argpartition(-sim, beam - 1, axis=1)[:, :beam]
+                ids, sim = np.take_along_axis(ids, k, axis=1), np.take_along_axis(sim, k, axis=1)
+            new = new[:0]
+            while not len(new):
+                left = np.where(self.opened[ids], -np.inf, sim)
+                w = min(width, left.shape[1])
+                k = np.argpartition(-left, w - 1, axis=1)[:, :w]
+                go = np.unique(np.take_along_axis(ids, k, axis=1)[np.isfinite(np.take_along_axis(left, k, axis=1))])
+                if not len(go):
+                    break
+                self.opened[go] = True
+                out = self.out[go].ravel()
+                out = out[out >= 0]
+                new = np.unique(out[~self.met[out]])
+                self.met[new] = True
+                seen.append(new)
+        for x in seen:
+            self.met[x] = self.opened[x] = False
+        o = np.argsort(-sim, axis=1, kind="stable")
+        return np.take_along_axis(ids, o, axis=1), np.take_along_axis(sim, o, axis=1)
 
 
 def search_shard(space, width: int, beam: int, keep: int, floor: float):
@@ -209,15 +222,15 @@ def search_shard(space, width: int, beam: int, keep: int, floor: float):
             return empty
         unit = unpack16(pdf["v"].tolist(), width)
         low = space.value.project(unit)
-        base, base_ids = unit[own], ids[own]
-        graph = Graph(low[own])
+        base_ids = ids[own]
+        graph = Graph(unit[own], low[own])
+        asks = asks[near_order(low[asks])]
         parts = []
-        for a in range(0, len(asks), 512):
-            rows = asks[a : a + 512]
-            near, _ = graph.search(low[rows], beam)
-            sim = (base[near] @ unit[rows][:, :, None])[..., 0].astype(np.float64)
-            nb = base_ids[near]
-            sim[(near < 0) | (nb == ids[rows][:, None])] = -np.inf
+        for a in range(0, len(asks), GROUP):
+            rows = asks[a : a + GROUP]
+            near, sim = graph.search(unit[rows], beam)
+            sim, nb = sim.astype(np.float64), base_ids[near]
+            sim[nb == ids[rows][:, None]] = -np.inf
             o = np.lexsort((nb, -sim), axis=1)[:, :keep]
             sim, nb = np.take_along_axis(sim, o, axis=1), np.take_along_axis(nb, o, axis=1)
             good = sim >= floor
@@ -227,22 +240,28 @@ def search_shard(space, width: int, beam: int, keep: int, floor: float):
     return run
 
 
-def key_rows(width: int):
-    """A mapInArrow function: id and a 128-bit key of the vector's direction."""
+def key_rows(space, width: int, probes: int, slack: float):
+    """A mapInArrow function: id, a 128-bit key of the vector's direction, and the cells it asks, its home first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        s: Space = space.value
         for b in batches:
             if b.num_rows:
-                keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in units(b, width)]
-                yield pa.record_batch([b.column("id"), pa.array(keys, pa.binary())], names=["id", "key"])
+                unit = units(b, width)
+                keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in unit]
+                cells = [[c for c in row if c >= 0] for row in route(s.project(unit), s.centres, probes, slack).tolist()]
+                yield pa.record_batch([b.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "key", "cells"])
 
     return run
 
 
-def place_rows(space, width: int, probes: int):
-    """A mapInArrow function: a row for each shard part that a vector is indexed in or asks."""
+PLACED = "shard long, id long, indexed boolean, asks boolean, v binary"
+
+
+def place_rows(space, width: int, probes: int, slack: float):
+    """A mapInArrow function: a row for each shard that a vector is indexed in (the nearest) or asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Space = space.value
@@ -250,32 +269,63 @@ def place_rows(space, width: int, probes: int):
             if not b.num_rows:
                 continue
             unit = units(b, width)
-            near = s.nearest(s.project(unit), probes)
-            ids, asks = b.column("id").to_numpy(), b.column("asks").to_pylist()
-            spin = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            row, shard, indexed, ask = [], [], [], []
-            for r, (cs, h, wants) in enumerate(zip(near.tolist(), spin.tolist(), asks)):
-                home = cs[0]
-                mine = h % int(s.parts[home])
-                for k, c in enumerate(cs if wants else cs[:1]):
-                    g = (h >> 8) % int(s.guest_parts[c])
-                    for p in range(int(s.parts[c])):
-                        if k == 0 and p == mine:
-                            for x in range(int(s.guest_parts[c])):
-                                row.append(r), shard.append((c << 40) | (p << 20) | x), indexed.append(True), ask.append(wants and x == g)
-                        elif wants:
-                            row.append(r), shard.append((c << 40) | (p << 20) | g), indexed.append(False), ask.append(True)
+            near = route(s.project(unit), s.centres, probes, slack)
+            asks = b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            row, k = np.nonzero((near >= 0) & (asks[:, None] | (np.arange(near.shape[1]) == 0)))
             v = pack16(unit)
             yield pa.record_batch(
-                [pa.array(shard, pa.int64()), pa.array(ids[row]), pa.array(indexed, pa.bool_()), pa.array(ask, pa.bool_()), pa.array([v[r] for r in row], pa.binary())],
+                [pa.array(near[row, k], pa.int64()), b.column("id").take(pa.array(row)), pa.array(k == 0), pa.array(asks[row]), pa.array([v[r] for r in row], pa.binary())],
                 names=["shard", "id", "indexed", "asks", "v"],
             )
 
     return run
 
 
+def refine(placed: DataFrame, large: DataFrame, space, width: int, shard: int, split: int, probes: int, slack: float) -> DataFrame:
+    """``placed`` with the rows of ``large`` shards (shard, n) moved to shards of about ``shard`` rows, by centres that Spark fits on a bounded
+    sample of each (at most CENTROIDS of them, PER_CENTRE rows a centre). Cells are cut to slices of SLICE rows for the routing, so no task
+    holds a cell. Shards that are still too large come again; after ROUNDS a shard is cut by hash and asked in all its parts, which is exact."""
+    for _ in range(ROUNDS):
+        plan = large.select("shard", F.least(F.lit(CENTROIDS), F.ceil(F.col("n") / shard)).cast("int").alias("k"), "n", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        every = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("k") * PER_CENTRE)).cast("long"))
+        inside = placed.join(plan, "shard")
+        sample = inside.where(F.col("indexed") & (F.pmod(F.xxhash64("id", F.lit(7)), every) == 0)).select("shard", "k", "v")
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            low = space.value.project(unpack16(pdf["v"].tolist(), width)).astype(np.float32)
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "centres": [kmeans(low, int(pdf["k"].iloc[0])).tobytes()]})
+
+        def move(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(centres):
+                return rows[[c.split()[0] for c in PLACED.split(", ")]]
+            low = space.value.project(unpack16(rows["v"].tolist(), width)).astype(np.float32)
+            at = np.frombuffer(centres["centres"].iloc[0], dtype=np.float32).reshape(-1, low.shape[1])
+            near = route(low, at, probes, slack)
+            own, asks = rows["indexed"].to_numpy(bool), rows["asks"].to_numpy(bool)
+            row, k = np.nonzero((near >= 0) & (asks[:, None] | (np.arange(near.shape[1]) == 0)))
+            out = rows.iloc[row]
+            salt = np.uint64(0x9E3779B97F4A7C15)
+            name = ((out["shard"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)) * salt + near[row, k].astype(np.uint64) + np.uint64(1)) * salt
+            return pd.DataFrame({"shard": name.view(np.int64), "id": out["id"].to_numpy(), "indexed": own[row] & (k == 0), "asks": asks[row], "v": out["v"].to_numpy()})
+
+        centres = materialize(sample.groupBy("shard").applyInPandas(fit, "shard long, centres binary"), "nn-centres")
+        slices = centres.join(plan, "shard").select("shard", "centres", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        rows = inside.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(9)), F.col("slices")).cast("int"))
+        moved = materialize(rows.groupBy("shard", "slice").cogroup(slices.groupBy("shard", "slice")).applyInPandas(move, PLACED), "nn-moved")
+        placed = placed.join(large.select("shard"), "shard", "left_anti").unionByName(moved)
+        large = materialize(moved.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > split), "nn-large")
+        if large.isEmpty():
+            return placed
+    parts = F.ceil(F.col("n") / split).cast("int")
+    cut = placed.join(large.select("shard", parts.alias("parts")), "shard")
+    mine = F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int")
+    cut = cut.withColumn("mine", mine).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
+    cut = cut.select(F.xxhash64("shard", "part").alias("shard"), "id", (F.col("indexed") & (F.col("part") == F.col("mine"))).alias("indexed"), "asks", "v")
+    return placed.join(large.select("shard"), "shard", "left_anti").unionByName(cut)
+
+
 def nearest(
-    chunks: DataFrame, k: int = 5, asks: str = "true", width: int = WIDTH, beam: int = 24, probes: int = 2, floor: float = -1.0, shard: int = SHARD, dims: int = DIMS
+    chunks: DataFrame, k: int = 5, asks: str = "true", width: int = WIDTH, beam: int = BEAM, probes: int = PROBES, slack: float = SLACK, floor: float = -1.0, shard: int = SHARD, dims: int = DIMS, split: int = SPLIT
 ) -> DataFrame:
     """(id, nb, sim, rank): the ``k`` most similar other vectors, of similarity ``floor`` at least, of every row for which ``asks`` holds.
 
@@ -284,32 +334,38 @@ def nearest(
     neighbours of similarity 1, on equal similarity by id, and are indexed once, so copies of one vector load no shard. A table with fewer
     than k + 1 usable rows gives shorter lists; an empty table gives no rows.
 
-    Plan: keys of all vectors in one pass; projection and centroids from about SAMPLE of them on the driver; then one shuffle of
-    16-bit vectors to shards, one graph a shard. A shard that the sample shows to be too large is split, and so are its guests.
+    Plan: projection and centres from about SAMPLE vectors on the driver; keys and cells of all vectors in one pass; one shuffle of
+    16-bit vectors to shards, one graph a shard. A vector is indexed in its nearest shard and asks those whose centres are nearly as near.
+    Cells that the counted pass shows to be larger than ``split`` are refined by samples of their own before, so shards keep their size at any number of vectors.
     """
     spark = chunks.sparkSession
     good = chunks.where(F.expr(usable(width)) & F.col("id").isNotNull())
-    keys = materialize(good.select("id", "embedding").mapInArrow(key_rows(width), "id long, key binary").distinct(), "nn-keys")
-    n = keys.count()
-    many = max(1, -(-n // SAMPLE))
+    many = max(1, -(-chunks.count() // SAMPLE))
     sample = good.where(F.expr(f"pmod(xxhash64(id), {many}) = 0")).select("id", "embedding").mapInArrow(sample_rows(width), "v binary").toArrow()
-    same = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep")
-    copies = materialize(keys.join(same, "key").select("id", "rep"), "nn-copies")
+    if not sample.num_rows:  # no id fell into the sample of a small table
+        sample = good.limit(SAMPLE).select("id", "embedding").mapInArrow(sample_rows(width), "v binary").toArrow()
     if not sample.num_rows:
-        if n:  # no id fell into the sample of a small table
-            sample = good.limit(SAMPLE).select("id", "embedding").mapInArrow(sample_rows(width), "v binary").toArrow()
-        else:
-            return spark.createDataFrame([], "id long, nb long, sim double, rank int")
-    space = spark.sparkContext.broadcast(fit_space(unpack16(sample.column("v").to_pylist(), width), n, shard, dims=dims))
+        return spark.createDataFrame([], "id long, nb long, sim double, rank int")
+    about = sample.num_rows * many
+    space = spark.sparkContext.broadcast(fit_space(unpack16(sample.column("v").to_pylist(), width), about, shard, dims))
+    keys = materialize(good.select("id", "embedding").mapInArrow(key_rows(space, width, probes, slack), "id long, key binary, cells array<long>").dropDuplicates(["id", "key"]), "nn-keys")
+    one = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.min("cells").alias("cells"))
+    one = materialize(one, "nn-directions")
+    copies = materialize(keys.join(one.where("c > 1").select("key", "rep"), "key").select("id", "rep"), "nn-copies")
+    large = materialize(one.select(F.explode("cells").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > split), "nn-large")
     # a class of copies asks if one of its members does; its representative stands for it
-    ask = F.expr(asks)
+    ask = F.coalesce(F.expr(asks), F.lit(False))
     wanted = good.where(ask).select("id") if asks != "true" else None
     rest = good.select("id", "embedding", ask.alias("asks")).join(copies.where("id <> rep").select("id"), "id", "left_anti")
     if wanted is not None:
         heads_asking = copies.join(wanted, "id", "left_semi").select(F.col("rep").alias("id")).distinct().withColumn("also", F.lit(True))
         rest = rest.join(heads_asking, "id", "left").withColumn("asks", F.coalesce("also", "asks")).drop("also")
-    placed = rest.mapInArrow(place_rows(space, width, probes), "shard long, id long, indexed boolean, asks boolean, v binary")
-    found = placed.groupBy("shard").applyInPandas(search_shard(space, width, beam, k + 1, floor), "q long, nb long, sim double")
+    placed = rest.mapInArrow(place_rows(space, width, probes, slack), PLACED)
+    if not large.isEmpty():
+        placed = refine(placed, large, space, width, shard, split, probes, slack)
+    # about a task for each shard, so that none gets many; the sums above say how many there are
+    tasks = max(spark.sparkContext.defaultParallelism, min(-(-about // shard), 32768))
+    found = placed.repartition(tasks, "shard").groupBy("shard").applyInPandas(search_shard(space, width, beam, k + 1, floor), "q long, nb long, sim double")
     found = materialize(found, "nn-found")
     # members of a class beyond its k + 1 least ids are in no list
     by_rep = Window.partitionBy("rep").orderBy("id")

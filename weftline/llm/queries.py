@@ -71,12 +71,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    # a row of similarity 0.8 can only be pushed out of a list by rows above 0.8, so the floor changes no answer
-    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunks"), floor=0.8)).toDF("chunk_id_a", "chunk_id_b")
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunks"))).toDF("chunk_id_a", "chunk_id_b")
 
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(table(spark, d, "chunks"), asks="id % 100 = 0", beam=256, probes=8, dims=96).withColumn("sim", F.round("sim", 4))
+    return neighbours.nearest(table(spark, d, "chunks"), asks="id % 100 = 0").withColumn("sim", F.round("sim", 4))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
