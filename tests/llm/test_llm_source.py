@@ -192,3 +192,61 @@ def test_files_no_one_wrote(spark):
     got = {r.file_id: r.reason for r in df.collect()}
     assert got == {i: r for i, (_, _, r) in cases.items() if r}
     assert H.not_handwritten(spark.createDataFrame([], FILE), spark.createDataFrame([], SRC), spark.createDataFrame([], "item_id long, content string")).count() == 0
+
+
+def kinds_of(text):
+    return [(text[a:b], k) for a, b, k in C.find(text)]
+
+
+def test_credentials_behind_any_number_of_layers():
+    line = "password = 'Xk29vQpz81'"
+    for n in range(7):
+        a, b, _ = C.find(f"blob = '{line}'" if n else line)[0]
+        assert b > a
+        line = base64.b64encode(line.encode()).decode() if n % 2 else line.encode().hex()
+    assert C.find('password = "' + "aB3$" * 2000 + '"')[0][1] == 8012
+
+
+def test_masking_leaves_everything_else():
+    for text, value in (
+        ("run(password='\\x5a\\x78\\x39\\x71\\x4b\\x70' ; other = keep_me)", "\\x5a\\x78\\x39\\x71\\x4b\\x70"),
+        ("DB_URL=postgres%3A%2F%2Fsvc%3AXk29vQpz81%40db%2Fmain", "Xk29vQpz81"),
+        ("u = 'x%20y'; v = \"amqp://svc:Xk29%24Qpz@h/m\"; w = 1", "Xk29%24Qpz"),
+        ("def f(a, api_key=\"!MgvPJ4LSd\"):\n    return a", "!MgvPJ4LSd"),
+        ("slot_api_key = sUSjonjbWHFRRFr0A90JoPxp ...", "sUSjonjbWHFRRFr0A90JoPxp"),
+        ("# old password was dense-feeder-submit-109, rotate it", "dense-feeder-submit-109"),
+        ("// temp key PsO0@jp1vjf until the vault is back", "PsO0@jp1vjf"),
+        ("passphrase: \"correct horse battery staple\"", "correct horse battery staple"),
+        ("pin = '482913'", "482913"),
+        ("apiKey: 'QWXZRTPLKJHGFD'", "QWXZRTPLKJHGFD"),
+    ):
+        assert C.mask(text, C.find(text)) == text.replace(value, "*" * len(value)), text
+    for text in ("password_hint = \"Enter the secret from the letter\"", "// the key sha256 is used", "password: \"must not be empty at all\"", "token = $TOKEN", "secret: !vault x", "password=None", "pin = '1234'", "# run with --token=$TOKEN", "key = 'BEGINNING'"):
+        assert not C.find(text), text
+
+
+def test_split_literals_begin_once():
+    text = "secret = (\n    'Xk29v'\n    'Qpz81'\n)\npassword = \"aB3\" + \"x$9Qz\"\n"
+    found = C.find(text)
+    assert [k for _, _, k in found] == ["named", "continued", "named", "continued"]
+    assert C.mask(text, found) == "secret = (\n    '*****'\n    '*****'\n)\npassword = \"***\" + \"*****\"\n"
+
+
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_key_containers_by_their_grammar():
+    n = lambda v, size=1: tlv(2, bytes([v] * size))
+    oid = lambda h: tlv(6, bytes.fromhex(h))
+    key = tlv(0x30, n(0), *[n(7, 40)] * 8)
+    assert C.der_key(key)
+    assert C.der_key(tlv(0x30, n(0), tlv(0x30, oid("2a864886f70d010101"), tlv(5)), tlv(4, key)))
+    assert C.der_key(tlv(0x30, tlv(0x30, oid("2a864886f70d01050d"), tlv(0x30)), tlv(4, b"x" * 90)))
+    assert C.der_key(tlv(0x30, n(3), tlv(0x30, oid("2a864886f70d010701"), tlv(0xA0, tlv(4, b"y" * 200)))))
+    assert not C.der_key(tlv(0x30, tlv(0x30, oid("2a864886f70d010101"), tlv(5)), tlv(3, b"\0" + b"z" * 90)))  # a public key
+    assert not C.der_key(tlv(0x30, tlv(0x30, n(2), n(9, 8)), tlv(0x30, oid("2a864886f70d01010b")), tlv(3, b"\0s")))  # a certificate
+    jwk = '{"kty": "EC", "crv": "P-256", "x": "abcdefghijklmnopqrstuv", "d": "Zm9vYmFyYmF6cXV4MTIzNDU2"}'
+    assert kinds_of(jwk) == [("Zm9vYmFyYmF6cXV4MTIzNDU2", "private key")]
