@@ -87,10 +87,10 @@ def python_headers(content: Column, word: str) -> Column:
 
 
 def base_names(content: Column) -> Column:
-    """Bases of the first class header, by pattern: those in parentheses, or behind ``extends``; ``object`` is left out."""
+    """Bases of the first class header, by pattern: those in parentheses, or behind ``extends``; of a dotted name the last part, and no ``object``."""
     inside = F.regexp_extract(content, r"class\s+\w+\s*\(([^)]*)\)", 1)
     behind = F.regexp_extract(content, r"class\s+\w+\s+extends\s+([A-Za-z_][\w.]*)", 1)
-    names = F.transform(F.split(F.concat_ws(",", inside, behind), ","), strip)
+    names = F.transform(F.split(F.concat_ws(",", inside, behind), ","), lambda x: F.element_at(F.split(strip(x), r"\."), -1))
     return F.array_distinct(F.filter(names, lambda x: (x != "") & (x != "object")))
 
 

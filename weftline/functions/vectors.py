@@ -52,4 +52,6 @@ def literal(v: Sequence[float]) -> Column:
 
 
 def usable(v: Column, width: int) -> Column:
-    return (F.size(v) == width) & F.exists(v, lambda x: x != 0)
+    """Whether a vector has ``width`` finite numbers, not all zero."""
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (F.size(v) == width) & ~odd & F.exists(v, lambda x: x != 0)

@@ -18,11 +18,11 @@ from weftline.operators.declarations import declarations
 #: Kinds of syntax nodes that make a chunk, by language.
 CHUNKABLE = {
     "python": ["function_definition", "class_definition", "decorated_definition"],
-    "javascript": ["function_declaration", "class_declaration", "method_definition", "lexical_declaration", "variable_declaration"],
-    "typescript": ["function_declaration", "class_declaration", "method_definition", "lexical_declaration", "variable_declaration", "interface_declaration"],
-    "java": ["method_declaration", "class_declaration", "interface_declaration"],
-    "go": ["function_declaration", "method_declaration", "type_declaration"],
-    "rust": ["function_item", "impl_item", "struct_item", "trait_item", "enum_item"],
+    "javascript": ["function_declaration", "class_declaration", "method_definition", "arrow_function"],
+    "typescript": ["function_declaration", "class_declaration", "method_definition", "arrow_function"],
+    "java": ["method_declaration", "constructor_declaration", "class_declaration"],
+    "go": ["function_declaration", "method_declaration"],
+    "rust": ["function_item", "impl_item", "trait_item", "struct_item"],
 }
 
 
@@ -41,10 +41,13 @@ def line_chunks(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     size, step = settings.chunk_lines, settings.chunk_step
     ls = texts.where(F.col("content").isNotNull()).select("file_id", lines(F.col("content")).alias("l"))
     n = F.size("l")
-    parts = ls.select("file_id", "l", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("chunk_no", "at"))
-    body = F.array_join(F.slice("l", F.col("at") + 1, F.lit(size)), "\n")
-    before = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.octet_length(F.array_join(F.slice("l", F.lit(1), F.greatest("at", F.lit(1))), "\n")) + 1)
-    out = parts.select("file_id", "chunk_no", body.alias("content"), (F.col("at") + 1).alias("start_line"), F.least(F.col("at") + size, F.col("n")).alias("end_line"), before.cast("long").alias("start_byte"), F.col("n").alias("total_lines"))
+    # pieces of one step, exploded once; a chunk is its own piece and the first lines of those behind it, so no chunk looks at the lines before it
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda at: F.slice("l", at + 1, F.lit(step)))
+    parts = ls.select("file_id", n.alias("n"), cut.alias("p")).select("file_id", "n", "p", F.aggregate("p", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.octet_length(F.array_join(x, "\n")) + 1)).alias("b"))
+    parts = parts.select("file_id", "n", F.explode(F.transform("p", lambda x, k: F.struct(k.alias("chunk_no"), x.alias("own"), F.flatten(F.slice("p", k + 2, F.lit(-(-(size - step) // step)))).alias("next"), F.get("b", k).alias("start_byte")))).alias("c")).select("file_id", "n", "c.*")
+    body = F.array_join(F.concat("own", F.slice("next", F.lit(1), F.lit(size - step))), "\n")
+    at = F.col("chunk_no") * step
+    out = parts.select("file_id", "chunk_no", body.alias("content"), (at + 1).alias("start_line"), F.least(at + size, F.col("n")).alias("end_line"), "start_byte", F.col("n").alias("total_lines"))
     return out.withColumn("end_byte", F.col("start_byte") + F.octet_length("content")).withColumn("chunk_type", F.lit("block"))
 
 
@@ -91,7 +94,7 @@ def _offsets(text: str, ends: list[int]) -> dict[int, int]:
 
 def brace_chunks(source: str, language: str, most: int) -> list[tuple]:
     """Rows like those of python_chunks for a Java, JavaScript, TypeScript, Go or Rust source; none where brackets do not match."""
-    found = list(declarations(source, language, most))
+    found = list(declarations(source, language, most, CHUNKABLE[language]))
     at = _offsets(source, [d.start for d in found])
     line = lambda k: source.count("\n", 0, k) + 1
     return [(d.kind, d.depth, d.name, line(d.start), line(d.end), at[d.start], source[d.start : d.end]) for d in found]
@@ -187,7 +190,7 @@ STRUCTURAL = "file_id long, content string, chunk_type string, depth int, name s
 
 def structural_chunks(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Chunks of the files of CHUNKABLE's languages by their definitions, of at most twice the chunk size; larger ones are entered. Needs file_id,
-    content, language. Python is cut by its grammar, the others by headers and matching brackets, with constructors of Java as well.
+    content, language. Python is cut by its grammar, the others by headers and matching brackets; declarations of other kinds are entered.
 
     Code outside definitions is left out unless ``include_residual`` is set."""
     most = 2 * settings.chunk_size

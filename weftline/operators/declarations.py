@@ -325,9 +325,22 @@ def _rust(s: _Source, i: int, scope: tuple) -> tuple | None:
 _FIND = {"java": _java, "javascript": _script, "typescript": _script, "go": _go, "rust": _rust}
 
 
-def declarations(text: str, language: str, most: int | None) -> Iterator[Declaration]:
+def _arrow(s: _Source, first: int, last: int) -> int | None:
+    """First token of the arrow function that a declaration of one name is set to."""
+    k = first + 2
+    while k < last and not s.is_(k, "=", ";"):
+        k = s.close.get(k, k) + 1
+    k += 1
+    a = k + 1 if s.is_(k, "async") else k
+    e = s.close[a] + 1 if s.is_(a, "(") else a + 1
+    while e < last and s.is_(a, "(") and not s.is_(e, "=>", ";", "="):
+        e = s.close.get(e, e) + 1
+    return k if e < last and s.is_(e, "=>") else None
+
+
+def declarations(text: str, language: str, most: int | None, kinds: list[str] | None = None) -> Iterator[Declaration]:
     """Declarations in order, of at most ``most`` characters and outermost first: one that fits is not entered, a longer one is. Without ``most``
-    all come out, entered as well. Offsets are in characters. None for a text whose brackets do not match, or a Go text without its package clause.
+    all come out, entered as well; of ``kinds`` only, if given: others are entered. Offsets are in characters. None for a text whose brackets do not match, or a Go text without its package clause.
 
     The depth is that of a syntax tree as far as braces tell it: 1 at the top, 2 more for each brace around, 1 more behind ``export``."""
     s = _Source(text, language)
@@ -343,11 +356,16 @@ def declarations(text: str, language: str, most: int | None) -> Iterator[Declara
             kind, name, first, last, brace, scope = found
             if brace is not None:
                 scopes[brace] = (scope, name)
-            if kind:
-                wrapped = s.is_(first - 1, "export") or s.is_(first - 1, "default") and s.is_(first - 2, "export")
+            opening, deeper = first, 0
+            if kinds is not None and kind in ("lexical_declaration", "variable_declaration") and "arrow_function" in kinds:
+                start = _arrow(s, first, last)
+                if start is not None:
+                    kind, first, last, deeper = "arrow_function", start, last - s.is_(last, ";"), 2
+            if kind and (kinds is None or kind in kinds):
+                wrapped = s.is_(opening - 1, "export") or s.is_(opening - 1, "default") and s.is_(opening - 2, "export")
                 fits = most is not None and s.end(last) - s.at[first] <= most
                 if fits or most is None:
-                    yield Declaration(kind, 1 + 2 * (len(inside) - 1) + bool(s.script and wrapped), name, s.at[first], s.end(last))
+                    yield Declaration(kind, 1 + 2 * (len(inside) - 1) + bool(s.script and wrapped) + deeper, name, s.at[first], s.end(last))
                 if fits:
                     i = last + 1
                     continue

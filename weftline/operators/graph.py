@@ -17,6 +17,8 @@ from weftline.session import materialize
 #: Chunk types whose calls and bases are followed.
 CALLERS = ["function_definition", "method_definition", "decorated_definition"]
 INHERITORS = ["class_definition"]
+#: Rounds of a walk that are folded into one table.
+FOLD = 8
 SYMBOLS = "chunk_id long, kind string, name string, module string, unparsed string"
 
 
@@ -100,15 +102,18 @@ def _tagged(kinds: dict) -> Column:
 
 def _python_patterns(c: Column) -> Column:
     """Array of (kind, name) for a Python text that does not parse: definitions by their headers at the start of a line, calls and bases by pattern."""
-    bases = F.array_distinct(F.transform(T.base_names(c), lambda x: F.regexp_extract(x, r"([^.]*)$", 1)))
-    return _tagged({"call": T.called_names(c), "function": T.python_headers(c, "def"), "class": T.python_headers(c, "class"), "base": bases})
+    return _tagged({"call": T.called_names(c), "function": T.python_headers(c, "def"), "class": T.python_headers(c, "class"), "base": T.base_names(c)})
 
 
-def pattern_symbols(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, kind, name): calls, functions, classes and bases by pattern, for any language. Pure expressions."""
+#: Names of a text by pattern, by kind.
+PATTERNS = {"call": T.called_names, "function": T.defined_names, "class": T.class_names, "base": T.base_names}
+
+
+def pattern_symbols(chunks: DataFrame, kinds: list[str] = list(PATTERNS), scope: list[str] = ()) -> DataFrame:
+    """(chunk_id, kind, name, scope...): names of the asked ``kinds`` by pattern, for any language. Pure expressions, only those of the kinds."""
     c = F.col("content")
-    rows = _tagged({"call": T.called_names(c), "function": T.defined_names(c), "class": T.class_names(c), "base": T.base_names(c)})
-    return chunks.where(c.isNotNull()).select(F.col("id").alias("chunk_id"), F.explode(rows).alias("s")).select("chunk_id", "s.kind", "s.name")
+    rows = _tagged({k: PATTERNS[k](c) for k in kinds})
+    return chunks.where(c.isNotNull()).select(F.col("id").alias("chunk_id"), *scope, F.explode(rows).alias("s")).select("chunk_id", "s.kind", "s.name", *scope)
 
 
 def symbols(chunks: DataFrame) -> DataFrame:
@@ -136,8 +141,10 @@ def global_symbols(sources: DataFrame) -> DataFrame:
 
 
 def _resolve(uses: DataFrame, defs: DataFrame, relation: str) -> DataFrame:
-    u, d = uses.select(F.col("chunk_id").alias("source_chunk_id"), "name"), defs.select(F.col("chunk_id").alias("target_chunk_id"), "name")
-    return u.join(d, "name").where("source_chunk_id <> target_chunk_id").select("source_chunk_id", "target_chunk_id", F.lit(relation).alias("relation_type"), F.col("name").alias("symbol")).distinct()
+    """Edges from uses to definitions of the same name; within one repository, where both sides say which they are of."""
+    on = ["name", *[c for c in ["repository_id"] if c in uses.columns and c in defs.columns]]
+    u, d = uses.select(F.col("chunk_id").alias("source_chunk_id"), *on), defs.select(F.col("chunk_id").alias("target_chunk_id"), *on)
+    return u.join(d, on).where("source_chunk_id <> target_chunk_id").select("source_chunk_id", "target_chunk_id", F.lit(relation).alias("relation_type"), F.col("name").alias("symbol")).distinct()
 
 
 def call_relations(syms: DataFrame, chunks: DataFrame, types: list[str] = CALLERS) -> DataFrame:
@@ -154,9 +161,10 @@ def inheritance_relations(syms: DataFrame, chunks: DataFrame, types: list[str] =
 def import_relations(syms: DataFrame, modules: DataFrame) -> DataFrame:
     """Imports to the chunks of the module (``modules``: chunk_id, name of its file's stem), or that define the name."""
     imports = syms.where("kind = 'import'")
-    by_module = imports.select("chunk_id", F.col("module").alias("name")).where(F.col("name").isNotNull() & (F.col("name") != ""))
+    scope = [c for c in imports.columns if c == "repository_id"]
+    by_module = imports.select("chunk_id", F.col("module").alias("name"), *scope).where(F.col("name").isNotNull() & (F.col("name") != ""))
     defs = syms.where("kind in ('function', 'class')")
-    both = _resolve(by_module.distinct(), modules, "imports").unionByName(_resolve(imports.select("chunk_id", "name"), defs, "imports"))
+    both = _resolve(by_module.distinct(), modules, "imports").unionByName(_resolve(imports.select("chunk_id", "name", *scope), defs, "imports"))
     return both.groupBy("source_chunk_id", "target_chunk_id", "relation_type").agg(F.min("symbol").alias("symbol"))
 
 
@@ -191,10 +199,12 @@ def neighbourhood(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFram
 def impacted(relations: DataFrame, changed: DataFrame) -> DataFrame:
     """(id): the changed chunks and all that depend on them, over any number of steps. Each round joins only the new frontier and is
     written to the shared folder; the walk ends when a round meets nothing new, so cycles are no matter."""
-    e = relations.select(F.col("source_chunk_id").alias("s"), F.col("target_chunk_id").alias("t")).where("s is not null and t is not null").distinct()
+    e = materialize(relations.select(F.col("source_chunk_id").alias("s"), F.col("target_chunk_id").alias("t")).where("s is not null and t is not null").distinct(), "impact-edges")
     frontier = materialize(changed.select(F.col(changed.columns[0]).alias("id")).where("id is not null").distinct(), "impact")
     rounds = [frontier]
     while not frontier.isEmpty():
+        if len(rounds) == FOLD:  # so that a long walk reads few tables a round
+            rounds = [materialize(reduce(DataFrame.unionByName, rounds), "impact-seen")]
         seen = reduce(DataFrame.unionByName, rounds)
         frontier = materialize(e.join(frontier, e["t"] == frontier["id"], "left_semi").select(F.col("s").alias("id")).distinct().join(seen, "id", "left_anti"), "impact")
         rounds.append(frontier)

@@ -50,6 +50,17 @@ def chunk_lineage(chunks: DataFrame, files: DataFrame, links: DataFrame, commits
     return c.join(hist, "file_id").select("chunk_id", "file_path", "commit_hash", "author", "message", iso(F.col("commit_time")).alias("committed_at"), "change_type")
 
 
+def ordered_lineage(chunks: DataFrame, files: DataFrame, links: DataFrame, commits: DataFrame) -> DataFrame:
+    """``chunk_lineage`` with the place of each commit in the history of its chunk, newest first; unknown times stand before all others, ties go by
+    commit hash and change. Places are counted a file, before the history meets the file's chunks, so a file of many chunks counts once."""
+    k = commits.select(F.col("id").alias("commit_id"), "commit_hash", "author", "message", "commit_time")
+    f = files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
+    w = Window.partitionBy("file_id").orderBy(F.desc_nulls_first("commit_time"), "commit_hash", "link_id")
+    hist = links.select(F.col("id").alias("link_id"), "file_id", "commit_id", "change_type").join(k, "commit_id").withColumn("place", F.row_number().over(w)).join(f, "file_id")
+    c = chunks.select(F.col("id").alias("chunk_id"), "file_id")
+    return c.join(hist, "file_id").select("chunk_id", "file_path", "commit_hash", "author", "message", iso(F.col("commit_time")).alias("committed_at"), "change_type", "place")
+
+
 def latest_commit(links: DataFrame, commits: DataFrame) -> DataFrame:
     """(file_id, commit_id, commit_time): the newest commit of each file; unknown times come last, ties go to the greater id."""
     j = links.join(commits.select(F.col("id").alias("commit_id"), "commit_time"), "commit_id")

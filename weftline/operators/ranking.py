@@ -15,6 +15,7 @@ from weftline.config import Settings
 from weftline.functions import vectors as V
 from weftline.functions.lexical import cover_score
 from weftline.operators.graph import neighbourhood
+from weftline.session import materialize
 
 Reranker = Callable[[pd.DataFrame, str], Sequence[float]]
 
@@ -70,9 +71,10 @@ def top_scored(base: DataFrame, q: Query) -> DataFrame:
     terms = [t for t in q.text.lower().split() if t]
     use = q.lexical and bool(terms)
     lex = cover_score(F.col("content"), terms) if use else F.lit(None).cast("double")
-    s = base.where(passes(q)).select("id", v.alias("vector_score"), lex.alias("lexical_score"))
-    if q.vector is not None:
-        s = s.where("vector_score is not null")
+    s = base.where(passes(q))
+    if q.vector is not None:  # on the JVM: a filter on the score itself would be pushed below the joins and score every row twice
+        s = s.where(V.usable(F.col("embedding"), len(q.vector)))
+    s = s.select("id", v.alias("vector_score"), lex.alias("lexical_score"))
     s = s.withColumn("score", F.round((1 - lw) * F.coalesce("vector_score", F.lit(0.0)) + lw * F.coalesce("lexical_score", F.lit(0.0)), 6))
     first = F.desc("score") if use else F.desc("vector_score")
     order = [first, F.desc("vector_score"), F.col("id")]
@@ -161,18 +163,18 @@ def neighbour_hits(hits: DataFrame, relations: DataFrame, chunks: DataFrame, fil
     near = neighbourhood(relations, hits.select("id"), hops).where("hop > 0")
     f = files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
     j = chunks.select("id", "file_id", "content", "skeleton_content", "language", "chunk_type").join(near, "id").join(f, "file_id")
-    pos = F.row_number().over(Window.orderBy("hop", "id"))
-    return j.select("id", F.coalesce("skeleton_content", "content").alias("content"), F.col("content").alias("full_content"), F.col("skeleton_content").isNotNull().alias("skeleton_only"), "language", "chunk_type", "file_path", F.lit("graph_neighbor").alias("relation_type"), pos.alias("rank"))
+    return j.select("id", F.coalesce("skeleton_content", "content").alias("content"), F.col("content").alias("full_content"), F.col("skeleton_content").isNotNull().alias("skeleton_only"), "language", "chunk_type", "file_path", F.lit("graph_neighbor").alias("relation_type"), F.col("hop").alias("rank"))
 
 
 def search(base: DataFrame, q: Query, relations: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFrame, st: Settings = Settings()) -> DataFrame:
-    """All three sections in order: symbols (last found first), hits, neighbours; ``section`` and ``position`` give the order."""
-    hits = search_chunks(base, q, st).withColumns({"section": F.lit(1), "position": F.col("rank")})
+    """All three sections in order: symbols (last found first), hits, neighbours; ``section``, ``position`` and ``id`` give the order, the position of
+    a neighbour being its hop. The hits are written once, as the walk from them reads them again."""
+    hits = materialize(search_chunks(base, q, st), "hits").withColumns({"section": F.lit(1), "position": F.col("rank")})
     out = symbol_hits(symbols, chunks, files, q, st).withColumns({"section": F.lit(0), "position": -F.col("rank")}).unionByName(hits, allowMissingColumns=True)
     if q.hops > 0:
         near = neighbour_hits(hits, relations, chunks, files, q.hops).withColumns({"section": F.lit(2), "position": F.col("rank")})
         out = out.unionByName(near, allowMissingColumns=True)
-    return out.orderBy("section", "position")
+    return out.orderBy("section", "position", "id")
 
 
 BLOCK_Q, BLOCK_B = 1024, 8192

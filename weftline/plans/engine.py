@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.config import Settings
@@ -13,6 +13,7 @@ from weftline.operators import chunking, graph, lineage, ranking, store
 from weftline.operators.embedding import Backend, embed, offline_backend
 from weftline.schemas import conform, empty, key
 from weftline.session import materialize
+from weftline.sources.tables import exists
 
 
 class Engine:
@@ -29,11 +30,9 @@ class Engine:
     @classmethod
     def open(cls, spark: SparkSession, folder: str, **kw) -> Engine:
         e = cls(spark, **kw)
-        for n in cls.NAMES:
-            try:
+        for n in cls.NAMES:  # a table that is not there is empty; one that cannot be read is an error
+            if exists(spark, f"{folder}/{n}.parquet"):
                 e.tables[n] = conform(spark.read.parquet(f"{folder}/{n}.parquet"), n)
-            except Exception:  # a table that is not there is empty
-                pass
         return e
 
     def save(self, folder: str) -> None:
@@ -43,44 +42,91 @@ class Engine:
     def index(self, repository: str, sources: DataFrame, commits: DataFrame | None = None) -> DataFrame:
         """Take a repository's files (path, language, content, content_hash, fingerprint, modified_at, size_bytes) into the store.
 
-        Files that are gone leave with all that hangs on them, unchanged ones are skipped, the others are cut, embedded and related anew. Returns
-        (path, status)."""
+        Files that are gone leave with all that hangs on them. A file that moved (another path, the same fingerprint) keeps its id, chunks and
+        commits. Changed files keep their id and commits and are cut, embedded and related anew, unchanged ones are skipped. Returns
+        (path, status, previous_path)."""
         t, spark = self.tables, self.spark
-        rid = spark.range(1).select(F.xxhash64(F.lit(repository))).first()[0]
+        rid = self.repository_id(repository)
         repo = conform(spark.range(1).select(F.lit(rid).alias("id"), F.lit(repository).alias("url"), F.lit(repository.rstrip("/").rsplit("/", 1)[-1]).alias("name"), F.lit(repository).alias("local_path")), "repositories")
         t["repositories"] = store.upsert(t["repositories"], repo, ["url"])
-        old = t["files"].where(F.col("repository_id") == rid)
-        status = materialize(lineage.snapshot_diff(old, sources, ["path"]), "status")
-        touched = status.where("status in ('added', 'modified')").select("path")
-        gone = old.join(status.where("status in ('deleted', 'modified')").select("path"), "path", "left_semi").select("id")
-        after = store.cascade(t, materialize(gone, "gone"))
-        text = materialize(sources.join(touched, "path", "left_semi").withColumn("repository_id", F.lit(rid)).withColumn("id", key("repository_id", "path")), "texts")
-        self.tables = t = after
-        t["files"] = t["files"].unionByName(conform(text, "files"))
+        status = self._take(rid, t["files"].where(F.col("repository_id") == rid), sources)
+        if commits is not None:
+            self.add_commits(rid, commits)
+        self._settle()
+        return status
+
+    def update(self, repository: str, sources: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+        """Index only what changed between two states: ``changes`` (path, previous_path) as ``lineage.detect_changes`` gives them, ``sources`` the
+        files of the new state, of which only the changed ones are read.
+
+        Gives ``status`` of the changed paths, ``impacted`` (id): the chunks that hang on changed ones, before or after, over any number of steps,
+        and ``files`` (id): the changed files. Relations are found anew, so those of impacted chunks are up to date."""
+        t, rid = self.tables, self.repository_id(repository)
+        paths = materialize(changes.select("path").unionByName(changes.select(F.col("previous_path").alias("path"))).where("path is not null").distinct(), "changed")
+        old = t["files"].where(F.col("repository_id") == rid).join(paths, "path", "left_semi").select(*t["files"].columns)
+        was = materialize(t["chunks"].join(old.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id"), "was")
+        before = graph.impacted(t["relations"], was)
+        status = self._take(rid, old, sources.join(paths, "path", "left_semi"))
+        self._settle()
+        files = self.tables["files"].where(F.col("repository_id") == rid).join(paths, "path", "left_semi").select("id")
+        now = self.tables["chunks"].join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id")
+        after = graph.impacted(self.tables["relations"], now)
+        impacted = before.unionByName(after).distinct().join(self.tables["chunks"].select("id"), "id", "left_semi")
+        return {"status": status, "impacted": materialize(impacted, "impacted"), "files": files}
+
+    def repository_id(self, repository: str) -> int:
+        return self.spark.range(1).select(F.xxhash64(F.lit(repository))).first()[0]
+
+    def _take(self, rid: int, old: DataFrame, sources: DataFrame) -> DataFrame:
+        """Bring ``old`` files of a repository to the state of ``sources``."""
+        t = self.tables
+        changes = lineage.detect_changes(old, sources.select("path", "fingerprint"))
+        # of several copies of a file that is gone, one is the file itself
+        moved = changes.where("change_type = 'renamed'").groupBy("previous_path").agg(F.min("path").alias("new_path"))
+        moved = materialize(old.select("id", F.col("path").alias("previous_path")).join(moved, "previous_path"), "moved")
+        files = store.rename(t["files"], moved)
+        mine = store.rename(old, moved)
+        diff = lineage.snapshot_diff(mine, sources, ["path"]).join(moved.select(F.col("new_path").alias("path"), "previous_path"), "path", "left")
+        diff = materialize(diff.select("path", F.when(F.col("previous_path").isNotNull(), "renamed").otherwise(F.col("status")).alias("status"), "previous_path"), "status")
+        at = lambda *kinds: mine.join(diff.where(F.col("status").isin(*kinds)).select("path"), "path", "left_semi").select("id")
+        gone, changed = materialize(at("deleted"), "gone"), materialize(at("modified"), "changed-files")
+        after = store.cascade({**t, "files": files}, gone)
+        inside = store.cascade(after, changed)
+        t.update({**inside, "files": after["files"], "file_commits": after["file_commits"]})
+        text = sources.join(diff.where("status in ('added', 'modified')").select("path"), "path", "left_semi").withColumn("repository_id", F.lit(rid))
+        # a new file at the old path of a moved one cannot have the id that went with that
+        known = after["files"].where(F.col("repository_id") == rid).select("path", F.col("id").alias("own"))
+        taken = after["files"].select(F.col("id").alias("taken"))
+        fresh = text.join(known, "path", "left").withColumn("first", key("repository_id", "path"))
+        fresh = fresh.join(taken, F.col("first") == F.col("taken"), "left").withColumn("id", F.coalesce("own", F.when(F.col("taken").isNull(), F.col("first")).otherwise(key("repository_id", "path", "content_hash"))))
+        text = materialize(fresh.drop("own", "first", "taken").withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp()), "texts")
+        t["files"] = store.upsert(after["files"], conform(text, "files"), ["repository_id", "path"])
         body = text.select(F.col("id").alias("file_id"), "content", "language")
         new = chunking.chunk_files(body, self.settings).join(body.select("file_id", "language"), "file_id")
-        new = chunking.skeletons(new).withColumn("id", key("file_id", "start_line", "end_line", "content"))
+        new = chunking.skeletons(new).withColumn("id", key("file_id", "start_line", "end_line", "content")).withColumn("created_at", F.current_timestamp())
         meta = F.struct(F.col("chunk_type").alias("node_type"), F.col("depth"), F.col("chunk_no").alias("chunk_id"), F.col("total_lines"), F.col("name"), F.lit(None).cast("boolean").alias("recent_edit"), F.lit(rid).alias("repository_id"))
         new = new.withColumn("metadata", meta).withColumn("embedding", embed(embedding_text(F.col("language"), F.col("name"), F.col("chunk_type"), F.col("content")), self.load_backend, self.settings.embedding_batch))
         t["chunks"] = materialize(t["chunks"].unionByName(conform(new.dropDuplicates(["id"]), "chunks")), "chunks")
         names = graph.global_symbols(body.where("language = 'python'")).join(text.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id")
         sym = names.join(t["chunks"].select(F.col("id").alias("chunk_id"), "file_id"), "file_id").withColumn("id", key("chunk_id", "name"))
         t["global_symbols"] = t["global_symbols"].unionByName(conform(sym, "global_symbols"))
-        self.relate()
-        if commits is not None:
-            self.add_commits(rid, commits)
-        for n in ("repositories", "files", "commits", "file_commits", "global_symbols"):  # else plans grow from run to run
+        return diff
+
+    def _settle(self) -> None:
+        """Relations anew, and all tables written: else plans grow from run to run."""
+        t = self.tables
+        for n in ("repositories", "files", "commits", "file_commits", "global_symbols"):
             t[n] = materialize(t[n], n)
-        return status
+        self.relate()
 
     def relate(self) -> None:
-        """Relations anew over all chunks, across files and repositories."""
+        """Relations anew over all chunks, across the files of each repository."""
         t = self.tables
         c = t["chunks"]
-        syms = materialize(graph.symbols(c), "symbols")
-        stems = t["files"].select(F.col("id").alias("file_id"), stem(F.col("path")).alias("name"), F.col("path"))
-        modules = c.select(F.col("id").alias("chunk_id"), "file_id").join(stems, "file_id")
-        edges = graph.import_relations(syms, modules.select("chunk_id", "name")).unionByName(graph.call_relations(syms, c)).unionByName(graph.inheritance_relations(syms, c))
+        stems = t["files"].select(F.col("id").alias("file_id"), stem(F.col("path")).alias("name"), F.col("path"), "repository_id")
+        modules = materialize(c.select(F.col("id").alias("chunk_id"), "file_id").join(stems, "file_id"), "modules")
+        syms = materialize(graph.symbols(c).join(modules.select("chunk_id", "repository_id"), "chunk_id"), "symbols")
+        edges = graph.import_relations(syms, modules.select("chunk_id", "name", "repository_id")).unionByName(graph.call_relations(syms, c)).unionByName(graph.inheritance_relations(syms, c))
         at = modules.select("chunk_id", "path")
         edges = edges.join(at.toDF("source_chunk_id", "source_file"), "source_chunk_id").join(at.toDF("target_chunk_id", "target_file"), "target_chunk_id")
         edges = edges.withColumn("metadata", F.struct("symbol", "source_file", "target_file")).withColumn("id", key("source_chunk_id", "target_chunk_id", "relation_type"))
@@ -122,16 +168,29 @@ class Engine:
         f = t["files"] if repository is None else t["files"].join(t["repositories"].where(F.col("url") == repository).select(F.col("id").alias("repository_id")), "repository_id", "left_semi")
         return overview(t["chunks"], f)
 
-    def update(self, changes: DataFrame) -> DataFrame:
-        """Chunks that a set of changed files (path) reaches through relations, over any number of steps."""
-        t = self.tables
-        f = t["files"].join(changes.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("file_id"))
-        return graph.impacted(t["relations"], t["chunks"].join(f, "file_id", "left_semi").select("id"))
+    def skeleton(self, repository: str, path: str) -> DataFrame:
+        """(path, skeleton) of one file; no row if it has none."""
+        return self.overview(repository).where(F.col("path") == path).select("path", "skeleton")
 
 
-def overview(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """(repository_id, path, skeleton) of the files that have a chunk with a skeleton, in order of line and id."""
+#: Skeletons that one row of an overview joins at most; a file with more of them has several rows, in order.
+PART = 1024
+
+
+def overview_parts(chunks: DataFrame, files: DataFrame, part: int = PART) -> DataFrame:
+    """(repository_id, path, part, skeleton) of the files that have a chunk with a skeleton, in order of line and id: ``part`` of a file counts from
+    0 and joins at most that many skeletons, so a file with very many chunks is no single row. Places are counted by a window that holds no
+    texts."""
     c = chunks.where("skeleton_content is not null").select("file_id", "start_line", "id", "skeleton_content")
-    j = c.join(files.select(F.col("id").alias("file_id"), "repository_id", "path"), "file_id")
-    parts = F.sort_array(F.collect_list(F.struct(F.col("start_line").isNull().alias("unknown"), "start_line", "id", "skeleton_content")))
-    return j.groupBy("repository_id", "path").agg(F.array_join(F.transform(parts, lambda x: x.skeleton_content), "\n").alias("skeleton"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.asc_nulls_last("start_line"), "id")) - 1
+    places = c.select("id", "file_id", "start_line").withColumn("place", place).select("id", "place")
+    j = c.join(places, "id").join(files.select(F.col("id").alias("file_id"), "repository_id", "path"), "file_id")
+    parts = F.sort_array(F.collect_list(F.struct("place", "skeleton_content")))
+    j = j.groupBy("repository_id", "path", F.floor(F.col("place") / part).cast("int").alias("part"))
+    return j.agg(F.array_join(F.transform(parts, lambda x: x.skeleton_content), "\n").alias("skeleton"))
+
+
+def overview(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, path, skeleton): a row for each file that has a skeleton, the parts of ``overview_parts`` joined in order."""
+    parts = F.sort_array(F.collect_list(F.struct("part", "skeleton")))
+    return overview_parts(chunks, files).groupBy("repository_id", "path").agg(F.array_join(F.transform(parts, lambda x: x.skeleton), "\n").alias("skeleton"))

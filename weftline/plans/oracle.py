@@ -12,7 +12,7 @@ LANGUAGE = """CASE regexp_extract(path, '(\\.[^./]+)$', 1) WHEN '.py' THEN 'pyth
 SNAPSHOTS = """WITH old AS (SELECT repository_id, path, coalesce(fingerprint, 'none:' || id) AS fingerprint, content_hash, modified_at FROM files),
 now AS (SELECT f.*, s.content FROM files f JOIN file_sources s ON s.file_id = f.id WHERE s.content IS NOT NULL),
 new AS (SELECT repository_id, CASE WHEN regexp_matches(path, '\\.(rs|cfg)$') THEN 'moved/' || path ELSE path END AS path,
- coalesce(fingerprint, 'none:' || id) AS fingerprint, CASE WHEN length(content) > 3000 THEN sha256(content) ELSE content_hash END AS content_hash, modified_at FROM now)
+ coalesce(fingerprint, 'none:' || id) AS fingerprint, CASE WHEN size_bytes = strlen(content) THEN content_hash ELSE sha256(content) END AS content_hash, modified_at FROM now)
 """
 
 CALLED = "list_distinct(list_filter(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN ('if', 'while', 'for', 'def', 'class', 'function')))"
@@ -21,14 +21,16 @@ CLASSES = "list_distinct(regexp_extract_all(content, '(?:class|struct|interface|
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 BASES = (
     "list_distinct(list_filter(list_transform(string_split(regexp_extract(content, 'class\\s+\\w+\\s*\\(([^)]*)\\)', 1) || ',' || regexp_extract(content, 'class\\s+\\w+\\s+extends\\s+([A-Za-z_][\\w.]*)', 1), ','), lambda x: "
+    + "string_split("
     + _STRIP.format("x")
-    + "), lambda x: x <> '' AND x <> 'object'))"
+    + ", '.')[-1]), lambda x: x <> '' AND x <> 'object'))"
 )
 SYMBOLS = f"""WITH syms AS (
  SELECT id AS chunk_id, 'call' AS kind, unnest({CALLED}) AS name FROM chunks WHERE content IS NOT NULL
  UNION ALL SELECT id, 'function', unnest({DEFINED}) FROM chunks WHERE content IS NOT NULL
  UNION ALL SELECT id, 'class', unnest({CLASSES}) FROM chunks WHERE content IS NOT NULL
- UNION ALL SELECT id, 'base', unnest({BASES}) FROM chunks WHERE content IS NOT NULL)
+ UNION ALL SELECT id, 'base', unnest({BASES}) FROM chunks WHERE content IS NOT NULL),
+home AS (SELECT c.id, f.repository_id FROM chunks c JOIN files f ON f.id = c.file_id)
 """
 
 _OK = f"len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -41,6 +43,7 @@ pairs AS (SELECT q.id AS query_id, b.id AS id, round(list_cosine_similarity(q.e,
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs QUALIFY rank <= 5)
 """
 
+PARTS = "WITH parts AS (SELECT f.repository_id, f.path, c.skeleton_content, row_number() OVER (PARTITION BY c.file_id ORDER BY c.start_line NULLS LAST, c.id) - 1 AS place, ((row_number() OVER (PARTITION BY c.file_id ORDER BY c.start_line NULLS LAST, c.id) - 1) // 1024)::INT AS part FROM chunks c JOIN files f ON f.id = c.file_id WHERE c.skeleton_content IS NOT NULL)"
 _EDGES = "SELECT source_chunk_id AS a, target_chunk_id AS b FROM relations UNION SELECT target_chunk_id, source_chunk_id FROM relations"
 _BM = ["parser", "index", "lock"]
 _ISO = "CASE WHEN microsecond(commit_time) % 1000000 = 0 THEN strftime(commit_time, '%Y-%m-%dT%H:%M:%S') ELSE strftime(commit_time, '%Y-%m-%dT%H:%M:%S.%f') END"
@@ -67,7 +70,7 @@ def oracle_sql() -> dict[str, str]:
         "a15_file_by_fingerprint": "SELECT repository_id, fingerprint, min(id) AS file_id, count(*) AS files FROM files WHERE fingerprint IS NOT NULL GROUP BY ALL",
         "a16_chunks_of_file": "SELECT file_id, count(*) AS chunks, min(id) AS first_id, max(id) AS last_id FROM chunks GROUP BY ALL",
         "a17_payload_of_targets": "SELECT c.id, f.path, c.content, c.skeleton_content, c.chunk_type, c.language FROM chunks c JOIN files f ON f.id = c.file_id WHERE c.id IN (SELECT target_chunk_id FROM relations)",
-        "b03_upsert_files": f"""WITH new AS (SELECT f.repository_id, f.path, {LANGUAGE} AS language, strlen(s.content)::INT AS size_bytes, CASE WHEN length(s.content) > 2000 THEN sha256(s.content) END AS content_hash, f.modified_at
+        "b03_upsert_files": f"""WITH new AS (SELECT f.repository_id, f.path, {LANGUAGE} AS language, strlen(s.content)::INT AS size_bytes, CASE WHEN f.size_bytes = strlen(s.content) THEN NULL ELSE sha256(s.content) END AS content_hash, f.modified_at
  FROM files f JOIN file_sources s ON s.file_id = f.id WHERE s.content IS NOT NULL)
 SELECT f.id, f.repository_id, f.path, CASE WHEN n.path IS NULL THEN f.language ELSE n.language END AS language, CASE WHEN n.path IS NULL THEN f.size_bytes ELSE n.size_bytes END AS size_bytes,
  coalesce(n.content_hash, f.content_hash) AS content_hash, coalesce(n.modified_at, f.modified_at) AS modified_at FROM files f LEFT JOIN new n ON n.repository_id = f.repository_id AND n.path = f.path""",
@@ -89,17 +92,38 @@ UNION ALL SELECT 'relations', id FROM relations WHERE source_chunk_id NOT IN (SE
         "d01_search_base": "SELECT c.id, f.path AS file_path, r.name AS repository, r.id AS repository_id, c.language, c.chunk_type, c.start_line, c.end_line FROM chunks c JOIN files f ON f.id = c.file_id JOIN repositories r ON r.id = f.repository_id",
         "d04_lineage": f"SELECT c.id AS chunk_id, f.path AS file_path, k.commit_hash, k.author, k.message, {_ISO.replace('commit_time', 'k.commit_time')} AS committed_at, l.change_type FROM chunks c JOIN files f ON f.id = c.file_id JOIN file_commits l ON l.file_id = f.id JOIN commits k ON k.id = l.commit_id",
         "d07_call_relations": SYMBOLS
-        + """SELECT DISTINCT u.chunk_id AS source_chunk_id, d.chunk_id AS target_chunk_id, 'calls' AS relation_type, u.name AS symbol FROM syms u JOIN syms d ON d.name = u.name AND d.kind = 'function'
+        + """SELECT DISTINCT u.chunk_id AS source_chunk_id, d.chunk_id AS target_chunk_id, 'calls' AS relation_type, u.name AS symbol FROM syms u JOIN home hu ON hu.id = u.chunk_id JOIN syms d ON d.name = u.name AND d.kind = 'function' JOIN home hd ON hd.id = d.chunk_id AND hd.repository_id = hu.repository_id
 WHERE u.kind = 'call' AND u.chunk_id <> d.chunk_id AND u.chunk_id IN (SELECT id FROM chunks WHERE chunk_type IN ('function_definition', 'method_definition', 'decorated_definition', 'function_declaration', 'method_declaration', 'function_item'))""",
         "d08_inheritance_relations": SYMBOLS
-        + """SELECT DISTINCT u.chunk_id AS source_chunk_id, d.chunk_id AS target_chunk_id, 'inherits' AS relation_type, u.name AS symbol FROM syms u JOIN syms d ON d.name = u.name AND d.kind = 'class'
+        + """SELECT DISTINCT u.chunk_id AS source_chunk_id, d.chunk_id AS target_chunk_id, 'inherits' AS relation_type, u.name AS symbol FROM syms u JOIN home hu ON hu.id = u.chunk_id JOIN syms d ON d.name = u.name AND d.kind = 'class' JOIN home hd ON hd.id = d.chunk_id AND hd.repository_id = hu.repository_id
 WHERE u.kind = 'base' AND u.chunk_id <> d.chunk_id AND u.chunk_id IN (SELECT id FROM chunks WHERE chunk_type IN ('class_definition', 'class_declaration'))""",
         "d09_missing_on_disk": SNAPSHOTS + "SELECT repository_id, path FROM old WHERE (repository_id, path) NOT IN (SELECT (repository_id, path) FROM new)",
         "d11_batch_top_k": TOPK + "SELECT query_id, id, score, rank FROM top",
         "d12_co_changes": """WITH l AS (SELECT DISTINCT file_id, commit_id FROM file_commits), p AS (SELECT a.file_id, b.file_id AS other_id, count(*) AS together FROM l a JOIN l b ON a.commit_id = b.commit_id AND a.file_id <> b.file_id GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY together DESC, other_id) AS rank FROM p QUALIFY rank <= 10""",
         "d14_latest_commit": "SELECT l.file_id, l.commit_id, c.commit_time FROM file_commits l JOIN commits c ON c.id = l.commit_id QUALIFY row_number() OVER (PARTITION BY l.file_id ORDER BY c.commit_time DESC NULLS LAST, l.commit_id DESC) = 1",
-        "e01_overview": "SELECT f.repository_id, f.path, string_agg(c.skeleton_content, chr(10) ORDER BY c.start_line NULLS LAST, c.id) AS skeleton FROM chunks c JOIN files f ON f.id = c.file_id WHERE c.skeleton_content IS NOT NULL GROUP BY ALL",
+        "e01_overview": f"{PARTS} SELECT repository_id, path, part, string_agg(skeleton_content, chr(10) ORDER BY place) AS skeleton FROM parts GROUP BY ALL",
+        "e04_counts": """SELECT repository_id, 'files' AS table_name, count(*) AS total FROM files GROUP BY ALL UNION ALL SELECT f.repository_id, 'chunks', count(*) FROM chunks c JOIN files f ON f.id = c.file_id GROUP BY ALL
+UNION ALL SELECT f.repository_id, 'file_commits', count(*) FROM file_commits c JOIN files f ON f.id = c.file_id GROUP BY ALL""",
+        "g09_ordered_overview": "SELECT repository_id, path, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS place FROM files WHERE id IN (SELECT file_id FROM chunks WHERE skeleton_content IS NOT NULL)",
+        "g08_ordered_lineage": """WITH h AS (SELECT l.file_id, k.commit_hash, l.change_type, row_number() OVER (PARTITION BY l.file_id ORDER BY k.commit_time DESC NULLS FIRST, k.commit_hash, l.id) AS place FROM file_commits l JOIN commits k ON k.id = l.commit_id)
+SELECT c.id AS chunk_id, h.commit_hash, h.change_type, h.place FROM chunks c JOIN h ON h.file_id = c.file_id JOIN files f ON f.id = c.file_id""",
+        "a14_file_by_path": "SELECT repository_id, path, min(id) AS file_id FROM files WHERE path IN (SELECT metadata.target_file FROM relations WHERE metadata.target_file IS NOT NULL) GROUP BY ALL",
+        "c07_incoming": "SELECT id, source_chunk_id, target_chunk_id, relation_type, metadata.symbol AS symbol FROM relations WHERE target_chunk_id IN (SELECT id FROM chunks WHERE chunk_type IN ('class_definition', 'class_declaration'))",
+        "c14_path_skeletons": f"""{PARTS}, p AS (SELECT repository_id, path, string_agg(skeleton_content, chr(10) ORDER BY place) AS skeleton FROM parts WHERE part = 0 GROUP BY ALL)
+SELECT f.repository_id, f.path, coalesce(p.skeleton, '') AS skeleton FROM files f LEFT JOIN p ON p.repository_id = f.repository_id AND p.path = f.path WHERE f.path IN (SELECT metadata.source_file FROM relations WHERE metadata.source_file IS NOT NULL)""",
+        "n13_rerank": f"""{QV}, s AS (SELECT *, round({_COS}, 6) AS vector_score, round(0.1::DOUBLE * coalesce({_COUNT('content', WORDS[0])}, 0), 6) AS lexical_score FROM base WHERE {_OK} AND language IN ({_IN(LANGS)})),
+t AS (SELECT *, round(0.7::DOUBLE * vector_score + 0.3::DOUBLE * lexical_score, 6) AS first_score FROM s), h AS (SELECT *, row_number() OVER (ORDER BY first_score DESC, vector_score DESC, id) AS first_rank FROM t QUALIFY first_rank <= 40),
+b AS (SELECT *, round(first_score + CASE WHEN metadata.depth = 0 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN metadata.recent_edit THEN 0.05 ELSE 0 END::DOUBLE + 0.02::DOUBLE, 6) AS boosted FROM h),
+r AS (SELECT *, round(0.6::DOUBLE * boosted + 0.4::DOUBLE * CASE WHEN contains(content, '{WORDS[0]}') THEN 1 ELSE 0 END, 6) AS score FROM b)
+SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, first_rank) AS rank, CASE WHEN metadata.recent_edit THEN 'recent_edit' WHEN metadata.depth = 0 THEN 'top_level' END AS boost_reason, file_path FROM r""",
+        "n16_search_sections": f"""{QV}, s AS (SELECT *, round({_COS}, 6) AS vector_score FROM base WHERE {_OK}), h AS (SELECT *, row_number() OVER (ORDER BY vector_score DESC, id) AS first_rank FROM s QUALIFY first_rank <= 10),
+b AS (SELECT id, file_path, first_rank, round(round(0.7::DOUBLE * vector_score, 6) + CASE WHEN metadata.depth = 0 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN metadata.recent_edit THEN 0.05 ELSE 0 END::DOUBLE, 6) AS score, CASE WHEN metadata.recent_edit THEN 'recent_edit' WHEN metadata.depth = 0 THEN 'top_level' END AS boost_reason FROM h),
+y AS (SELECT DISTINCT target_chunk_id AS id, metadata.symbol AS name FROM relations WHERE metadata.symbol IS NOT NULL), z AS (SELECT y.id, y.name, f.path FROM y JOIN chunks c ON c.id = y.id JOIN files f ON f.id = c.file_id WHERE contains(lower(y.name), '{WORDS[0]}') OR contains(lower(y.name), 'usage')),
+n AS (SELECT DISTINCT e.b AS id FROM ({_EDGES}) e WHERE e.a IN (SELECT id FROM b) AND e.b NOT IN (SELECT id FROM b))
+SELECT 0 AS section, -row_number() OVER (ORDER BY name, id) AS position, id, path AS file_path, 1.5::DOUBLE AS score, 'global_symbol' AS boost_reason, NULL::VARCHAR AS relation_type FROM z QUALIFY row_number() OVER (ORDER BY name, id) <= 20
+UNION ALL SELECT 1, row_number() OVER (ORDER BY score DESC, first_rank), id, file_path, score, boost_reason, NULL FROM b
+UNION ALL SELECT 2, 1, n.id, f.path, NULL, NULL, 'graph_neighbor' FROM n JOIN chunks c ON c.id = n.id JOIN files f ON f.id = c.file_id""",
         "e03_symbol_index": SYMBOLS + "SELECT kind, name, count(DISTINCT chunk_id) AS chunks, min(chunk_id) AS first_id FROM syms GROUP BY ALL",
         "e06_files_per_commit": "SELECT c.id, c.commit_hash, coalesce(n, 0) AS files_changed FROM commits c LEFT JOIN (SELECT commit_id, count(DISTINCT file_id) AS n FROM file_commits GROUP BY ALL) l ON l.commit_id = c.id",
         "e08_mean_reciprocal_rank": TOPK
@@ -144,15 +168,15 @@ SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2
         "k07_degrees": """WITH r AS (SELECT DISTINCT source_chunk_id, target_chunk_id, relation_type FROM relations), e AS (SELECT source_chunk_id AS id, 1 AS o, 0 AS i, relation_type FROM r UNION ALL SELECT target_chunk_id, 0, 1, relation_type FROM r)
 SELECT id, relation_type, sum(o) AS outgoing, sum(i) AS incoming FROM e GROUP BY ALL""",
         "l03_chunkable": """SELECT id, coalesce(CASE lower(language) WHEN 'python' THEN chunk_type IN ('function_definition', 'class_definition', 'decorated_definition')
- WHEN 'javascript' THEN chunk_type IN ('function_declaration', 'class_declaration', 'method_definition', 'lexical_declaration', 'variable_declaration')
- WHEN 'typescript' THEN chunk_type IN ('function_declaration', 'class_declaration', 'method_definition', 'lexical_declaration', 'variable_declaration', 'interface_declaration')
- WHEN 'java' THEN chunk_type IN ('method_declaration', 'class_declaration', 'interface_declaration') WHEN 'go' THEN chunk_type IN ('function_declaration', 'method_declaration', 'type_declaration')
- WHEN 'rust' THEN chunk_type IN ('function_item', 'impl_item', 'struct_item', 'trait_item', 'enum_item') END, false) AS chunkable FROM chunks""",
+ WHEN 'javascript' THEN chunk_type IN ('function_declaration', 'class_declaration', 'method_definition', 'arrow_function')
+ WHEN 'typescript' THEN chunk_type IN ('function_declaration', 'class_declaration', 'method_definition', 'arrow_function')
+ WHEN 'java' THEN chunk_type IN ('method_declaration', 'constructor_declaration', 'class_declaration') WHEN 'go' THEN chunk_type IN ('function_declaration', 'method_declaration')
+ WHEN 'rust' THEN chunk_type IN ('function_item', 'impl_item', 'trait_item', 'struct_item') END, false) AS chunkable FROM chunks""",
         "l04_line_chunks": """WITH l AS (SELECT file_id, string_split(content, chr(10)) AS l FROM file_sources WHERE content IS NOT NULL), p AS (SELECT file_id, l, len(l) AS n, unnest(generate_series(0, len(l) - 1, 7)) AS a0 FROM l),
 c AS (SELECT file_id, n, a0, array_to_string(l[a0 + 1 : a0 + 8], chr(10)) AS body, CASE WHEN a0 = 0 THEN 0 ELSE strlen(array_to_string(l[1 : a0], chr(10))) + 1 END AS b FROM p)
 SELECT file_id, a0 // 7 AS chunk_no, a0 + 1 AS start_line, least(a0 + 8, n) AS end_line, b AS start_byte, b + strlen(body) AS end_byte, sha256(body) AS hash FROM c""",
         "l06_generic_skeletons": f"""WITH f AS (SELECT id, list_filter(string_split(content, chr(10)), lambda x: {_STRIP.format('x')} <> '') AS l FROM chunks WHERE content IS NOT NULL)
 SELECT id, CASE WHEN len(l) = 0 THEN '' WHEN len(l) = 1 THEN {_STRIP.format('l[1]')} ELSE {_STRIP.format('l[1]')} || ' ...' END AS skeleton FROM f""",
-        "s01_event_activity": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+        "s01_event_activity": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL",
         "s02_commit_activity": "SELECT repository_id, date_trunc('week', commit_time)::TIMESTAMP AS week, count(*) AS commits, count(DISTINCT author) AS authors FROM commits WHERE commit_time IS NOT NULL GROUP BY ALL",
     }

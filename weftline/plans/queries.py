@@ -13,7 +13,8 @@ from weftline.functions import text as T
 from weftline.functions import vectors as V
 from weftline.operators import chunking, graph, lineage, ranking, store
 from weftline.operators.embedding import embed, offline_backend
-from weftline.plans.engine import overview
+from weftline.plans.engine import overview_parts
+from weftline.session import materialize
 from weftline.sources.tables import table
 from weftline.streaming.incremental import drain, landing, windowed_activity
 
@@ -35,13 +36,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """What the index knew (files as first stored) and what the disk holds now: hashes of the fetched texts under today's paths, where files of two
-    extensions moved to another directory and null texts are gone."""
+    """What the index knew (files as first stored) and what the disk holds now, under today's paths: a text whose size is no longer the stored one has
+    a new hash, files of two extensions moved to another directory, and null texts are gone."""
     files, src = table(spark, d, "files"), table(spark, d, "file_sources")
     old = files.select("repository_id", "path", F.coalesce("fingerprint", F.concat(F.lit("none:"), F.col("id"))).alias("fingerprint"), "content_hash", "modified_at")
     path = F.when(F.col("path").rlike(r"\.(rs|cfg)$"), F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
     now = files.join(src, files["id"] == src["file_id"]).where("content is not null")
-    new = now.select("repository_id", path.alias("path"), F.coalesce("fingerprint", F.concat(F.lit("none:"), F.col("id"))).alias("fingerprint"), F.when(F.length("content") > 3000, F.sha2("content", 256)).otherwise(F.col("content_hash")).alias("content_hash"), "modified_at")
+    new = now.select("repository_id", path.alias("path"), F.coalesce("fingerprint", F.concat(F.lit("none:"), F.col("id"))).alias("fingerprint"), F.when(F.col("size_bytes") == F.octet_length("content"), F.col("content_hash")).otherwise(F.sha2("content", 256)).alias("content_hash"), "modified_at")
     return old, new
 
 
@@ -79,6 +80,13 @@ def a13_files_of_repository(spark, d):
     return table(spark, d, "files").select("repository_id", "path", "id", "content_hash", "modified_at")
 
 
+@query
+def a14_file_by_path(spark, d):
+    """The file at each path that a relation names, in every repository that has one there."""
+    paths = table(spark, d, "relations").select(F.col("metadata.target_file").alias("path")).where("path is not null").distinct()
+    return table(spark, d, "files").join(paths, "path", "left_semi").groupBy("repository_id", "path").agg(F.min("id").alias("file_id"))
+
+
 @query
 def a15_file_by_fingerprint(spark, d):
     return table(spark, d, "files").where("fingerprint is not null").groupBy("repository_id", "fingerprint").agg(F.min("id").alias("file_id"), F.count("*").alias("files"))
@@ -105,7 +113,7 @@ def b03_upsert_files(spark, d):
     files, src = table(spark, d, "files"), table(spark, d, "file_sources")
     new = files.join(src, files["id"] == src["file_id"]).where("content is not null").select(
         F.lit(None).cast("long").alias("id"), "repository_id", "path", T.language_of(F.col("path")).alias("language"), F.octet_length("content").alias("size_bytes"), "fingerprint",
-        F.when(F.length("content") > 2000, F.sha2("content", 256)).alias("content_hash"), "modified_at", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("updated_at"),
+        F.when(F.col("size_bytes") == F.octet_length("content"), F.lit(None)).otherwise(F.sha2("content", 256)).alias("content_hash"), "modified_at", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("updated_at"),
     )
     out = store.upsert(files, new, ["repository_id", "path"], keep_old=["content_hash", "modified_at", "fingerprint"])
     return out.select("id", "repository_id", "path", "language", "size_bytes", "content_hash", "modified_at")
@@ -186,6 +194,21 @@ def c06_either_endpoint(spark, d):
     return graph.relations_of(table(spark, d, "relations").select("id", "source_chunk_id", "target_chunk_id", "relation_type"), classes)
 
 
+@query
+def c07_incoming(spark, d):
+    classes = table(spark, d, "chunks").where("chunk_type in ('class_definition', 'class_declaration')").select("id")
+    return graph.incoming(table(spark, d, "relations").select("id", "source_chunk_id", "target_chunk_id", "relation_type", F.col("metadata.symbol").alias("symbol")), classes)
+
+
+@query
+def c14_path_skeletons(spark, d):
+    """Skeletons of the files that a relation starts in; empty where a file has none."""
+    paths = table(spark, d, "relations").select(F.col("metadata.source_file").alias("path")).where("path is not null").distinct()
+    f = table(spark, d, "files").join(paths, "path", "left_semi")
+    parts = overview_parts(table(spark, d, "chunks"), f).where("part = 0")
+    return f.join(parts, ["repository_id", "path"], "left").select("repository_id", "path", F.coalesce("skeleton", F.lit("")).alias("skeleton"))
+
+
 @query
 def c08_with_skeleton(spark, d):
     return table(spark, d, "chunks").where("skeleton_content is not null").groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("skeleton_content")).alias("chars"))
@@ -205,28 +228,38 @@ def d04_lineage(spark, d):
     return lineage.chunk_lineage(table(spark, d, "chunks"), table(spark, d, "files"), table(spark, d, "file_commits"), table(spark, d, "commits"))
 
 
-def _symbols_by_pattern(spark, d):
-    return graph.pattern_symbols(table(spark, d, "chunks").select("id", "content"))
+@query
+def g08_ordered_lineage(spark, d):
+    out = lineage.ordered_lineage(table(spark, d, "chunks"), table(spark, d, "files"), table(spark, d, "file_commits"), table(spark, d, "commits"))
+    return out.select("chunk_id", "commit_hash", "change_type", "place")
+
+
+def _symbols_by_pattern(spark, d, *kinds):
+    """Names of the asked kinds, with the repository that they are of; written once, as both sides of a relation read them."""
+    home = table(spark, d, "files").select(F.col("id").alias("file_id"), "repository_id")
+    c = table(spark, d, "chunks").select("id", "file_id", "content").join(home, "file_id")
+    return materialize(graph.pattern_symbols(c, list(kinds), ["repository_id"]), "symbols")
 
 
 @query
 def d07_call_relations(spark, d):
     c = table(spark, d, "chunks")
-    return graph.call_relations(_symbols_by_pattern(spark, d), c, [*graph.CALLERS, "function_declaration", "method_declaration", "function_item"])
+    return graph.call_relations(_symbols_by_pattern(spark, d, "call", "function"), c, [*graph.CALLERS, "function_declaration", "method_declaration", "function_item"])
 
 
 @query
 def d08_inheritance_relations(spark, d):
     c = table(spark, d, "chunks")
-    return graph.inheritance_relations(_symbols_by_pattern(spark, d), c, ["class_definition", "class_declaration"])
+    return graph.inheritance_relations(_symbols_by_pattern(spark, d, "base", "class"), c, ["class_definition", "class_declaration"])
 
 
 @query
 def d06_import_relations(spark, d):
     c = table(spark, d, "chunks")
-    f = table(spark, d, "files").select(F.col("id").alias("file_id"), T.stem(F.col("path")).alias("name"))
-    modules = c.select(F.col("id").alias("chunk_id"), "file_id").join(f, "file_id").select("chunk_id", "name")
-    return graph.import_relations(graph.symbols(c), modules)
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), T.stem(F.col("path")).alias("name"), "repository_id")
+    modules = c.select(F.col("id").alias("chunk_id"), "file_id").join(f, "file_id").select("chunk_id", "name", "repository_id")
+    syms = materialize(graph.symbols(c).join(modules.select("chunk_id", "repository_id"), "chunk_id"), "symbols")
+    return graph.import_relations(syms, modules)
 
 
 @query
@@ -256,12 +289,31 @@ def d14_latest_commit(spark, d):
 
 @query
 def e01_overview(spark, d):
-    return overview(table(spark, d, "chunks"), table(spark, d, "files"))
+    return overview_parts(table(spark, d, "chunks"), table(spark, d, "files"))
+
+
+@query
+def e04_counts(spark, d):
+    """How many rows each repository has in the tables that a search goes over."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "repository_id")
+    n = None
+    for name, key in (("files", "id"), ("chunks", "file_id"), ("file_commits", "file_id")):
+        one = table(spark, d, name).select(F.col(key).alias("file_id")).join(f, "file_id").groupBy("repository_id").agg(F.count("*").alias("total")).withColumn("table_name", F.lit(name))
+        n = one if n is None else n.unionByName(one)
+    return n
+
+
+@query
+def g09_ordered_overview(spark, d):
+    """Place of each file in the overview of its repository."""
+    c = table(spark, d, "chunks").where("skeleton_content is not null").select("file_id").distinct()
+    f = table(spark, d, "files").join(c, F.col("id") == F.col("file_id"), "left_semi")
+    return f.select("repository_id", "path", F.row_number().over(Window.partitionBy("repository_id").orderBy("path")).alias("place"))
 
 
 @query
 def e03_symbol_index(spark, d):
-    return _symbols_by_pattern(spark, d).groupBy("kind", "name").agg(F.countDistinct("chunk_id").alias("chunks"), F.min("chunk_id").alias("first_id"))
+    return graph.pattern_symbols(table(spark, d, "chunks").select("id", "content")).groupBy("kind", "name").agg(F.countDistinct("chunk_id").alias("chunks"), F.min("chunk_id").alias("first_id"))
 
 
 @query
@@ -326,6 +378,22 @@ def n12_search_chunks(spark, d):
     return ranking.search_chunks(_base(spark, d), q).select("id", "score", "rank", "boost_reason", "file_path")
 
 
+@query
+def n13_rerank(spark, d):
+    """The whole ranking but for the removal of near copies: first stage, boosts, filters' bonus, rerank."""
+    q = ranking.Query(vector=_query_vector(spark, d), text=WORDS[0], limit=40, lexical=True, languages=LANGS, dedup=None, reranker=lambda hits, text: [1.0 if text in (c or "") else 0.0 for c in hits["content"]])
+    return ranking.search_chunks(_base(spark, d), q).select("id", F.round("score", 4).alias("score"), "rank", "boost_reason", "file_path")
+
+
+@query
+def n16_search_sections(spark, d):
+    """Symbols, hits and neighbours of one query, with the symbols that relations name."""
+    q = ranking.Query(vector=_query_vector(spark, d), text=f"{WORDS[0]} usage", limit=10, dedup=None)
+    c, f, r = table(spark, d, "chunks"), table(spark, d, "files"), table(spark, d, "relations")
+    symbols = r.select(F.col("target_chunk_id").alias("chunk_id"), F.col("metadata.symbol").alias("name")).where("name is not null").distinct().join(c.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+    return ranking.search(_base(spark, d), q, r, c, f, symbols).select("section", "position", "id", "file_path", "score", "boost_reason", "relation_type")
+
+
 @query
 def n15_full_search(spark, d):
     q = ranking.Query(vector=_query_vector(spark, d), text="RUN_UUID lookup", limit=10)
@@ -497,7 +565,7 @@ def m06_embeddings(spark, d):
 
 @query
 def s01_event_activity(spark, d):
-    """Events by hour and type, as a stream over the table."""
+    """Events by hour and type, as a stream over the table: the windows that are closed, two hours behind the newest event."""
     schema = table(spark, d, "events").schema
     base = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(f"{d}/")
     out = windowed_activity(base.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")

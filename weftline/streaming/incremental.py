@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from weftline.operators.chunking import chunk_files, skeletons
 from weftline.operators.store import latest, upsert
 from weftline.schemas import conform, key
 from weftline.session import shared_dir
+from weftline.sources.tables import exists, remove
 
 
 def landing(spark: SparkSession, folder: str, schema, per_batch: int = 1000) -> DataFrame:
@@ -25,34 +27,47 @@ def windowed_activity(events: DataFrame, time: str, by: list[str], value: str, w
 
 
 def drain(stream: DataFrame, tag: str) -> DataFrame:
-    """Run a stream over all that is there, into the shared folder, and read the result as a table. Complete mode: windows of the whole input."""
+    """Run a stream over all that is there, into the shared folder, and read the result as a table. Append mode: a window is written once, when the
+    watermark has passed it, and leaves the state; rows that come later are dropped. Windows that the
+    watermark has not passed when the source ends are still open and not in the table."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-    def put(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out")
-
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def current(spark: SparkSession, store: str, name: str) -> str | None:
+    """The newest whole version of a table of the store, or None before the first batch. A version is whole once Spark has marked it."""
+    found = versions(spark, store, name)
+    return found[-1] if found else None
+
+
+def versions(spark: SparkSession, store: str, name: str) -> list[str]:
+    base = f"{store}/{name}"
+    if not exists(spark, base):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    names = sorted(x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    return [f"{base}/{n}" for n in names if exists(spark, f"{base}/{n}/_SUCCESS")]
+
+
 def index_stream(sources: DataFrame, store: str, settings: Settings = Settings()):
     """A query that takes a stream of (repository_id, path, language, content) into files and chunks under ``store``.
 
-    A batch keeps the newest text of each path, replaces that file's chunks and leaves all others; reprocessing a batch changes nothing."""
+    A batch keeps the newest text of each path, replaces that file's chunks and leaves all others; reprocessing a batch changes nothing. A batch
+    writes new versions of both tables and then drops all but the two newest; ``current`` names the newest. A version that is there and
+    cannot be read fails the batch, and the store stays as it was."""
     spark = sources.sparkSession
 
     def read(name: str, like: DataFrame) -> DataFrame:
-        try:
-            return spark.read.schema(like.schema).parquet(spark.read.text(f"{store}/{name}.at").first()[0])
-        except Exception:
-            return spark.createDataFrame([], like.schema)
+        at = current(spark, store, name)
+        return spark.read.schema(like.schema).parquet(at) if at else spark.createDataFrame([], like.schema)
 
     def put(df: DataFrame, name: str, epoch: int) -> None:
-        path = f"{store}/{name}/{epoch}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        spark.createDataFrame([(path,)], "p string").coalesce(1).write.mode("overwrite").text(f"{store}/{name}.at")
+        df.write.parquet(f"{store}/{name}/{time.time_ns():020d}-{epoch}")
+        for old in versions(spark, store, name)[:-2]:
+            remove(spark, old)
 
     def batch(df: DataFrame, epoch: int) -> None:
         df = df.withColumn("content_hash", F.sha2("content", 256))
