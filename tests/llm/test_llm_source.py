@@ -3,12 +3,14 @@
 import ast
 import base64
 import random
+import re
 
 import pytest
 
 from weftline.llm import credentials as C
 from weftline.llm import docpairs as D
 from weftline.llm import handwritten as H
+from weftline.llm import peg
 from weftline.llm import validity as V
 from weftline.llm.grammars import language
 
@@ -194,6 +196,29 @@ def test_files_no_one_wrote(spark):
     assert H.not_handwritten(spark.createDataFrame([], FILE), spark.createDataFrame([], SRC), spark.createDataFrame([], "item_id long, content string")).count() == 0
 
 
+def test_copies_between_repositories(spark):
+    body = lambda n, w: "".join(f"def {w}_step_{k}(value_{k}):\n    return value_{k} + {k}\n" for k in range(n))
+    mine = body(12, "other") + body(3, "many")
+    src = [(1, body(12, "many")), (2, body(12, "many").replace("many_step_3(", "renamed(")), (3, mine), (4, body(12, "many")), (5, "import os\n"), (6, "import os\n"), (7, body(10, "whole")), *[(20 + k, body(10, "whole")) for k in range(12)]]
+    files = [(i, {1: 1, 2: 2, 3: 3, 4: 1, 5: 1, 6: 2, 7: 1}.get(i, i), f"src/f{i}.py", None, None, None, None) for i, _ in src] + [(99, None, "src/z.py", None, None, None, None)]
+    df = H.not_handwritten(spark.createDataFrame(files, FILE), spark.createDataFrame([(*x, None, None) for x in src], SRC), spark.createDataFrame([], "item_id long, content string"))
+    got = {r.file_id: (r.reason, r.other_repository_id) for r in df.collect()}
+    assert {k: v for k, v in got.items() if k < 7} == {1: ("shared", 2), 2: ("shared", 1), 4: ("shared", 2)}
+    assert set(got) == {1, 2, 4, 7, *range(20, 32)} and got[7] == ("shared", 31) and got[31] == ("shared", 1)
+
+
+def test_generators_mark_whatever_else_the_line_says():
+    assert H.header_says_generated("// Code generated by x which writes stubs. DO NOT EDIT.\n")
+    assert H.header_says_generated("# This file was automatically generated on top of a.proto.\n")
+    assert not H.header_says_generated("# This file was generated by a script and is maintained by hand since then.\n")
+    assert H.header_says_generated("# AUTOGENERATED, never edit by hand\n")
+
+
+def test_short_tables_are_data_and_docstrings_are_not(spark):
+    assert H.composition("x = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]\n")[2] >= H.DATA
+    assert H.composition('"""A package of many words that says what it is for."""\n')[3] == 0
+
+
 def kinds_of(text):
     return [(text[a:b], k) for a, b, k in C.find(text)]
 
@@ -250,3 +275,61 @@ def test_key_containers_by_their_grammar():
     assert not C.der_key(tlv(0x30, tlv(0x30, n(2), n(9, 8)), tlv(0x30, oid("2a864886f70d01010b")), tlv(3, b"\0s")))  # a certificate
     jwk = '{"kty": "EC", "crv": "P-256", "x": "abcdefghijklmnopqrstuv", "d": "Zm9vYmFyYmF6cXV4MTIzNDU2"}'
     assert kinds_of(jwk) == [("Zm9vYmFyYmF6cXV4MTIzNDU2", "private key")]
+
+
+ELEMENTS = [
+    "const a = () => <div>hi</div>;", "const b = <A.B c='x' {...d} e={1 + <b/>} f>text &amp; {g ? <h/> : null} {/* c */}</A.B>\nfoo()", "const x = a < b && c > d;", "<x:y-z w=\"1\" />;", "f(<a/>, <b/>)",
+    "export default function X() {\n  return (\n    <>\n      <ul className=\"a\">{items.map((i) => <li key={i}>{i}</li>)}</ul>\n      <br />\n    </>\n  );\n}\n", "let q = c ? <a/> : <b>{`t ${1}`}</b>;", "const s = <a b={{c: '}'}}>{'<'}</a>;",
+]
+BROKEN = ["const a = () => <div>hi</span>;", "const a = <div>;", "const a = <div a=>x</div>;", "const a = <div>{1 +}</div>;", "const b = <a></a><b></b>;", "const c = <a>}</a>;"]
+
+
+def test_elements_in_their_files_only(spark):
+    texts = [(t, True) for t in ELEMENTS] + [(t, False) for t in BROKEN] + [("const f = <T,>(x: T) => <p>{f<number>(1)}</p>;", True)]
+    files, src, want = [], [], {}
+    for k, (t, ok) in enumerate(texts):
+        for j, suffix in enumerate((".jsx", ".TSX", ".js")):
+            i = 10 * k + j
+            files.append((i, 1, f"a/f{i}{suffix}", None, None, None, None))
+            src.append((i, t, None, None))
+            want[i] = ok and (suffix != ".js" or "</" not in t and "/>" not in t) and not (suffix != ".TSX" and "<T,>" in t)
+    got = {r.file_id: r.valid for r in V.judge_files(spark.createDataFrame(files, FILE), spark.createDataFrame(src, SRC)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["f(**a, *b)", "f(*a, b)", "f(a=1, *b)", "f(a=1, b)", "f(x for x in y)", "f(x for x in y, 1)", "f() = 1", "a.b = c[1] = 2", "a + b = c", "(a, [b, *c]), d = e", "for f() in y: pass", "with a as b.c, d as (e, f): pass", "del a, b.c, (d)", "(x): int", "(a, b): int = 1", "f() += 1", "class A(B, metaclass=M): pass", "None = 1", "a = b = yield", "f(a, *b, c, **d)", "f(**a, b)", "*a, = b", "[x for x, in y]", "lambda: x = 1", "match.x = 1"])
+def test_python_arguments_and_targets_as_the_interpreter_has_them(text):
+    try:
+        ast.parse(text + "\n")
+        ok = True
+    except SyntaxError:
+        ok = False
+    assert language("python").valid(text + "\n") == ok
+
+
+def test_depth_is_bounded_by_memory_only(spark):
+    deep = {1: ("a.py", "x = " + "not " * 50_000 + "y\n"), 2: ("b.js", "if (a) b();\n" + "else if (a) b();\n" * 10_000), 3: ("c.py", "x = " + "(" * 50_000 + ")" * 50_000 + "\n"), 4: ("d.ts", "x = " + "a ? b : " * 20_000 + "c;"), 5: ("e.py", "x = " + "[" * 50_000 + ")" * 50_000 + "\n")}
+    files = spark.createDataFrame([(i, 1, p, None, None, None, None) for i, (p, _) in deep.items()], FILE)
+    src = spark.createDataFrame([(i, t, None, None) for i, (_, t) in deep.items()], SRC)
+    assert {r.file_id: r.valid for r in V.judge_files(files, src).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_runs_of_items_parse_as_three_do():
+    """Lists and mappings of many items of one shape have the verdict of the whole, good or broken at any place."""
+    rng = random.Random(4)
+    for lang, line, items in (("python", "x = [{}]\n", ["a", "1", "'s'", "a.b", "f(x)", "k: v", "*r"]), ("javascript", "x = {{ {} }};\n", ["a", "b: 1", "c: [1]", "...d", "'e': f(1)"]), ("go", "package p\nvar x = []int{{{}}}\n", ["1", "a", "f(1)", "k: 1"])):
+        judge = language(lang)
+        for _ in range(60):
+            body = [rng.choice(items)] * rng.randint(1, 9) + [rng.choice(items)] * rng.randint(0, 9)
+            if rng.random() < 0.3:
+                body.insert(rng.randint(0, len(body)), "+")
+            text = line.format(", ".join(body))
+            short = judge.valid(text)
+            rules = judge.grammar
+            keep, peg.RUN = peg.RUN, re.compile(r"(?!)()")
+            try:
+                fresh = type(judge)() if lang in ("python", "go") else language.__wrapped__(lang)
+                assert fresh.valid(text) == short, text
+            finally:
+                peg.RUN = keep
+            assert rules is judge.grammar

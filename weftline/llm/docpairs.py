@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.grammars import SUFFIXES, language
-from weftline.llm.peg import Grammar, Units
+from weftline.llm.peg import CLOSE, Grammar, Units
 from weftline.session import spread
 
 #: Layout that the doc grammars see, where the validity grammars drop it: a line break, a break with blank lines, a comment, a documentation
@@ -115,6 +115,10 @@ class Extractor:
         self.lang = language(name)
         kinds = {k: v for k, v in self.lang.kinds.items() if k not in "()"} | LAYOUT
         self.grammar = Grammar(SHARED + DOCS[name], kinds, {"(": [], "[": [], "{": []})
+        # bracket groups are matched once a text, as rules that look for the end of an open bracket would read the rest again for each
+        self.behind: dict[int, int] = {}
+        for rule, openers in (("Group", "([{"), ("Round", "(["), ("Curly", "{")):
+            self.grammar.table[rule] = lambda s, p, memo, openers=openers: self.behind.get(p, -1) if s[p] in openers else -1
         self.kind = Units(self.kind_of)
         k = kinds
         self.start = {"python": k.get("def", ""), "typescript": "D", "java": "D", "go": "L", "rust": "DL"}[name]
@@ -130,6 +134,20 @@ class Extractor:
             return "D" if self.name != "go" and tok[2:3] == "*" and len(tok) > 4 and tok[3:4] != "*" else "c"
         return self.lang.classify[tok]
 
+    def match_groups(self, s: str) -> None:
+        """Where each bracket group ends: an opener whose first own closer is of another kind is a plain token, as is one without."""
+        self.behind = {}
+        opened: list[int] = []
+        for p, c in enumerate(s):
+            if c in CLOSE:
+                opened.append(p)
+            elif c in ")]}":
+                while opened:
+                    q = opened.pop()
+                    if CLOSE[s[q]] == c:
+                        self.behind[q] = p + 1
+                        break
+
     def pairs(self, text: str) -> Iterator[tuple[str, str, int, int, int, int]]:
         """(name, description, start and end of the documentation, start and end of the function) in order."""
         clean = self.lang.clean(text)
@@ -145,6 +163,7 @@ class Extractor:
         if not any(c in s for c in self.start):
             return
         s += "\x03"
+        self.match_groups(s)
         memo: dict = {}
         run = lambda rule, p: self.grammar.table[rule](s, p, memo)
         p, n = 0, len(s) - 1
@@ -273,11 +292,13 @@ def guess(text: str) -> str | None:
     return next((name for name, pattern in GUESS if re.search(pattern, text, re.M)), None)
 
 
+#: Frames of rules nested in each other; they live on the heap.
+NESTING = 100_000_000
 PAIRS = "chunk_id long, func_name string, language string, description string, doc_start int, doc_end int, code_start int, code_end int, code string"
 
 
 def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(20_000)
+    sys.setrecursionlimit(NESTING)
     for pdf in batches:
         rows = []
         for cid, text, lang in zip(pdf["id"], pdf["content"], pdf["lang"]):
@@ -286,11 +307,8 @@ def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             ex = extractor(lang)
             clean = ex.lang.clean(text)
-            try:
-                for name, says, d0, d1, c0, c1 in ex.pairs(text):
-                    rows.append((cid, name, lang, says, d0, d1, c0, c1, clean[c0:c1]))
-            except RecursionError:  # brackets nested beyond any source file
-                continue
+            for name, says, d0, d1, c0, c1 in ex.pairs(text):
+                rows.append((cid, name, lang, says, d0, d1, c0, c1, clean[c0:c1]))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
 

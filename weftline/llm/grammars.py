@@ -11,6 +11,11 @@ from weftline.llm.peg import EOF, ERR, NL, Grammar, Units
 #: File suffix, in any case, to the grammar that judges it.
 SUFFIXES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust"}
 
+#: Stands for an element of a JSX or TSX text, once that is known to be well formed.
+ELEMENT = "\ue0fe"
+#: File suffixes whose texts may hold elements.
+WITH_ELEMENTS = [".jsx", ".tsx"]
+
 PY_WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 JS_WORDS = "break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with"
 JS_SOFT = "async await from get let of set static yield as"
@@ -25,7 +30,7 @@ PYTHON = r"""
 Line      <- Simple / Header Simple?
 Simple    <- Small (";" Small)* ";"?
 Small     <- "pass" / "break" / "continue" / "return" List? / "raise" (Test ("from" Test)?)? / "global" Names / "nonlocal" Names
-           / "del" List / "assert" Test ("," Test)? / Import / "type" IDENT @Subscript? "=" Test / Expr
+           / "del" TList / "assert" Test ("," Test)? / Import / "type" IDENT @Subscript? "=" Test / Expr
 Names     <- Name ("," Name)*
 Name      <- IDENT / "match" / "case" / "type"
 Import    <- "import" AsPath ("," AsPath)* / "from" ("." / "...")* Path? "import" ("*" / @Imports / AsName ("," AsName)*)
@@ -35,7 +40,15 @@ AsName    <- Name ("as" Name)?
 Imports   <- AsName ("," AsName)* ","?
 Value     <- Yield / List
 Yield     <- "yield" ("from" Test / List)?
-Expr      <- Value (":" Test ("=" Value)? / AUG Value / ("=" Value)*)
+Expr      <- One ":" Test ("=" Value)? / One AUG Value / (TList "=")* Value
+One       <- Atom (Trailer &Trailer)* ("." Name / @Subscript) !Trailer / Name !Trailer / @Single !Trailer
+Single    <- One
+TList     <- STarget ("," STarget)* ","?
+STarget   <- "*"? Target
+Target    <- Atom (Trailer &Trailer)* ("." Name / @Subscript) !Trailer / Name !Trailer / @Targets !Trailer / @TargetList !Trailer
+Targets   <- TList?
+TargetList <- TList?
+Trailer   <- "." Name / @Args / @Subscript
 List      <- Star ("," Star)* ","?
 Star      <- "*" Bin / Named
 Named     <- Name ":=" Test / Test
@@ -50,10 +63,11 @@ Paren     <- (Yield / Star For+ / List)?
 Listing   <- (Star For+ / List)?
 Braces    <- (Pair For+ / Pair ("," Pair)* ","? / Star For+ / List)?
 Pair      <- "**" Bin / Test ":" Test
-For       <- "async"? "for" Targets "in" Bin ("if" (Name ":=" Bin / Lambda / Bin))*
-Targets   <- "*"? Post ("," "*"? Post)* ","?
-Args      <- (Arg ("," Arg)* ","?)?
-Arg       <- "*" Test / "**" Test / Name "=" Test / Named For*
+For       <- "async"? "for" TList "in" Bin ("if" (Name ":=" Bin / Lambda / Bin))*
+Args      <- Named For+ / (First ("," First)* ("," Second)* ("," Third)* ","? / Second ("," Second)* ("," Third)* ","? / Third ("," Third)* ","?)?
+First     <- "*" Test / !(Name "=") Named
+Second    <- "*" Test / Name "=" Test
+Third     <- "**" Test / Name "=" Test
 Subscript <- Slice ("," Slice)* ","?
 Slice     <- Test? ":" Test? (":" Test?)? / Star
 Params    <- (Param ("," Param)* ","?)?
@@ -62,12 +76,12 @@ Header    <- If / Elif / Else / Loop / Try / Except / Finally / With / Def / Cla
 If        <- "if" Named ":"
 Elif      <- "elif" Named ":"
 Else      <- "else" ":"
-Loop      <- "while" Named ":" / "async"? "for" Targets "in" List ":"
+Loop      <- "while" Named ":" / "async"? "for" TList "in" List ":"
 Try       <- "try" ":"
 Except    <- "except" "*"? (List ("as" Name)?)? ":"
 Finally   <- "finally" ":"
 With      <- "async"? "with" (@WithItems ":" / WithItem ("," WithItem)* ":")
-WithItem  <- Test ("as" "*"? Post)?
+WithItem  <- Test ("as" STarget)?
 WithItems <- WithItem ("," WithItem)* ","?
 Def       <- "async"? "def" Name @Subscript? @Params ("->" List)? ":"
 Class     <- "class" Name @Subscript? @Args? ":"
@@ -459,20 +473,24 @@ class Language:
     def clean(self, text: str) -> str:
         return text.removeprefix("﻿").replace("\r\n", "\n")
 
-    def valid(self, text: str) -> bool:
+    def valid(self, text: str, jsx: bool = False) -> bool:
         classify = self.classify
-        kinds = "".join([classify[t] for t in self.token.findall(self.clean(text))])
+        text = self.clean(text)
+        kinds = "".join([classify[t] for t in self.token.findall(self.without_elements(text) if jsx else text)])
         if ERR in kinds:
             return False
         g = self.grammar
         flat = g.flatten(self.lay_out(kinds))
         return ERR not in flat and g.accepts("File", flat)
 
-    def failure(self, text: str) -> int:
+    def without_elements(self, text: str) -> str:
+        return text
+
+    def failure(self, text: str, jsx: bool = False) -> int:
         """Character offset of the furthest failure of a text that is not valid."""
         clean = self.clean(text)
         kinds, at = [], []
-        for m in self.token.finditer(clean):
+        for m in self.token.finditer(self.without_elements(clean) if jsx else clean):
             k = self.classify[m.group(1)]
             kinds.append(k)
             at += [m.start(1)] * len(k)
@@ -527,7 +545,7 @@ class Python(Language):
             PY_WORDS, "match case type", "( ) ; , . : = := -> * ** / @ ... + - ~ // % & | ^ << >> < > <= >= == != += -= *= /= //= %= @= &= |= ^= >>= <<= **=", ["IDENT", "NUM", "STR"],
             AUG="+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", BINOP="+ - // % @ & | ^ << >> < > <= >= == !=", UNOP="+ - ~",
         )
-        g = Grammar(PYTHON, kinds, {"(": ["Args", "Params", "Paren", "Imports", "WithItems"], "[": ["Listing", "Subscript"], "{": ["Braces"]})
+        g = Grammar(PYTHON, kinds, {"(": ["Args", "Params", "Paren", "Imports", "WithItems", "Targets", "Single"], "[": ["Listing", "Subscript", "TargetList"], "{": ["Braces"]})
         super().__init__("python", PY_TOKEN, g)
         self.kinds, self.number = kinds, re.compile(NUMBER["python"])
         # a group's kinds hold line breaks with their indentation; inside brackets they mean nothing
@@ -644,7 +662,7 @@ class Python(Language):
             out.append(c)
         return "".join(out) + ")" * (len(stack) - 1), len(stack)
 
-    def valid(self, text: str) -> bool:
+    def valid(self, text: str, jsx: bool = False) -> bool:
         classify = self.classify
         kinds = "".join([classify[t] for t in self.token.findall("\n" + self.clean(text))])
         if ERR in kinds:
@@ -658,7 +676,7 @@ class Python(Language):
         out = self.nest.flatten(nested[0])
         return self.nest.accepts("File", out)
 
-    def failure(self, text: str) -> int:
+    def failure(self, text: str, jsx: bool = False) -> int:
         clean = "\n" + self.clean(text)
         kinds, at = [], []
         for m in self.token.finditer(clean):
@@ -764,7 +782,7 @@ class Script(Brace):
             ASSIGN="= += -= *= /= %= **= &= |= ^= <<= &&= ||= ??=", BINOP="+ - * / % ** & | ^ << < <= == != === !== && || ??", UNOP="! ~ + -",
         )
         k = self.kinds
-        ender = "".join(k[x] for x in ["IDENT", "NUM", "STR", "TEMPLATE", "REGEX", "PRIVATE", "++", "--", *"break continue debugger return this super null true false".split()]) + k["SOFT"] + ")]}"
+        ender = "".join(k[x] for x in ["IDENT", "NUM", "STR", "TEMPLATE", "REGEX", "PRIVATE", "JSX", "++", "--", *"break continue debugger return this super null true false".split()]) + k["SOFT"] + ")]}"
         starter = "".join(k[x] for x in ["IDENT", "NUM", "STR", "REGEX", "PRIVATE", "++", "--", "!", "~", "@"]) + k["SOFT"] + k["WORD"] + "{}[*"
         starter = "".join(c for c in starter if c not in k["in"] + k["instanceof"])
         self.breaks = re.compile(f"(?<=[{re.escape(ender)}])N+(?=[{re.escape(starter)}])|(N+)")
@@ -787,8 +805,106 @@ class Script(Brace):
             return self.kinds["REGEX"]
         if c == "#" and len(tok) > 1:
             return self.kinds["PRIVATE"]
+        if tok == ELEMENT:
+            return self.kinds["JSX"]
         return super().other(tok, c)
 
+    #: Behind these a ``<`` opens an element; behind all else it compares or opens type arguments.
+    OPENS = re.compile(r"(?:[=(\[{},;:?!&|+*%^~>-]|=>|\b(?:return|default|yield|case|await|typeof|void|delete|in|of|else|do))\s*\Z|\A\s*\Z")
+    TAG = re.compile(r"\s*([A-Za-z_$][\w$-]*(?:[.:][A-Za-z_$][\w$-]*)*)?")
+    ATTRIBUTE = re.compile(r"""\s*([A-Za-z_$][\w$-]*(?::[A-Za-z_$][\w$-]*)?)(?:\s*=\s*("[^"]*"|'[^']*'|(?=[{<])))?""")
+    GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|=[^>])")
+    BLANK = re.compile(r"(?:\s|/\*.*?\*/|//[^\n]*)*", re.S)
+
+    def without_elements(self, text: str) -> str:
+        """The text with each well-formed element as one token of the same length, so offsets stay; a broken element is left as it is and fails."""
+        if "<" not in text:
+            return text
+        return self.spliced(text, 0, "")[0]
+
+    def spliced(self, text: str, p: int, closer: str) -> tuple[str, int]:
+        """Tokens from ``p`` on with their elements replaced, up to an unmatched ``closer`` or the end; and where that is."""
+        out, last, depth = [], "", 0
+        while p < len(text):
+            m = self.token.match(text, p)
+            if not m:
+                break
+            tok, at = m.group(1), m.start(1)
+            if tok.startswith("<") and not tok.startswith("<<=") and self.OPENS.search(last) and not (self.name == "typescript" and self.GENERIC.match(text, at)):
+                end = self.element(text, at)
+                if end > 0:
+                    out.append(text[p:at] + ELEMENT + " " * (end - at - 1))
+                    last, p = ELEMENT, end
+                    continue
+            if tok in ("{", "(", "["):
+                depth += 1
+            elif tok in ("}", ")", "]"):
+                if not depth and tok == closer:
+                    return "".join(out), at
+                depth -= 1
+            out.append(text[p : m.end()])
+            if tok.strip() and not tok.startswith(("//", "/*")):
+                last = tok if not tok[:1].isspace() else last
+            if m.end() == p:
+                break
+            p = m.end()
+        return "".join(out), -1 if closer else len(text)
+
+    def held(self, text: str, p: int) -> int:
+        """Behind the ``}`` of an expression that stands in an element at ``p``, or -1."""
+        body, end = self.spliced(text, p + 1, "}")
+        body = self.BLANK.sub("", body) and body
+        if end < 0 or body and not self.expression(body.lstrip().removeprefix("...")):
+            return -1
+        return end + 1
+
+    def element(self, text: str, p: int) -> int:
+        """Behind an element that begins at ``p``, or -1 if it is not well formed."""
+        names: list[str | None] = []
+        while True:
+            if text.startswith("</", p):
+                m = self.TAG.match(text, p + 2)
+                q = m.end()
+                while text[q : q + 1].isspace():
+                    q += 1
+                if text[q : q + 1] != ">" or not names or names.pop() != m.group(1):
+                    return -1
+                p = q + 1
+            else:
+                m = self.TAG.match(text, p + 1)
+                q = m.end()
+                if not m.group(1) and text[q : q + 1] != ">":
+                    return -1
+                while True:
+                    while text[q : q + 1].isspace():
+                        q += 1
+                    a = self.ATTRIBUTE.match(text, q)
+                    if a and a.end() > q:
+                        q = a.end()
+                        if text[q - 1 : q] not in "\"'" and re.search(r"=\s*\Z", text[a.start() : q]):
+                            q = self.held(text, q) if text[q] == "{" else self.element(text, q)
+                    elif text[q : q + 1] == "{" and re.match(r"\{\s*\.\.\.", text[q : q + 80]):
+                        q = self.held(text, q)
+                    else:
+                        break
+                    if q < 0:
+                        return -1
+                if text.startswith("/>", q):
+                    p = q + 2
+                elif text[q : q + 1] == ">":
+                    names.append(m.group(1))
+                    p = q + 1
+                else:
+                    return -1
+            if not names:
+                return p
+            while text[p : p + 1] != "<":  # children
+                if p >= len(text) or text[p] in ">}":
+                    return -1
+                p = self.held(text, p) if text[p] == "{" else p + 1
+                if p < 0:
+                    return -1
+
     def expression(self, text: str) -> bool:
         kinds = "".join([self.classify[t] for t in self.token.findall(text)]).replace(NL, "")
         flat = self.grammar.flatten(kinds)
@@ -829,7 +945,7 @@ class Rust(Brace):
     def tokens_of(self, text: str) -> list[str]:
         return [m[0] if isinstance(m, tuple) else m for m in self.token.findall(text)]
 
-    def valid(self, text: str) -> bool:
+    def valid(self, text: str, jsx: bool = False) -> bool:
         classify = self.classify
         kinds = "".join([classify[t[0]] for t in self.token.findall(self.clean(text))])
         if ERR in kinds:

@@ -23,6 +23,8 @@ BASES = {"(": 0xF0000, "[": 0xF4000, "{": 0xF8000}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
 MOST_UNITS = 100_000
+#: Levels of brackets that are replaced level by level; what is nested deeper is replaced in one pass with a stack, which is slower for flat texts.
+ROUNDS = 48
 #: Longer units are parsed each time instead of being kept.
 LONGEST = 512
 #: A long run of list items of one shape parses as three of them do.
@@ -245,8 +247,7 @@ class Grammar:
         if group[-1] != CLOSE[opener] or ERR in group:
             return ERR
         inner = group[1:-1]
-        if len(inner) > 32:
-            inner = RUN.sub(r"\1\1\1", inner)
+        inner = RUN.sub(r"\1\1\1", inner)
         flat = inner.replace(NL, "")
         lined: dict = {}
         table: dict = {} if flat != inner else lined  # the readings of one string share its table
@@ -255,10 +256,20 @@ class Grammar:
 
     def flatten(self, kinds: str) -> str:
         groups = self.groups
-        while True:
+        for _ in range(ROUNDS):
             kinds, n = INNER.subn(lambda m: groups[m.group()], kinds)
             if not n or ERR in kinds:
                 return kinds
+        open_groups: list[list[str]] = [[]]
+        for c in kinds:
+            if c in BASES:
+                open_groups.append([c])
+            elif c in ")]}" and len(open_groups) > 1:
+                group = open_groups.pop()
+                open_groups[-1].append(groups["".join(group) + c])
+            else:
+                open_groups[-1].append(c)
+        return "".join("".join(g) for g in open_groups)
 
     def furthest_failure(self, rule: str, kinds: str) -> int:
         """Index of the token at which a text that is not accepted fails: the first broken bracket or token, else the furthest
@@ -285,6 +296,7 @@ class Grammar:
                 units[-1][1].append(i)
         if stack:
             return len(kinds)
+        self.spots: dict[int, int] = {}
         return self._descend([rule], *units[0], len(kinds))
 
     def dead(self, opener: str, holder: str) -> bool:
@@ -304,8 +316,12 @@ class Grammar:
                 w = where[keep[far]]
                 if isinstance(w, tuple):
                     opener_at, opener, inner, inner_where = w
-                    failing = [x for x in self.roles[opener] if x not in TRIVIAL and not self.accepts(x, "".join(c for c in inner if x in self.lined or c != NL))]
-                    at = max(opener_at, self._descend(failing, inner, inner_where, opener_at + 1)) if self.dead(opener, chars[keep[far]]) else opener_at
+                    at = opener_at
+                    if self.dead(opener, chars[keep[far]]):
+                        if opener_at not in self.spots:  # once a group, whichever of its roles are asked for
+                            failing = [x for x in self.roles[opener] if x not in TRIVIAL and not self.accepts(x, "".join(c for c in inner if x in self.lined or c != NL))]
+                            self.spots[opener_at] = self._descend(failing, inner, inner_where, opener_at + 1)
+                        at = max(opener_at, self.spots[opener_at])
                 else:
                     at = w
             if at > best:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.docpairs import suffix_language
-from weftline.llm.grammars import language
+from weftline.llm.docpairs import NESTING, suffix_language
+from weftline.llm.grammars import WITH_ELEMENTS, language
 
 MARKERS = re.compile(r"^(<{7}|={7}|>{7}|\|{7})( |$)", re.M)
 VERDICTS = "file_id long, repository_id long, language string, valid boolean, cause string, fail_char int, fail_line int"
@@ -28,21 +28,17 @@ def cause(text: str, at: int, lang: str) -> str:
 
 
 def judge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(20_000)  # deeply nested source nests rules as deep
+    sys.setrecursionlimit(NESTING)  # a chain of a million operators or branches parses
     for pdf in batches:
         valid, why, char, line = [], [], [], []
-        for text, lang in zip(pdf["content"], pdf["lang"]):
+        for text, lang, jsx in zip(pdf["content"], pdf["lang"], pdf["jsx"]):
             judge = language(lang)
-            ok = reason = at = None
-            try:
-                ok = judge.valid(text)
-                if not ok:
-                    clean = judge.clean(text)
-                    at = judge.failure(text)
-                    reason = cause(clean, at, lang)
-            except RecursionError:
-                if ok is not None:
-                    reason = "syntax"
+            reason = at = None
+            ok = judge.valid(text, jsx)
+            if not ok:
+                clean = judge.clean(text)
+                at = judge.failure(text, jsx)
+                reason = cause(clean, at, lang)
             valid.append(ok), why.append(reason), char.append(at)
             line.append(None if at is None else clean.count("\n", 0, at) + 1)
         yield pd.DataFrame(
@@ -56,15 +52,16 @@ def judge_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     Needs id, repository_id, path, language of ``files`` and file_id, content of ``sources``. A file's language is that of its suffix in any
     case; without a suffix or path, that of its label; other files and null contents are not judged and give no row. An empty content
     is a valid file but for Java-like rules of Go, which wants a package. fail_char is the furthest failure in the text without byte-order
-    mark and with LF line ends. A text nested beyond what can be parsed has a null verdict. Repeated rows are judged each; empty tables give no rows.
+    mark and with LF line ends. Elements are judged in .jsx and .tsx files only. Repeated rows are judged each; empty tables give no rows.
 
     Plan: files are cut to their id and language before the join, which hashes that small side; each text is parsed once, where the
     join leaves it, as a whole.
     """
     lang = suffix_language(F.col("path"), F.col("language"))
-    f = files.select("id", "repository_id", lang.alias("lang")).where("lang is not null").hint("shuffle_hash")
+    jsx = F.lower(F.coalesce("path", F.lit(""))).rlike(f"({'|'.join(x.replace('.', '[.]') for x in WITH_ELEMENTS)})$")
+    f = files.select("id", "repository_id", lang.alias("lang"), jsx.alias("jsx")).where("lang is not null").hint("shuffle_hash")
     s = sources.select(F.col("file_id").alias("id"), "content").where(F.col("content").isNotNull())
-    return s.join(f, "id").select("id", "repository_id", "lang", "content").mapInPandas(judge_rows, VERDICTS)
+    return s.join(f, "id").select("id", "repository_id", "lang", "jsx", "content").mapInPandas(judge_rows, VERDICTS)
 
 
 def rates(judged: DataFrame) -> DataFrame:
