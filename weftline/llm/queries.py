@@ -67,7 +67,8 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_reasons(spark, d).select("file_id").distinct()
+    # a file that two repositories share may be the own work of one of them; only what is published elsewhere counts as third-party code
+    return p6_reasons(spark, d).where("reason <> 'shared'").select("file_id").distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
