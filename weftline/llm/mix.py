@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import TOKENIZER, size_rows
 from weftline.session import materialize, spread
 
-#: Slices of the key space in which token sums are formed before any row is sorted; bounds the driver-free histogram.
-SLICES = 1 << 16
+#: Slices of each source's keys, at their quantiles: COARSE groups of as many slices. Token sums are formed by slice before any row is sorted.
+COARSE = 48
 
 
 def source_name(col: Column) -> Column:
@@ -23,21 +24,21 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER, tolerance: float = 0.002
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with the times each is used, report of shares).
 
     ``docs`` needs doc_id, text and source, ``targets`` source, target_share and max_repeats. Every source gets
     ``target_share * total_tokens``; without ``total_tokens`` the largest total is taken that all sources can fill. A source
     that cannot fill its part gives all it may, and the report shows the share really reached. Whole epochs over a source come
-    first; what is left of its budget is drawn without replacement by Efraimidis-Spirakis keys, weighted by quality, up to the
-    document that would pass the budget; that one is passed over and the draw goes on behind it among documents that still
-    fit, until less than ``tolerance`` of the budget is open or none fits. Documents without an id, with a null or unlisted source, and those of no tokens, are not used.
+    that cannot fill its part gives all it may, and the report shows the share really reached. Whole epochs over a source come
+    first; what is left of its budget is drawn without replacement by Efraimidis-Spirakis keys, weighted by quality, in order of the
+    key; a document that no longer fits is passed over, until no document of the source fits. Documents without an id, with a null or unlisted source, and those of no tokens, are not used.
     Repeated rows of one id are drawn together and counted once each. A source without documents is reported with share 0 and limits nothing.
 
-    Plan: one pass over the text writes id, source, size and weight; budgets come from one sum a source; the prefix sum runs over
-    a histogram of the keys (sources x SLICES rows), then over the one slice of each source in which its budget ends, so no
-    task ever sorts a whole source.
+    Plan: one pass over the text writes id, source, size and weight; budgets come from one sum a source. Keys are cut at their own quantiles,
+    so slices are even whatever the weights are; their sums are one small table. The draw reads the one slice of each source in which its budget ends, and then
+    only slices that hold a document that still fits, so no task sorts a source and no round reads one.
     """
     t = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats"))
     rows = spread(docs.where("doc_id is not null").select("doc_id", "text", source_name(F.col("source")).alias("source")))
@@ -59,43 +60,63 @@ def mix_sources(
     )
     plan = materialize(plan, "mix-plan")  # a row a source
     keyed = sized.withColumn("key", -F.log(draw(F.col("doc_id"), seed)) / F.col("weight"))
-    keyed = keyed.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
-    rounds = draw_rounds(keyed, [(r["source"], r["rest"], r["budget"]) for r in plan.collect()], tolerance)
-    at = keyed.join(F.broadcast(rounds), "source", "left")
-    hit = (F.col("key") > F.col("low")) & (F.col("key") < F.col("high")) & (F.col("n_tokens") <= F.col("room"))
-    drawn = at.where(hit).select("doc_id", "source", "n_tokens", F.lit(1).cast("long").alias("n"))
+    edges = keyed.groupBy("source").agg(F.percentile_approx("key", [k / COARSE**2 for k in range(1, COARSE**2)], 20 * COARSE**2).alias("edges"))
+    keyed = keyed.join(F.broadcast(edges), "source")  # a row a source, of fixed width
+    tops = F.transform(F.sequence(F.lit(COARSE), F.lit(COARSE * (COARSE - 1)), F.lit(COARSE)), lambda k: F.get("edges", k - 1))
+    coarse = keyed.withColumn("c", F.size(F.filter(tops, lambda e: e < F.col("key"))))
+    fine = F.size(F.filter(F.slice("edges", F.col("c") * COARSE + 1, F.lit(COARSE - 1)), lambda e: e < F.col("key")))
+    keyed = coarse.withColumn("slice", F.col("c") * COARSE + fine).select("doc_id", "source", "n_tokens", "key", "slice")
+    keyed = materialize(keyed.repartitionByRange("slice"), "mix-keys")  # by slice, so that a round reads the files of its slices
+    sums = materialize(keyed.groupBy("source", "slice").agg(F.sum("n_tokens").alias("tokens"), F.min("n_tokens").alias("least")), "mix-slices")
+    first, picked = draw_rounds(keyed, sums, plan)
+    before = keyed.join(F.broadcast(first), "source").where(F.col("slice") < F.col("first")).select("doc_id", "source", "n_tokens")
+    drawn = (before.unionByName(picked) if picked is not None else before).withColumn("n", F.lit(1).cast("long"))
     whole = sized.join(F.broadcast(plan.where("epochs > 0").select("source", "epochs")), "source").select("doc_id", "source", "n_tokens", F.col("epochs").alias("n"))
     used = whole.unionByName(drawn).groupBy("doc_id", "source", "n_tokens").agg(F.sum("n").alias("times_used"))
     used = used.select("doc_id", "source", "n_tokens", "times_used")
     return used, share_report(used, plan)
 
 
-def draw_rounds(keyed: DataFrame, left: list[tuple[str, int, int]], tolerance: float) -> DataFrame:
-    """(source, low, high, room): a row is drawn if its key lies between low and high and its size is within room.
+def take_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An applyInPandas function over one slice of a source: the documents that fit one after another, in order of their keys."""
+    pdf = pdf.sort_values(["key", "doc_id"], kind="stable")
+    room, took = int(pdf["room"].iloc[0]), []
+    for n in pdf["tokens"].tolist():
+        took.append(n <= room)
+        room -= n if took[-1] else 0
+    return pdf.loc[took, ["source", "doc_id", "key", "tokens"]]
+
+
+def draw_rounds(keyed: DataFrame, sums: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(first, picked): for each source the slice in which its budget ends, of which all earlier ones are drawn whole, and the documents
+    drawn from that slice on.
 
-    Each round finds, for all sources at once, the first key at which the running size passes what is left. The lists that reach
-    the driver hold a row a source."""
+    Each round takes, for all sources at once, the next slice that holds a document that still fits, and fills what is left from it in order;
+    the room shrinks in every round. What reaches the driver is a row a source; the sums are COARSE squared rows a source, in order on one task each."""
     spark = keyed.sparkSession
-    schema = "source string, low double, room long"
-    state = [(s, -1.0, rest) for s, rest, budget in left if rest > 0]
-    least = {s: budget * tolerance for s, _, budget in left}
-    out: list[tuple[str, float, float, int]] = []
+    by = Window.partitionBy("source").orderBy("slice")
+    run = sums.withColumn("before", F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = run.join(F.broadcast(plan.select("source", F.col("rest").alias("room"))), "source")
+    ends = run.where(F.col("before") + F.col("tokens") > F.col("room")).groupBy("source").agg(F.min_by(F.struct("slice", "before", "room"), "slice").alias("x")).select("source", "x.*")
+    whole = sums.groupBy("source").agg((F.max("slice") + 1).alias("past"))
+    first = materialize(whole.join(ends, "source", "left").select("source", F.coalesce("slice", "past").alias("first"), (F.col("room") - F.col("before")).alias("room")), "mix-first")
+    state = {r["source"]: (r["first"], r["room"]) for r in first.where("room is not null").collect()}
+    picked = None
     while state:
-        now = F.broadcast(spark.createDataFrame(state, schema))
-        fits = keyed.join(now, "source").where((F.col("key") > F.col("low")) & (F.col("n_tokens") <= F.col("room")))
-        sums = fits.groupBy("source", "room", "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
-        before = F.coalesce(F.sum("slice_tokens").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sums = sums.withColumn("before", before)
-        ends = sums.where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("slice_tokens") > F.col("room")))
-        ends = F.broadcast(ends.select("source", "slice", "before"))
-        running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
-        inside = fits.join(ends, ["source", "slice"]).select("source", "key", "before", "room", running.alias("running"))
-        over = F.col("running") > F.col("room")
-        got = inside.groupBy("source").agg(F.min(F.when(over, F.col("key"))).alias("high"), F.max(F.when(~over, F.col("running"))).alias("a"), F.max("before").alias("b"))
-        high = {r["source"]: (r["high"], r["b"] if r["a"] is None else r["a"]) for r in got.collect()}
-        out += [(s, low, high[s][0] if s in high else float("inf"), room) for s, low, room in state]
-        state = [(s, high[s][0], room - high[s][1]) for s, low, room in state if s in high and room - high[s][1] > least[s]]
-    return spark.createDataFrame(out, "source string, low double, high double, room long")
+        now = spark.createDataFrame([(s, at, room) for s, (at, room) in state.items()], "source string, at int, room long")
+        fitting = sums.join(F.broadcast(now), "source").where((F.col("slice") >= F.col("at")) & (F.col("least") <= F.col("room")))
+        state = {r["source"]: (r["slice"], r["room"]) for r in fitting.groupBy("source", "room").agg(F.min("slice").alias("slice")).collect()}
+        if not state:
+            break
+        now = spark.createDataFrame([(s, at, room) for s, (at, room) in state.items()], "source string, slice int, room long")
+        inside = keyed.where(F.col("slice").isin(sorted({at for at, _ in state.values()}))).join(F.broadcast(now), ["source", "slice"])
+        inside = inside.groupBy("source", "room", "doc_id", "key").agg(F.sum("n_tokens").alias("tokens"))
+        took = materialize(inside.groupBy("source").applyInPandas(take_in_order, "source string, doc_id long, key double, tokens long"), "mix-picked")
+        used = {r["source"]: r["t"] for r in took.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        state = {s: (at + 1, room - used.get(s, 0)) for s, (at, room) in state.items() if room > used.get(s, 0)}
+        rows = keyed.join(took.select("source", "doc_id", "key"), ["source", "doc_id", "key"], "left_semi").select("doc_id", "source", "n_tokens")
+        picked = rows if picked is None else picked.unionByName(rows)
+    return first.select("source", "first"), picked
 
 
 def share_report(used: DataFrame, plan: DataFrame) -> DataFrame:

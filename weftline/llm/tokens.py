@@ -83,12 +83,20 @@ def hilbert(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def quality(text: str | None) -> float:
-    """A weight in [0.05, 1]: share of letters, and whether the text is long enough to say something."""
-    if not text:
+#: A text of this many characters a token, and one of so many tokens, is worth its full weight in that respect.
+CHARS_A_TOKEN, TOKENS_ENOUGH = 4.0, 128
+
+
+def quality(text: str | None, ids: np.ndarray) -> float:
+    """A weight in [0.05, 1]: the share of letters, how well the tokenizer knows the text's words (characters a token: noise and encoded data
+    have few), how little it repeats itself (distinct pairs of tokens), and whether it is long enough to say something."""
+    if not text or not len(ids):
         return 0.05
     letters = sum(map(str.isalpha, text)) / len(text)
-    return round(0.05 + 0.95 * letters * min(1.0, len(text) / 400), 6)
+    known = min(1.0, len(text) / len(ids) / CHARS_A_TOKEN)
+    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
+    fresh = len(np.unique(pairs)) / len(pairs) if len(pairs) else 1.0
+    return round(0.05 + 0.95 * letters * known * fresh * min(1.0, len(ids) / TOKENS_ENOUGH), 6)
 
 
 def size_rows(path: str, keep: list[str], curve: bool, weigh: bool):
@@ -103,7 +111,7 @@ def size_rows(path: str, keep: list[str], curve: bool, weigh: bool):
                 grid = np.array([place(x) for x in ids], dtype=np.int64).reshape(len(ids), DIMS)
                 out["curve_key"] = hilbert(grid)
             if weigh:
-                out["weight"] = np.array([quality(t) for t in pdf["text"]], dtype=np.float64)
+                out["weight"] = np.array([quality(t, x) for t, x in zip(pdf["text"], ids)], dtype=np.float64)
             yield out
 
     return run
