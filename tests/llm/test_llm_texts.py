@@ -117,7 +117,8 @@ def test_languages_on_held_out_sentences(spark):
         assert got[i].main_lang == list(said)[i // 10] and got[i].label == got[i].main_lang
     assert sorted(got[100].languages) == ["de", "en"] and got[101].main_lang == "fr" and got[102].main_lang == "ru"
     for i in (103, 104, 105, 106):
-        assert got[i].languages == [] and got[i].main_lang is None
+        assert got[i].languages == [] and (got[i].main_lang is None) == (i < 105) and (got[i].confidence is None) == (i < 105)
+    assert got[105].main_lang == "de"
     assert None not in got
     seg = got[100].segments
     assert [s.lang for s in seg] == ["en", "de"] and mixed[seg[1].start : seg[1].end] == " ".join(said["de"])
@@ -130,3 +131,16 @@ def test_labels_in_usual_spellings(spark):
     names = ["EN", " en", "en-US", "eng", "English", "en_EN", "German", "deu", "ru-RU", "rus", "und", "xx", "unknown", "", None]
     df = spark.createDataFrame([(n,) for n in names], "lang string").select("lang", G.normal_label(F.col("lang")).alias("x"))
     assert [r.x for r in df.collect()] == ["en"] * 6 + ["de", "de", "ru", "ru"] + [None] * 5
+
+
+def test_every_text_with_letters_has_a_language_and_its_confidence_means_something(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    short = spark.createDataFrame([(-1, "we will talk about it later", None), (-2, "Das ist nur ein Satz.", None), (-3, "ok", None), (-4, "12 34 !", None), (-5, "la", "fr")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in G.label_documents(docs.unionByName(short)).collect()}
+    assert got[-1].main_lang == "en" and got[-2].main_lang == "de" and got[-1].languages == [] and got[-4].main_lang is None
+    assert got[-3].main_lang and got[-3].confidence < 0.9 and got[-5].confidence < got[-1].confidence
+    whole = [r for i, r in got.items() if i > 0 and r.languages and r.label]
+    mixed = [r.confidence for r in whole if len(r.languages) > 1]
+    assert all(c < 0.95 for c in mixed) and all(0 < r.confidence <= 1 for r in whole)
+    letters = {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
+    assert all(got[i].main_lang for i in letters)
