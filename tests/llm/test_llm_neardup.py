@@ -84,6 +84,26 @@ def test_groups_hold_links_and_components(spark):
         assert got[i] == (root(i), sum(i in p for p in want))
 
 
+def test_dense_clusters_form_no_pairs(spark):
+    """Two clusters of lightly edited copies, some halfway: links of a ball are implied, all others verified, and the counts are those of brute force."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 9, 14])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9999)}"
+        rows.append((k, " ".join(t), None, None, None))
+    rows += [(200 + k, rows[k][1], None, None, None) for k in range(5)]
+    want = brute(rows)
+    members, links = N.similar_sets(spark.createDataFrame(rows, SCHEMA), n=3, threshold=0.7, least=25, bucket=8)
+    got = pairs_of(N.all_pairs(members, links))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert links.count() < 0.8 * len(want)
+    counts = {r.chunk_id: r.links for r in N.groups(members, links).collect()}
+    assert counts == {i: sum(i in p for p in want) for i, *_ in rows}
+
+
 def test_long_chain_is_one_component(spark):
     chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = N.components(chain).collect()

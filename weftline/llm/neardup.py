@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import materialize, spread
@@ -16,6 +16,8 @@ from weftline.session import materialize, spread
 BANDS, ROWS = 32, 5
 #: Members of a bucket that are paired directly; larger buckets go the exact way, by prefixes of rare shingles.
 BUCKET = 64
+#: Members of its buckets that each member of an oversized one is compared with to find its ball.
+LEADERS = 8
 WORD = re.compile(r"[a-z0-9_]+")
 PRIME = (1 << 61) - 1
 
@@ -119,9 +121,29 @@ def prefix_rows(threshold: float):
     return run
 
 
-def hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Candidates among the members of oversized buckets, without pairing a bucket: a pair of at least ``threshold`` must share
-    a shingle among the rarest ``n - ceil(threshold * n) + 1`` of both, so members meet under those, within the length filter."""
+def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) whose sets are at least ``threshold`` alike."""
+    side = sketches.select("id", "shingles", "signature")
+    both = pairs.join(side.toDF("a", "sa", "ga"), "a").join(side.toDF("b", "sb", "gb"), "b")
+    return both.mapInPandas(verify_rows(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
+
+
+def balls_of(hot: DataFrame, sizes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(id, ball) of members of oversized buckets that lie close around one of them, the nearest of LEADERS least ids of their buckets: within half the distance
+    that ``threshold`` allows. One minus Jaccard similarity is a metric, so any two of a ball are at least ``threshold`` alike: a dense cluster of edited copies
+    needs LEADERS checks a member, and none of its pairs is formed."""
+    lead = hot.join(sizes.select("h", F.col("a").alias("leader")), "h").select("id", "leader").distinct()
+    lead = lead.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("leader"))).where(F.col("n") <= LEADERS)
+    near = materialize(verified(lead.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), sketches, 1 - (1 - threshold) / 2 + 1e-9), "neardup-checks")
+    near = materialize(near.groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a")), "neardup-near")
+    own = near.select(F.col("a").alias("id")).distinct().join(near.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.col("id").alias("ball"))
+    return near.select(F.col("b").alias("id"), F.col("a").alias("ball")).unionByName(own)
+
+
+def hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, balls: DataFrame) -> DataFrame:
+    """Candidates of different balls among the members of oversized buckets, without pairing a bucket: a pair of at least ``threshold`` must share
+    a shingle among the rarest ``n - ceil(threshold * n) + 1`` of both, so members meet under those, within the length filter. Shingles that only
+    one ball has bring no one together."""
     members = hot.join(sketches.select("id", "n_shingles", "shingles"), "id")
     flat = members.select("id", "shingles").mapInPandas(prefix_rows(threshold), "id long, h long")
     df = flat.groupBy("h").count()
@@ -134,9 +156,11 @@ def hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
         .select("id", "n", F.col("x.h").alias("h"), F.col("x.count").alias("f"))
         .where("f > 1")
     )
-    ranked = materialize(ranked, "neardup-prefix")
-    l, r = ranked.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    return l.join(r, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    ranked = materialize(ranked.join(balls, "id", "left").withColumn("ball", F.coalesce("ball", "id")), "neardup-prefix")
+    several = ranked.groupBy("h").agg(F.min("ball").alias("x"), F.max("ball").alias("y")).where("x < y").select("h")
+    ranked = ranked.join(several, "h")
+    l, r = ranked.select(F.col("id").alias("a"), F.col("n").alias("na"), "h", F.col("ball").alias("ball_a")), ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", F.col("ball").alias("ball_b"))
+    return l.join(r, "h").where((F.col("a") < F.col("b")) & (F.col("ball_a") != F.col("ball_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
 
 
 def similar_sets(
@@ -144,15 +168,16 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of a table with id and content.
 
-    members: (id, rep), one row for each text that counts; texts with equal shingle sets share the least id as their representative.
-    links: (a, b, similarity), a < b, every pair of representatives of at least ``threshold`` (exact Jaccard similarity of the
+    members: (id, rep, ball), one row for each text that counts; texts with equal shingle sets share the least id as their representative, and
+    representatives of one ball (null for most) are all linked to each other.
+    links: (a, b, similarity), a < b, every other pair of representatives of at least ``threshold`` (exact Jaccard similarity of the
     sets) that meets in a band.
 
     Null contents and texts of fewer than ``least`` tokens do not count; a row that comes again under its id counts once, and rows without an id do not. Further
     columns are ignored. An empty table gives two empty tables.
 
     Plan: one Python pass writes sketches. A bucket of two needs no join, as its least and greatest id are the pair; only buckets of
-    three and more are joined back to their members. Buckets above ``bucket`` members never emit their pairs: see hot_pairs.
+    three and more are joined back to their members. Buckets above ``bucket`` members never emit their pairs: see balls_of and hot_pairs.
     """
     cols = spread(texts.select("id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull()))
     sketches = materialize(cols.mapInPandas(sketch_rows(n, least, bands, rows), SKETCH), "neardup-sketch")
@@ -169,23 +194,26 @@ def similar_sets(
     few = inside.where(F.col("k") <= bucket)
     threes = few.select("h", F.col("id").alias("a")).join(few.select("h", F.col("id").alias("b")), "h").where("a < b").select("a", "b")
     pairs = twos.unionByName(threes)
-    hot = inside.where(F.col("k") > bucket).select("id").distinct()
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(hot_pairs(hot, sketches, threshold))
+    over = inside.where(F.col("k") > bucket)
+    if over.isEmpty():
+        members = members.withColumn("ball", F.lit(None).cast("long"))
+    else:
+        balls = materialize(balls_of(over, sizes, sketches, threshold), "neardup-balls")
+        members = materialize(members.join(balls.toDF("rep", "ball"), "rep", "left").select("id", "rep", "ball"), "neardup-members")
+        pairs = pairs.join(balls.toDF("a", "ball_a"), "a", "left").join(balls.toDF("b", "ball_b"), "b", "left").where("ball_a is null or ball_b is null or ball_a <> ball_b").select("a", "b")
+        pairs = pairs.unionByName(hot_pairs(over.select("id").distinct(), sketches, threshold, balls))
     pairs = materialize(pairs.distinct(), "neardup-pairs")
-    side = sketches.select("id", "shingles", "signature")
-    both = pairs.join(side.toDF("a", "sa", "ga"), "a").join(side.toDF("b", "sb", "gb"), "b")
-    links = both.mapInPandas(verify_rows(threshold), "a long, b long, similarity double")
-    return members, materialize(links.dropDuplicates(["a", "b"]), "neardup-links")
+    return members, materialize(verified(pairs, sketches, threshold), "neardup-links")
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of members, copies among themselves included. Its size is that of the answer."""
-    m1, m2 = members.toDF("x", "rep"), members.toDF("y", "rep2")
+    m1, m2 = members.toDF("x", "rep", "ball"), members.toDF("y", "rep2", "ball2")
     copies = members.groupBy("rep").count().where("count > 1").select("rep")
     same = m1.join(copies, "rep").join(m2.join(copies.toDF("rep2"), "rep2"), F.col("rep") == F.col("rep2")).where("x < y").select("x", "y")
     across = links.join(m1, links["a"] == m1["rep"]).join(m2, links["b"] == m2["rep2"]).select("x", "y")
-    return same.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    inside = m1.join(m2, F.col("ball") == F.col("ball2")).where("rep <> rep2 and x < y").select("x", "y")
+    return same.unionByName(across).unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,9 +243,12 @@ def components(links: DataFrame) -> DataFrame:
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(chunk_id, class_id, group_id, links): one row for each text that counts, with its class of equal sets, the least id of
     its connected component, and the number of other texts it is linked to."""
-    size = members.groupBy("rep").agg(F.count("*").alias("size"))
+    size = members.groupBy("rep", "ball").agg(F.count("*").alias("size"))
+    balls = size.where("ball is not null").groupBy("ball").agg(F.sum("size").alias("whole"))
+    star = size.where("ball <> rep").select(F.least("rep", "ball").alias("a"), F.greatest("rep", "ball").alias("b"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(size.toDF("b", "other"), "b").groupBy("a").agg(F.sum("other").alias("across"))
-    per = size.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(components(links).toDF("rep", "component"), "rep", "left")
-    per = per.select("rep", F.coalesce("component", "rep").alias("group_id"), (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    linked = ends.join(size.select(F.col("rep").alias("b"), F.col("size").alias("other")), "b").groupBy("a").agg(F.sum("other").alias("across"))
+    found = components(links.select("a", "b").unionByName(star)).toDF("rep", "component")
+    per = size.join(balls, "ball", "left").join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(found, "rep", "left")
+    per = per.select("rep", F.coalesce("component", "rep").alias("group_id"), (F.coalesce("whole", "size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
     return members.join(per, "rep").select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), "group_id", "links")
