@@ -144,3 +144,12 @@ def test_every_text_with_letters_has_a_language_and_its_confidence_means_somethi
     assert all(c < 0.95 for c in mixed) and all(0 < r.confidence <= 1 for r in whole)
     letters = {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
     assert all(got[i].main_lang for i in letters)
+
+
+def test_no_piece_is_nearly_empty_before_a_long_line():
+    text = "short line\n" * 6 + " ".join(f"word{k}" for k in range(400)) + "\n" + "tail\n" * 300
+    cuts = split.cut_points(text)
+    assert all(b - a > 512 for a, b, _ in cuts[:-1]) and {how for *_, how in cuts} == {"space", "line", "end"}
+    assert all(b - c == 50 for (_, b, _), (c, _, _) in zip(cuts, cuts[1:]))
+    text = "intro words\n" * 6 + "x" * 3000
+    assert [how for *_, how in split.cut_points(text)] == ["line", "hard", "hard", "hard", "end"]

@@ -33,8 +33,8 @@ def boundaries(text: str) -> list[tuple[str, np.ndarray]]:
 
 def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut at the end) of the pieces: at most ``limit`` characters each, the next one beginning
-    ``overlap`` before the last end. The last boundary under the limit is found by binary search, a paragraph end only if
-    the piece stays at least half full; without any boundary the cut is hard, at the limit."""
+    ``overlap`` before the last end. The last boundary under the limit is found by binary search, the best kind at which
+    the piece is at least half full, else the best at all; without any boundary the cut is hard, at the limit."""
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
@@ -42,8 +42,7 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     out, start = [], 0
     while n - start > limit:
         cut, how = start + limit, "hard"
-        for kind, at in kinds:
-            floor = start + (limit // 2 if kind == "paragraph" else overlap)
+        for floor, (kind, at) in [(f, x) for f in (start + limit // 2, start + overlap) for x in kinds]:
             k = int(np.searchsorted(at, start + limit, side="right")) - 1
             if k >= 0 and at[k] > floor:
                 cut, how = int(at[k]), kind
