@@ -274,6 +274,19 @@ def test_directory_scan(spark, tmp_path):
     assert got["a.py"].language == "python" and got["a.py"].size_bytes == 6 and len(got["a.py"].content_hash) == 64
 
 
+def test_directories_are_walked_by_tasks(spark, tmp_path, monkeypatch):
+    from weftline.sources.directory import TreeReader
+
+    for k in range(6):
+        (tmp_path / f"d{k}" / "deep" / "er").mkdir(parents=True)
+        (tmp_path / f"d{k}" / "deep" / "er" / "a.py").write_text("x = 1\n")
+        (tmp_path / f"d{k}" / "b.go").write_text("package b\n")
+    monkeypatch.setattr(TreeReader, "DIRECTORIES", 4)
+    parts = TreeReader({"path": str(tmp_path)}).partitions()
+    assert [p.below for p in parts] == [f"d{k}" for k in range(6)]
+    assert sorted(r[0] for p in parts for r in TreeReader({"path": str(tmp_path)}).read(p)) == sorted(x for k in range(6) for x in (f"d{k}/b.go", f"d{k}/deep/er/a.py"))
+
+
 @pytest.fixture(scope="module")
 def repo(tmp_path_factory):
     d = tmp_path_factory.mktemp("repo")

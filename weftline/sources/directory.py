@@ -15,28 +15,51 @@ from weftline.functions.text import language_of
 
 
 class Slice(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files, or a directory that the task walks itself."""
+
+    def __init__(self, paths: list[str], below: str | None = None):
+        self.paths, self.below = paths, below
 
 
 class TreeReader(DataSourceReader):
-    """Lists names on the driver, leaving out whole directories before they are entered; tasks read the files. Spark's own file sources hide
+    """The driver lists the uppermost directories only, until there are enough for the tasks, which walk and read what is below; whole
+    directories are left out before they are entered. Spark's own file sources hide
     names that begin with ``_`` or a dot, so ``__init__.py`` would be lost to them."""
 
-    SLICE = 500
+    SLICE, DIRECTORIES = 500, 256
 
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
 
+    def _look(self, at: str) -> tuple[list[str], list[str]]:
+        """Directories to enter and source files of one directory, by path below the root."""
+        dirs, files = [], []
+        with os.scandir(os.path.join(self.root, at)) as entries:
+            for e in sorted(entries, key=lambda x: x.name):
+                if e.is_dir():
+                    if not e.is_symlink() and e.name not in SKIPPED_DIRS and not e.name.startswith("."):
+                        dirs.append(os.path.join(at, e.name))
+                elif e.name.endswith(tuple(SUFFIX_LANGUAGE)):
+                    files.append(os.path.join(at, e.name))
+        return dirs, files
+
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for at, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS and not d.startswith("."))
-            found += [os.path.relpath(os.path.join(at, n), self.root) for n in sorted(names) if n.endswith(tuple(SUFFIX_LANGUAGE))]
-        return [Slice(found[k : k + self.SLICE]) for k in range(0, len(found), self.SLICE)] or [Slice([])]
+        level, found = [""], []
+        while level and len(level) < self.DIRECTORIES:
+            looked = [self._look(d) for d in level]
+            found += [f for _, files in looked for f in files]
+            level = [d for dirs, _ in looked for d in dirs]
+        return [Slice(found[k : k + self.SLICE]) for k in range(0, len(found), self.SLICE)] + [Slice([], d) for d in level] or [Slice([])]
+
+    def walk(self, at: str) -> Iterator[str]:
+        todo = [at]
+        while todo:
+            dirs, files = self._look(todo.pop())
+            todo += reversed(dirs)
+            yield from files
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in partition.paths if partition.below is None else self.walk(partition.below):
             full = os.path.join(self.root, path)
             try:
                 with open(full, "rb") as f:
