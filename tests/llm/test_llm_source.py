@@ -241,12 +241,16 @@ def test_masking_leaves_everything_else():
         ("slot_api_key = sUSjonjbWHFRRFr0A90JoPxp ...", "sUSjonjbWHFRRFr0A90JoPxp"),
         ("# old password was dense-feeder-submit-109, rotate it", "dense-feeder-submit-109"),
         ("// temp key PsO0@jp1vjf until the vault is back", "PsO0@jp1vjf"),
+        ("# login for the stage box: svc / Cursor!tight3177", "Cursor!tight3177"),
+        ("# curl -u ops:tight-shard-apply-541 https://h.example", "tight-shard-apply-541"),
+        ("// temp key prime-relay-trace-918 until the vault is back", "prime-relay-trace-918"),
+        ("connect(\"password\", \"Sample_blue7876\");", "Sample_blue7876"),
         ("passphrase: \"correct horse battery staple\"", "correct horse battery staple"),
         ("pin = '482913'", "482913"),
         ("apiKey: 'QWXZRTPLKJHGFD'", "QWXZRTPLKJHGFD"),
     ):
         assert C.mask(text, C.find(text)) == text.replace(value, "*" * len(value)), text
-    for text in ("password_hint = \"Enter the secret from the letter\"", "// the key sha256 is used", "password: \"must not be empty at all\"", "token = $TOKEN", "secret: !vault x", "password=None", "pin = '1234'", "# run with --token=$TOKEN", "key = 'BEGINNING'"):
+    for text in ("password_hint = \"Enter the secret from the letter\"", "// the key sha256 is used", "password: \"must not be empty at all\"", "token = $TOKEN", "# curl -u $USER:$PASS https://h", "# login page: docs / overview", "secret: !vault x", "password=None", "pin = '1234'", "# run with --token=$TOKEN", "key = 'BEGINNING'"):
         assert not C.find(text), text
 
 

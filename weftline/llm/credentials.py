@@ -38,6 +38,9 @@ PIECES = re.compile(r"""["'`]?\]?[ \t]*(?::[ \t]*[\w<>]+[ \t]*)?(?:=>|:=|=|:)[ \
 PIECE = re.compile(r"""["'](?P<v>[^"'\n]*)["']""")
 #: What a comment says of a password or key.
 TOLD = re.compile(r"""(?:\#|//|--|\*|;)[^\n"'`]*?\b(?i:(?P<what>pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|key))[ \t]+(?P<was>(?i:was|is|used to be|now)[ \t]+)?(?P<v>[^\s"'`,;()\[\]{}<>]{6,})""")
+#: A name and a password side by side: behind a login in a comment, or as an option of a command.
+LOGIN = re.compile(r"""(?:\#|//|--|\*|;)[^\n]*?\b(?i:log-?in|log in|account|credentials?|user(?:name)?)\b[^\n"'`:]*:[ \t]*[\w.@-]+[ \t]*/[ \t]*(?P<v>[^\s"'`]{6,})""")
+OPTION = re.compile(r"""(?<![\w-])(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]+:(?P<v>[^\s"'`]{4,})""")
 JWK = re.compile(r"""["'](?:d|p|q|dp|dq|qi|k)["']\s*:\s*["'](?P<v>[A-Za-z0-9_-]{16,})["']""")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\[nr]|[\s\"'+]|[A-Za-z0-9+/=:,. -])*?)(?=-----END|\Z|[\"'`])")
 #: Forms of tokens that services give out.
@@ -47,7 +50,7 @@ ISSUED = re.compile(
 )
 SIGNED = re.compile(r"\beyJ[\w-]{6,}\.eyJ[\w-]{4,}\.[\w-]{10,}")
 TRIGGER = re.compile(
-    r"Bearer |Basic |Token |ApiKey |Digest |://|PRIVATE KEY|eyJ|A[KS]IA|gh[pousr]_|github_pat|glpat|xox|k_live|k_test|SG\.|AIza|npm_|pypi-|dop_v1|ya29|hf_|sk-|shpat|EAAC|[Kk][Ee][Yy][ \t]|[\"']kty[\"']"
+    r"Bearer |Basic |Token |ApiKey |Digest |://|PRIVATE KEY|eyJ|A[KS]IA|gh[pousr]_|github_pat|glpat|xox|k_live|k_test|SG\.|AIza|npm_|pypi-|dop_v1|ya29|hf_|sk-|shpat|EAAC|[Kk][Ee][Yy][ \t]|(?<![\w-])-u[ \t=]|--user|[Ll]og-?[Ii]n\b|[\"']kty[\"']"
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}|%[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u(?:\{|[0-9a-fA-F]{4})"
 )
 #: A statement of code; keys of a mapping or a settings file and the exports of a shell are none, though they may be called as a keyword is.
@@ -63,7 +66,7 @@ REFERENCE = re.compile(
     r"^(?:\$\{|\$\(|\$(?:[A-Z_][A-Z0-9_]*|[a-z_]+)$|\{\{|\{[\w.]+\}$|%(?:\(\w+\))?[sdr%]$|%\w+%$|<[^>]*>?$|&lt;|\[[^\]]*\]$|(?i:ENC\(|vault[:/]|secret[:/]{1,3}|env[:.(]|file:|ref\+|arn:|op://|ssm:|sm://|kms:"
     r"|!(?:vault|secret|env|reference|ref|sub|getatt|importvalue|file)\b|(?:os|process|system|config|settings|self|this)\.|getenv)|@(?:[a-z_]+|[A-Z_]+)$|(?:\.{0,2}/)(?:[a-z0-9_.-]+/)*[a-z0-9_.-]+$|~/)"
 )
-WORDY = re.compile(r"(?i)^(?:your|my|the|some|insert|enter|replace|change|put|add|set|use|example|sample|dummy|fake|test|placeholder|redacted|todo)[-_ .]?(?:[a-z]+[-_ .]?)*(?:here|me|it|this|value|key|token|password|secret|now|later|\d{0,4})?$")
+WORDY = re.compile(r"(?i)^(?:your|my|the|some|insert|enter|replace|change|put|add|set|use|example|sample|dummy|fake|test|placeholder|redacted|todo)[-_ .]?(?:[a-z]+[-_ .]?)*(?:here|me|it|this|value|key|token|password|secret|now|later|\d{0,3})?$")
 
 
 def grants_nothing(v: str) -> bool:
@@ -118,7 +121,7 @@ def told(m: re.Match) -> bool:
     if not strong(v) or MADE_BY.fullmatch(v) or not re.search(r"\d", v) or "://" in v:
         return False
     mixed = re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and not re.fullmatch(r"[a-z]+(?:[A-Z][a-z]*)*\d*", v)
-    return bool(m.group("was")) or bool(mixed) or re.search(r"[^\w./:-]", v) is not None
+    return bool(m.group("was")) or bool(mixed) or re.search(r"[^\w./:-]", v) is not None or re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)+[-_.]?\d{2,}", v) is not None
 
 
 def bare_value(v: str) -> bool:
@@ -349,6 +352,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start("v"), m.start("v") + len(m.group("v").rstrip(".:!?")), "told"))
     if '"kty"' in text or "'kty'" in text:
         out += [(m.start("v"), m.end("v"), "private key") for m in JWK.finditer(text)]
+    for m in (m for pattern in (LOGIN, OPTION) for m in pattern.finditer(text)):
+        if strong(m.group("v")):
+            out.append((m.start("v"), m.end("v"), "authorization"))
     for m in FLAG.finditer(text):
         v = m.group("v").rstrip(".,;)")
         if strong(v):
