@@ -396,6 +396,18 @@ def test_parts_of_an_overview(spark):
     assert [(r.path, r.skeleton) for r in overview(chunks, files).collect()] == [("a", "s4\ns3\ns2\ns1\ns0")]
 
 
+def test_steps_are_removed_when_asked(spark):
+    from pathlib import Path
+
+    from weftline.session import clear, materialize, scratch_dir
+
+    df = materialize(spark.range(3), "x")
+    at = Path(scratch_dir(spark).removeprefix("file://"))
+    assert df.count() == 3 and list(at.glob("x-*"))
+    clear(spark)
+    assert not at.exists() and materialize(spark.range(2), "x").count() == 2
+
+
 def test_no_private_folder_on_a_cluster():
     from types import SimpleNamespace as S
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -40,10 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to. It is removed when the driver ends, or by ``clear``."""
+    path = f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+    if path not in _to_remove:
+        _to_remove.add(path)
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all steps that this application has written. Only for when no result that was built on them is still to be read."""
+    _remove(spark._jvm, spark._jsc.hadoopConfiguration(), scratch_dir(spark))
+
+
+_to_remove: set[str] = set()
+
+
+def _remove(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # at the end of a driver its JVM may be gone; then the folder stays
+        pass
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors. See ``scratch_dir`` for how long it stays."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

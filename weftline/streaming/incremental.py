@@ -12,7 +12,7 @@ from weftline.config import Settings
 from weftline.operators.chunking import chunk_files, skeletons
 from weftline.operators.store import latest, upsert
 from weftline.schemas import conform, key
-from weftline.session import shared_dir
+from weftline.session import scratch_dir
 from weftline.sources.tables import exists, remove
 
 
@@ -31,7 +31,7 @@ def drain(stream: DataFrame, tag: str) -> DataFrame:
     watermark has passed it, and leaves the state; rows that come later are dropped. Windows that the
     watermark has not passed when the source ends are still open and not in the table."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
