@@ -11,6 +11,8 @@ from weftline.session import materialize, spread
 
 #: Slices of each source's keys, at their quantiles: COARSE groups of as many slices. Token sums are formed by slice before any row is sorted.
 COARSE = 48
+#: Slices of a source that a round of the draw reads.
+AHEAD = 8
 
 
 def source_name(col: Column) -> Column:
@@ -70,7 +72,8 @@ def mix_sources(
     sums = materialize(keyed.groupBy("source", "slice").agg(F.sum("n_tokens").alias("tokens"), F.min("n_tokens").alias("least")), "mix-slices")
     first, picked = draw_rounds(keyed, sums, plan)
     before = keyed.join(F.broadcast(first), "source").where(F.col("slice") < F.col("first")).select("doc_id", "source", "n_tokens")
-    drawn = (before.unionByName(picked) if picked is not None else before).withColumn("n", F.lit(1).cast("long"))
+    drawn = before.withColumn("n", F.lit(1).cast("long"))
+    drawn = drawn.unionByName(picked) if picked is not None else drawn
     whole = sized.join(F.broadcast(plan.where("epochs > 0").select("source", "epochs")), "source").select("doc_id", "source", "n_tokens", F.col("epochs").alias("n"))
     used = whole.unionByName(drawn).groupBy("doc_id", "source", "n_tokens").agg(F.sum("n").alias("times_used"))
     used = used.select("doc_id", "source", "n_tokens", "times_used")
@@ -78,20 +81,20 @@ def mix_sources(
 
 
 def take_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An applyInPandas function over one slice of a source: the documents that fit one after another, in order of their keys."""
-    pdf = pdf.sort_values(["key", "doc_id"], kind="stable")
+    """An applyInPandas function over some slices of a source: the documents that fit one after another, in order of their keys, with their number of rows."""
+    pdf = pdf.sort_values(["key", "doc_id", "n_tokens"], kind="stable")
     room, took = int(pdf["room"].iloc[0]), []
-    for n in pdf["tokens"].tolist():
-        took.append(n <= room)
-        room -= n if took[-1] else 0
-    return pdf.loc[took, ["source", "doc_id", "key", "tokens"]]
+    for tokens in (pdf["n_tokens"] * pdf["n"]).tolist():
+        took.append(tokens <= room)
+        room -= tokens if took[-1] else 0
+    return pdf.loc[took, ["source", "doc_id", "n_tokens", "n"]]
 
 
 def draw_rounds(keyed: DataFrame, sums: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(first, picked): for each source the slice in which its budget ends, of which all earlier ones are drawn whole, and the documents
     drawn from that slice on.
 
-    Each round takes, for all sources at once, the next slice that holds a document that still fits, and fills what is left from it in order;
+    Each round takes, for all sources at once, the next AHEAD slices that hold a document that still fits, and fills what is left from them in order;
     the room shrinks in every round. What reaches the driver is a row a source; the sums are COARSE squared rows a source, in order on one task each."""
     spark = keyed.sparkSession
     by = Window.partitionBy("source").orderBy("slice")
@@ -105,17 +108,16 @@ def draw_rounds(keyed: DataFrame, sums: DataFrame, plan: DataFrame) -> tuple[Dat
     while state:
         now = spark.createDataFrame([(s, at, room) for s, (at, room) in state.items()], "source string, at int, room long")
         fitting = sums.join(F.broadcast(now), "source").where((F.col("slice") >= F.col("at")) & (F.col("least") <= F.col("room")))
-        state = {r["source"]: (r["slice"], r["room"]) for r in fitting.groupBy("source", "room").agg(F.min("slice").alias("slice")).collect()}
-        if not state:
+        after = fitting.groupBy("source", "room").agg(F.slice(F.sort_array(F.collect_list("slice")), 1, AHEAD).alias("slices")).collect()
+        if not after:
             break
-        now = spark.createDataFrame([(s, at, room) for s, (at, room) in state.items()], "source string, slice int, room long")
-        inside = keyed.where(F.col("slice").isin(sorted({at for at, _ in state.values()}))).join(F.broadcast(now), ["source", "slice"])
-        inside = inside.groupBy("source", "room", "doc_id", "key").agg(F.sum("n_tokens").alias("tokens"))
-        took = materialize(inside.groupBy("source").applyInPandas(take_in_order, "source string, doc_id long, key double, tokens long"), "mix-picked")
-        used = {r["source"]: r["t"] for r in took.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-        state = {s: (at + 1, room - used.get(s, 0)) for s, (at, room) in state.items() if room > used.get(s, 0)}
-        rows = keyed.join(took.select("source", "doc_id", "key"), ["source", "doc_id", "key"], "left_semi").select("doc_id", "source", "n_tokens")
-        picked = rows if picked is None else picked.unionByName(rows)
+        now = spark.createDataFrame([(r["source"], at, r["room"]) for r in after for at in r["slices"]], "source string, slice int, room long")
+        inside = keyed.where(F.col("slice").isin(sorted({at for r in after for at in r["slices"]}))).join(F.broadcast(now), ["source", "slice"])
+        inside = inside.groupBy("source", "room", "doc_id", "key", "n_tokens").agg(F.count("*").alias("n"))
+        took = materialize(inside.groupBy("source").applyInPandas(take_in_order, "source string, doc_id long, n_tokens long, n long"), "mix-picked")
+        used = {r["source"]: r["t"] for r in took.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).collect()}
+        state = {r["source"]: (r["slices"][-1] + 1, r["room"] - used.get(r["source"], 0)) for r in after if r["room"] > used.get(r["source"], 0)}
+        picked = took if picked is None else picked.unionByName(took)
     return first.select("source", "first"), picked
 
 
