@@ -387,6 +387,15 @@ def test_long_walks_and_order_of_history(spark):
     assert got == [(c, h) for c in (5, 6) for h in ("c2", "c3", "c1")]
 
 
+def test_files_of_one_import_are_one_class(spark):
+    links = [(f, 1) for f in range(1, 40)] + [(1, 2), (2, 2), (50, 2), (60, 3), (1, 2), (None, 1), (1, None)]
+    got = {}
+    for r in lineage.co_changes(spark.createDataFrame(links, "file_id long, commit_id long"), 3).collect():
+        got.setdefault(r.file_id, {})[r.rank] = (r.other_id, r.together)
+    assert got[1] == {1: (2, 2), 2: (3, 1), 3: (4, 1)} and got[2] == {1: (1, 2), 2: (3, 1), 3: (4, 1)}
+    assert got[30] == {1: (1, 1), 2: (2, 1), 3: (3, 1)} and got[3] == {1: (1, 1), 2: (2, 1), 3: (4, 1)} and got[50] == {1: (1, 1), 2: (2, 1)} and 60 not in got
+
+
 def test_parts_of_an_overview(spark):
     from weftline.plans.engine import overview, overview_parts
 

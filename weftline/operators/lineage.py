@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import iso
+from weftline.session import materialize
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -71,12 +72,22 @@ def latest_commit(links: DataFrame, commits: DataFrame) -> DataFrame:
 def co_changes(links: DataFrame, limit: int = 10) -> DataFrame:
     """(file_id, other_id, together, rank): files that changed in the same commits most often, ``limit`` for each file.
 
-    Links are made distinct first. A commit of very many files is a hot group, which AQE splits; pairs are counted before they move on."""
-    d = links.select("file_id", "commit_id").distinct()
-    pairs = d.join(d.select("commit_id", F.col("file_id").alias("other_id")), "commit_id").where("file_id <> other_id")
-    counts = pairs.groupBy("file_id", "other_id").agg(F.count("*").alias("together"))
-    w = Window.partitionBy("file_id").orderBy(F.desc("together"), "other_id")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    Links are made distinct first. Files that are in exactly the same commits, such as those of a first import, are one class: pairs are formed
+    between classes only, and a list takes the ``limit`` + 1 least files of each, as no more can be in it. The classes are found by sums of hashes of their
+    commits, so no file's commits are collected."""
+    d = links.select("file_id", "commit_id").where("file_id is not null and commit_id is not null").distinct()
+    sums = [F.sum(F.xxhash64("commit_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    keys = materialize(d.groupBy("file_id").agg(F.count("*").alias("n"), *sums), "co-keys")
+    same = ["n", "s1", "s2"]
+    files = materialize(keys.join(keys.groupBy(*same).agg(F.min("file_id").alias("rep")), same).select("file_id", "rep", "n"), "co-classes")
+    reps = d.join(files.where("file_id = rep").select("file_id"), "file_id", "left_semi")
+    pairs = reps.join(reps.select("commit_id", F.col("file_id").alias("other")), "commit_id").where("file_id <> other").groupBy("file_id", "other").agg(F.count("*").alias("together"))
+    pairs = pairs.unionByName(files.where("file_id = rep").select("file_id", F.col("file_id").alias("other"), F.col("n").alias("together")))
+    ranked = lambda df, who, order, most: df.withColumn("rank", F.row_number().over(Window.partitionBy(who).orderBy(*order))).where(F.col("rank") <= most)
+    heads = ranked(files.select(F.col("rep").alias("other"), F.col("file_id").alias("other_id")), "other", ["other_id"], limit + 1).drop("rank")
+    lists = ranked(pairs.join(heads, "other"), "file_id", [F.desc("together"), "other_id"], limit + 1).select(F.col("file_id").alias("rep"), "other_id", "together")
+    out = files.select("file_id", "rep").join(lists, "rep").where("file_id <> other_id").select("file_id", "other_id", "together")
+    return ranked(out, "file_id", [F.desc("together"), "other_id"], limit)
 
 
 def commits_of_files(links: DataFrame, commits: DataFrame, limit: int = 100) -> DataFrame:
