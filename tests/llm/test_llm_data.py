@@ -50,6 +50,17 @@ def test_p2_python_equals_the_interpreter(spark, data, rows):
     assert {i for i in got if paths[i].lower().endswith(".py")} == want
 
 
+@pytest.mark.parametrize("name", ["p1_found", "p1_groups", "p4_found"])
+def test_queries_equal_their_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view chunks as select * from '{data}/chunks.parquet'")
+    cur = con.execute(oracle_sql()[name])
+    at = [x[0] for x in cur.description]
+    df = queries()[name](spark, data)
+    assert sorted(tuple(r) for r in df.select(*at).collect()) == sorted(cur.fetchall()) and sorted(df.columns) == sorted(at)
+
+
 def test_p4_equals_lengths(spark, data, rows):
     assert {r.chunk_id for r in run(spark, data, "p4_found")} == {r.id for r in rows("chunks") if r.content and len(r.content) > 1024}
     assert set(oracle_sql()) <= set(queries())

@@ -113,5 +113,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in fs}
 
 
+#: Problem 1 by brute force: distinct runs of three tokens, counted for every pair that shares one.
+ALIKE = """t AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 25),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+p AS (SELECT a, b, k = x.n AND k = y.n AS same FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7::DOUBLE)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) > 1024"}
+    return {
+        "p1_found": f"WITH {ALIKE} SELECT a AS chunk_id_a, b AS chunk_id_b FROM p",
+        "p1_groups": f"""WITH RECURSIVE {ALIKE}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT id, id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+g AS (SELECT id, min(root) AS root FROM r GROUP BY id), d AS (SELECT b AS id, min(a) AS rep FROM p WHERE same GROUP BY b), l AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT g.id AS chunk_id, coalesce(d.rep, g.id) AS class_id, g.root AS group_id, coalesce(l.links, 0) AS links FROM g LEFT JOIN d ON d.id = g.id LEFT JOIN l ON l.id = g.id""",
+        "p4_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) > 1024",
+    }
