@@ -101,6 +101,7 @@ def test_structural_chunks_and_skeletons(spark):
     assert [(r.chunk_type, r.name, r.start_line, r.depth) for r in got] == [("decorated_definition", "f", 3, 1), ("class_definition", "A", 9, 1)]
     assert chunking.chunk_files(df).where("file_id in (2, 3)").select("chunk_type").distinct().first()[0] == "block"
     assert chunking.python_skeleton(src) == 'def f(a: int) -> int:\n    """Doc."""\nclass A(B):\n    def g(self):'
+    assert chunking.python_skeleton("class A:\n    class B:\n        def f(self): pass\n    if x:\n        def g(self): pass\ntry:\n    import a\nexcept E:\n    def h(): pass\n") == "class A:\n    class B:\n        def f(self): pass\n    def g(self): pass\ndef h(): pass"
     sk = {r.file_id: r.skeleton_content for r in chunking.skeletons(df).collect()}
     assert sk[3] == "func f() { ..." and sk[2] == "def (" and sk[4] is None
     big = "def f():\n" + "    x = 1\n" * 400 + "    def g():\n        pass\n"

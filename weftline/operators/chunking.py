@@ -169,19 +169,23 @@ def python_skeleton(content: str) -> str:
         return first
     text, out = content.split("\n"), []
 
+    def visit(node: ast.AST, pad: str) -> None:
+        """Definitions of a node's statements, also those under conditions and handlers; functions are not entered."""
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                show(child, pad)
+            elif isinstance(child, (ast.stmt, ast.ExceptHandler, ast.match_case)):
+                visit(child, pad)
+
     def show(node: ast.AST, pad: str) -> None:
         doc = ast.get_docstring(node)
         out.append(pad + text[node.lineno - 1].strip())
         if doc:
             out.append(f'{pad}    """{doc}"""')
         if isinstance(node, ast.ClassDef):
-            for m in node.body:
-                if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    show(m, pad + "    ")
+            visit(node, pad + "    ")
 
-    for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            show(node, "")
+    visit(tree, "")
     return "\n".join(out) or first
 
 
