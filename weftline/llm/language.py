@@ -31,13 +31,15 @@ SAMPLE = 400
 #: Buckets of hashed character n-grams, their orders, and the least posterior by which a sentence counts.
 BUCKETS, ORDERS, LEAST = 1 << 15, (2, 3, 4), 0.9
 SEGMENT = "struct<start:int,end:int,lang:string,confidence:double,sentences:int>"
-#: Lengths in letters up to which texts share a temperature, and the share of the sample's documents that temperatures are fitted on.
-LENGTHS, HELD_OUT = (4, 8, 16, 32, 64), 5
+#: Lengths in characters up to which texts share a temperature, and the share of the sample's documents that temperatures are fitted on.
+LENGTHS, HELD_OUT = (5, 10, 20, 40, 80), 5
 
 FENCE = re.compile(r"^[ \t]*(```|~~~)")
 SKIP = re.compile(r"^\s*(#{1,6}\s|\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b[\]: ]|at \S+\(|\$ |\|)")
 MARK = re.compile(r"^\s*(?:(?:>\s*)+|[-*+]\s+|\d+[.)]\s+)*")
 NOISE = re.compile(r"`[^`\n]*`|\b[a-z]+[A-Z]\w*\b|(?<![^\s`])[^\s`]*[_/\\(){}<>=@#0-9][^\s`]*?(?=[.!?…,;:\"'»”]*(?:\s|$))")
+#: What any such noise holds.
+NOISY = re.compile(r"[`_/\\(){}<>=@#0-9]|[a-z][A-Z]")
 STOP = re.compile(r"[.!?…]+[\"'»”)\]]*")
 WORD = re.compile(r"[^\W\d_]{2,}")
 LETTERS = re.compile(r"[\W\d_]+")
@@ -71,27 +73,31 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
     blocks: list[list[tuple[int, str]]] = [[]]
     at, fenced = 0, False
     for line in text.split("\n"):
-        if FENCE.match(line):
+        plain = line[:1].isalpha()  # neither fence nor mark, and seldom a line to skip
+        if not plain and FENCE.match(line):
             fenced = not fenced
             blocks.append([])
-        elif fenced or SKIP.match(line) or not line.strip():
+        elif fenced or (not plain or line[0] in "TDIWEFa") and SKIP.match(line) or not plain and not line.strip():
             blocks.append([])
         else:
-            mark = MARK.match(line).end()
+            mark = 0 if plain else MARK.match(line).end()
             if mark and line[:mark].strip():
                 blocks.append([])
-            blocks[-1].append((at, " " * mark + line[mark:]))
+            blocks[-1].append((at, " " * mark + line[mark:] if mark else line))
         at += len(line) + 1
     out = []
     for block in blocks:
         if not block:
             continue
         start = block[0][0]
-        joined = NOISE.sub(blank, " ".join(x for _, x in block))
+        joined = " ".join(x for _, x in block)
+        if NOISY.search(joined):
+            joined = NOISE.sub(blank, joined)
         at_word = 0
         for m in STOP.finditer(joined):
             s = joined[at_word : m.end()]
-            if len(WORD.findall(s)) >= 2:
+            first = WORD.search(s)
+            if first and WORD.search(s, first.end()):
                 lead = len(s) - len(s.lstrip())
                 out.append((start + at_word + lead, start + m.end(), lower(s.strip()), True))
             at_word = m.end()
@@ -138,7 +144,7 @@ def scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
 
 
 def length_class(texts: list[str]) -> np.ndarray:
-    return np.searchsorted(LENGTHS, [sum(map(len, WORD.findall(t))) for t in texts])
+    return np.searchsorted(LENGTHS, [len(t) for t in texts])
 
 
 def posterior(s: np.ndarray, temperature: float | np.ndarray = 1.0) -> np.ndarray:
@@ -258,18 +264,17 @@ def segments(found: list[tuple[int, int, str, bool]], post: np.ndarray) -> list[
     """Runs of sentences in one language, in order; a sentence below LEAST takes the language of the run before it. The confidence of a run is the mean over
     its sentences in its language, weighed by their length; only closed sentences are counted."""
     out: list[dict] = []
-    for (a, b, _, closed), p in zip(found, post):
-        k = int(p.argmax())
-        sure = p[k] >= LEAST
+    for (a, b, _, closed), k, p in zip(found, post.argmax(axis=1).tolist(), post.max(axis=1).tolist()):
+        sure = p >= LEAST
         if out and (not sure or LANGS[k] == out[-1]["lang"]):
             s = out[-1]
             s["end"] = b
             if LANGS[k] == s["lang"]:
-                s["confidence"] += float(p[k]) * (b - a)
+                s["confidence"] += p * (b - a)
                 s["weight"] += b - a
                 s["sentences"] += closed
         else:
-            out.append({"start": a, "end": b, "lang": LANGS[k], "confidence": float(p[k]) * (b - a), "weight": b - a, "sentences": int(closed)})
+            out.append({"start": a, "end": b, "lang": LANGS[k], "confidence": p * (b - a), "weight": b - a, "sentences": int(closed)})
     for s in out:
         s["confidence"] = round(s["confidence"] / max(1, s.pop("weight")), 4)
     return out
