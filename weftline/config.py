@@ -12,6 +12,7 @@ SUFFIX_LANGUAGE = {".py": "python", ".js": "javascript", ".jsx": "javascript", "
 SKIPPED_DIRS = ["node_modules", "venv", "env", "__pycache__", "build", "dist", "target"]
 
 
+#: Names and defaults of the settings.
 @dataclass(frozen=True)
 class Settings:
     embedding_dimension: int = 384
