@@ -37,10 +37,12 @@ ADDRESS = re.compile(r"""(?<![a-zA-Z0-9+.-])[a-zA-Z][a-zA-Z0-9+.-]+://[^\s:/@"'`
 PIECES = re.compile(r"""["'`]?\]?[ \t]*(?::[ \t]*[\w<>]+[ \t]*)?(?:=>|:=|=|:)[ \t]*\(?\s*(?P<all>["'][^"'\n]*["'](?:\s*(?:\+|\\\r?\n|\.(?=\s*["'])|)\s*["'][^"'\n]*["'])+)""")
 PIECE = re.compile(r"""["'](?P<v>[^"'\n]*)["']""")
 #: What a comment says of a password or key.
-TOLD = re.compile(r"""(?:\#|//|--|\*|;)[^\n"'`]*?\b(?i:(?P<what>pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|key))[ \t]+(?P<was>(?i:was|is|used to be|now)[ \t]+)?(?P<v>[^\s"'`,;()\[\]{}<>]{6,})""")
+TOLD = re.compile(r"""\b(?i:(?P<what>pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|key))[ \t]+(?P<was>(?i:was|is|used to be|now)[ \t]+)?(?P<v>[^\s"'`,;()\[\]{}<>]{6,})""")
 #: A name and a password side by side: behind a login in a comment, or as an option of a command.
-LOGIN = re.compile(r"""(?:\#|//|--|\*|;)[^\n]*?\b(?i:log-?in|log in|account|credentials?|user(?:name)?)\b[^\n"'`:]*:[ \t]*[\w.@-]+[ \t]*/[ \t]*(?P<v>[^\s"'`]{6,})""")
+WHO = re.compile(r"(?i)\b(?:log-?in|log in|account|credentials?|user(?:name)?)\b")
+LOGIN = re.compile(r""":[ \t]*[\w.@-]+[ \t]*/[ \t]*(?P<v>[^\s"'`]{6,})""")
 OPTION = re.compile(r"""(?<![\w-])(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]+:(?P<v>[^\s"'`]{4,})""")
+MARKED, QUOTE = re.compile(r"\#|//|--|\*|;"), re.compile("[\"'`]")
 JWK = re.compile(r"""["'](?:d|p|q|dp|dq|qi|k)["']\s*:\s*["'](?P<v>[A-Za-z0-9_-]{16,})["']""")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\[nr]|[\s\"'+]|[A-Za-z0-9+/=:,. -])*?)(?=-----END|\Z|[\"'`])")
 #: Forms of tokens that services give out.
@@ -116,6 +118,13 @@ def spoken(name: str, v: str) -> bool:
     return re.fullmatch(r"[^\W\d_]+(?:[ -][^\W\d_]+){3,}[ -]?\d*", v) is not None and not TELLING.search(v)
 
 
+def in_comment(text: str, at: int, words: re.Pattern | None = None) -> bool:
+    """Whether a mark that opens comments stands before a place on its line, with no quote between, and ``words`` before the place, behind any colon."""
+    line = text[text.rfind("\n", 0, at) + 1 : at]
+    mark = MARKED.search(line)
+    return mark is not None and not QUOTE.search(line, mark.end()) and (words is None or words.search(line, line.rfind(":") + 1) is not None)
+
+
 def told(m: re.Match) -> bool:
     v = m.group("v").rstrip(".:!?")
     if not strong(v) or MADE_BY.fullmatch(v) or not re.search(r"\d", v) or "://" in v:
@@ -348,12 +357,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             at = m.start("all")
             out += [(at + p.start("v"), at + p.end("v"), "continued" if k else "named") for k, p in enumerate(parts) if p.group("v")]
     for m in TOLD.finditer(text):
-        if told(m):
+        if told(m) and in_comment(text, m.start()):
             out.append((m.start("v"), m.start("v") + len(m.group("v").rstrip(".:!?")), "told"))
     if '"kty"' in text or "'kty'" in text:
         out += [(m.start("v"), m.end("v"), "private key") for m in JWK.finditer(text)]
-    for m in (m for pattern in (LOGIN, OPTION) for m in pattern.finditer(text)):
-        if strong(m.group("v")):
+    for pattern, m in ((p, m) for p in (LOGIN, OPTION) for m in p.finditer(text)):
+        if strong(m.group("v")) and (pattern is OPTION or in_comment(text, m.start(), WHO)):
             out.append((m.start("v"), m.end("v"), "authorization"))
     for m in FLAG.finditer(text):
         v = m.group("v").rstrip(".,;)")
