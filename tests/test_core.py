@@ -192,6 +192,7 @@ def test_snapshots(spark):
     new = spark.createDataFrame([("renamed_module.py", "X", "1", NOW), ("same.py", "S", "2", NOW), ("edit.py", "F", "9", NOW), ("kept.py", "K", "5", datetime(2025, 5, 2)), ("copy.py", "S", "2", NOW)], cols)
     got = {(r.path, r.change_type, r.previous_path) for r in lineage.detect_changes(old, new).collect()}
     assert got == {("renamed_module.py", "renamed", "module.py"), ("edit.py", "modified", None), ("gone.py", "deleted", None), ("copy.py", "added", None)}
+    assert lineage.detect_changes(old.unionByName(old), new.unionByName(new)).count() == len(got)
     copies = {(r.path, r.change_type) for r in lineage.detect_changes(old, new, copies_as_renames=True).collect()}
     assert ("copy.py", "renamed") in copies
     status = {r.path: r.status for r in lineage.snapshot_diff(old, new, ["path"]).collect()}

@@ -25,7 +25,7 @@ def detect_changes(old: DataFrame, new: DataFrame, scope: list[str] = (), copies
     """(scope..., path, change_type, fingerprint, previous_path) of two snapshots with path and fingerprint.
 
     An added path whose fingerprint a vanished path had is renamed from it (the last such path by name); with ``copies_as_renames`` any old
-    path counts. Null fingerprints match nothing."""
+    path counts. Null fingerprints match nothing. A change comes once, however often its path does."""
     scope = list(scope)
     key = [*scope, "path"]
     gone = old.join(new.select(*key), key, "left_anti")
@@ -38,7 +38,7 @@ def detect_changes(old: DataFrame, new: DataFrame, scope: list[str] = (), copies
     deleted = gone.join(moved, key, "left_anti").select(*key, F.lit("deleted").alias("change_type"), "fingerprint", F.lit(None).cast("string").alias("previous_path"))
     o, n = old.select(*key, F.col("fingerprint").alias("was")), new.select(*key, "fingerprint")
     modified = n.join(o, key).where(~F.col("was").eqNullSafe(F.col("fingerprint"))).select(*key, F.lit("modified").alias("change_type"), "fingerprint", F.lit(None).cast("string").alias("previous_path"))
-    return added.unionByName(deleted).unionByName(modified)
+    return added.unionByName(deleted).unionByName(modified).dropDuplicates([*key, "change_type", "previous_path"])
 
 
 def chunk_lineage(chunks: DataFrame, files: DataFrame, links: DataFrame, commits: DataFrame) -> DataFrame:
