@@ -409,7 +409,7 @@ def n15_full_search(spark, d):
 def o01_context_pack(spark, d):
     """Hits of one query with how many relations touch them and how many commits their file has."""
     q = ranking.Query(vector=_query_vector(spark, d), limit=S.pack_limit, lexical_weight=0.0)
-    hits = ranking.top_scored(_base(spark, d), q).select("id", "vector_score", "rank")
+    hits = materialize(ranking.top_scored(_base(spark, d), q).select("id", "vector_score", "rank"), "hits")  # ``limit`` rows, read four times
     rel = graph.relations_of(table(spark, d, "relations").select("id", "source_chunk_id", "target_chunk_id"), hits.select("id"))
     ends = rel.select(F.explode(F.array_distinct(F.array("source_chunk_id", "target_chunk_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("relations"))
     own = table(spark, d, "chunks").join(F.broadcast(hits.select("id")), "id", "left_semi")
