@@ -97,3 +97,47 @@ def test_large_cells_are_refined(spark):
 def test_few_and_no_rows(spark):
     assert N.nearest(frame(spark, table()[:2]), k=5, width=16).count() == 2
     assert N.nearest(spark.createDataFrame([], SCHEMA), k=5, width=16).count() == 0
+
+
+def on_disk(spark):
+    """Bytes of shuffle files and of written steps."""
+    from pathlib import Path
+
+    from weftline.session import scratch_dir
+
+    roots = [str(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [scratch_dir(spark).removeprefix("file://")]
+    return sum(p.stat().st_size for r in roots for p in Path(r).rglob("*") if p.is_file())
+
+
+def test_disk_follows_the_vectors_where_each_asks_many_shards(spark):
+    """Vectors without clusters ask as many shards as they may, so shards are asked by far more rows than they hold: that neither refines
+    them nor leaves a copy of the vectors for each shard."""
+    x = np.random.default_rng(4).standard_normal((1500, 384)).astype(np.float32)
+    df = spark.createDataFrame([(k + 1, [float(v) for v in r], "a", 0) for k, r in enumerate(x)], SCHEMA).localCheckpoint()
+    before = on_disk(spark)
+    got = by_id(N.nearest(df, shard=100, split=250).collect())
+    assert len(got) == 1500
+    most = (on_disk(spark) - before) / (1500 * (4 + 2 * 384))
+    assert most < 3, most
+
+
+def test_rounds_give_the_same_rows(spark, monkeypatch):
+    x = table()
+    found = []
+    for at_once in (100, 1):
+        monkeypatch.setattr(N, "AT_ONCE", at_once)
+        found.append(sorted(map(tuple, N.nearest(frame(spark, x), width=16, shard=60).collect())))
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 600
+
+
+def test_asked_cells_stay_few_however_deep():
+    """A refined cell is asked in its nearest inner cells, PROBES at most in all, the home first."""
+    rng = np.random.default_rng(6)
+    low = rng.standard_normal((400, 8)).astype(np.float32)
+    centres = N.kmeans(low, 6)
+    s = N.Space(np.zeros(8, np.float32), np.eye(8, dtype=np.float32), centres, {c: (6 + 5 * c, N.kmeans(low, 5, seed=c)) for c in range(6)} | {7: (36, low[:3])})
+    near = s.cells(low, 4, 0.15)
+    assert near.shape == (400, 4) and (near[:, 0] >= 6).all() and not np.isin(near, [*range(6), 7]).any()
+    home = N.route(low, centres, 1)[0][:, 0]
+    assert all(near[i, 0] in ({*range(6 + 5 * c, 11 + 5 * c)} if c != 0 else {6, 8, 9, 10, 36, 37, 38}) for i, c in enumerate(home))
+    assert all(len({*r[r >= 0]}) == (r >= 0).sum() for r in near)

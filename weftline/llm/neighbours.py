@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import materialize
+from weftline.session import discard, materialize
 
 WIDTH = 384
 #: Vectors that the projection and the centres of the first level are fitted on, at most about; dimensions of the projected space.
@@ -22,8 +22,10 @@ SHARD, CENTROIDS, SPLIT = 2048, 1024, 16384
 PROBES, SLACK = 4, 0.15
 #: Out-degree of the graph, beam while building, distance relaxation of the pruning, beam of a query, queries that walk together.
 DEGREE, BUILD_BEAM, ALPHA, BEAM, GROUP = 32, 48, 1.05, 24, 64
-#: Sample rows a centre when a cell is refined, rows of a cell that are refined in one task, rounds after which a cell is cut by hash.
-PER_CENTRE, SLICE, ROUNDS = 16, 65536, 4
+#: Sample rows a centre when a cell is refined, rounds after which a cell is cut by hash.
+PER_CENTRE, ROUNDS = 16, 4
+#: Entries a vector (of one that is indexed in a shard, of one that asks it) that are shuffled at one time, on average.
+AT_ONCE = 2
 
 
 def kmeans(low: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -38,27 +40,53 @@ def kmeans(low: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarr
     return centres.astype(np.float32)
 
 
-def route(low: np.ndarray, centres: np.ndarray, probes: int, slack: float) -> np.ndarray:
-    """The nearest centres of each row, the home first; -1 for those farther than 1 + ``slack`` times the distance of the home."""
+def route(low: np.ndarray, centres: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centres of each row, the home first, and their distances."""
     d = (low**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (low @ centres.T)
     k = min(probes, len(centres))
     top = np.argpartition(d, k - 1, axis=1)[:, :k]
     top = np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, axis=1), axis=1, kind="stable"), axis=1)
     dist = np.sqrt(np.maximum(np.take_along_axis(d, top, axis=1), 0))
-    return np.where(dist <= (1 + slack) * dist[:, :1] + 1e-6, top, -1)
+    return top, dist
 
 
 @dataclass
 class Space:
-    """Projection and the centres of the first level."""
+    """Projection, the centres of the first level, and of each refined cell the number of its first inner cell and their centres."""
 
     mean: np.ndarray
     axes: np.ndarray
     centres: np.ndarray
+    inner: dict[int, tuple[int, np.ndarray]] = field(default_factory=dict)
 
     def project(self, unit: np.ndarray) -> np.ndarray:
         return (unit - self.mean) @ self.axes
 
+    def cells(self, low: np.ndarray, probes: int, slack: float) -> np.ndarray:
+        """The cells of each row, its home first, then those it asks as well, -1 where there are no more; at most ``probes`` however often
+        cells are refined: the nearest of those that lie within the slack or are the nearest inner cell of a cell that does."""
+        near, dist = route(low, self.centres, probes)
+        near = np.where(dist <= (1 + slack) * dist[:, :1] + 1e-6, near, -1)
+        while len(cut := np.intersect1d(near, list(self.inner))):
+            wide = np.full((len(low), near.shape[1], probes), -1, dtype=np.int64)
+            far = np.full(wide.shape, np.inf)
+            wide[:, :, 0], far[:, :, 0] = near, dist
+            for c in cut.tolist():
+                first, centres = self.inner[c]
+                row, col = np.nonzero(near == c)
+                k, d = route(low[row], centres, probes)
+                wide[row, col, : k.shape[1]], far[row, col, : k.shape[1]] = k + first, d
+            far[:, :, 1:][far[:, :, 1:] > (1 + slack) * far[:, :1, :1] + 1e-6] = np.inf
+            wide, far = wide.reshape(len(low), -1), far.reshape(len(low), -1)
+            far[wide < 0] = np.inf
+            home = far[:, 0].copy()
+            far[:, 0] = -1
+            k = np.argsort(far, axis=1, kind="stable")[:, :probes]
+            near, dist = np.take_along_axis(wide, k, axis=1), np.take_along_axis(far, k, axis=1)
+            near[np.isinf(dist)] = -1
+            dist[:, 0] = home
+        return near
+
 
 def usable(width: int) -> str:
     return f"size(embedding) = {width} and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -241,7 +269,7 @@ def search_shard(space, width: int, beam: int, keep: int, floor: float):
 
 
 def key_rows(space, width: int, probes: int, slack: float):
-    """A mapInArrow function: id, a 128-bit key of the vector's direction, and the cells it asks, its home first."""
+    """A mapInArrow function: id, whether it asks, a 128-bit key of the vector's direction, and the cells it would ask, its home first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -251,77 +279,150 @@ def key_rows(space, width: int, probes: int, slack: float):
             if b.num_rows:
                 unit = units(b, width)
                 keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in unit]
-                cells = [[c for c in row if c >= 0] for row in route(s.project(unit), s.centres, probes, slack).tolist()]
-                yield pa.record_batch([b.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "key", "cells"])
+                cells = [[c for c in row if c >= 0] for row in s.cells(s.project(unit), probes, slack).tolist()]
+                yield pa.record_batch([b.column("id"), b.column("asks"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "asks", "key", "cells"])
 
     return run
 
 
-PLACED = "shard long, id long, indexed boolean, asks boolean, v binary"
+def packed_rows(width: int):
+    """A mapInArrow function: embeddings as 16-bit steps, so that what is joined, written and shuffled is no longer than that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([b.column("id"), b.column("asks"), pa.array(pack16(units(b, width)), pa.binary())], names=["id", "asks", "v"])
+
+    return run
+
+
+def low_of(b: pa.RecordBatch, s: Space, width: int) -> np.ndarray:
+    return s.project(unpack16(b.column("v").to_pylist(), width)).astype(np.float32)
+
+
+def flags(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def place_rows(space, width: int, probes: int, slack: float):
-    """A mapInArrow function: a row for each shard that a vector is indexed in (the nearest) or asks."""
+def cell_sizes(space, width: int, probes: int, slack: float):
+    """A mapInArrow function: rows at home in a cell and rows that ask it, summed over a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Space = space.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            unit = units(b, width)
-            near = route(s.project(unit), s.centres, probes, slack)
-            asks = b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            row, k = np.nonzero((near >= 0) & (asks[:, None] | (np.arange(near.shape[1]) == 0)))
-            v = pack16(unit)
-            yield pa.record_batch(
-                [pa.array(near[row, k], pa.int64()), b.column("id").take(pa.array(row)), pa.array(k == 0), pa.array(asks[row]), pa.array([v[r] for r in row], pa.binary())],
-                names=["shard", "id", "indexed", "asks", "v"],
-            )
+            if b.num_rows:
+                near = s.cells(low_of(b, s, width), probes, slack)
+                asked = np.where(flags(b)[:, None], near, -1)
+                home, asked = (np.unique(x[x >= 0], return_counts=True) for x in (near[:, 0], asked))
+                shard = np.concatenate([home[0], asked[0]])
+                zero = [np.zeros(len(x[0]), np.int64) for x in (home, asked)]
+                yield pa.record_batch([pa.array(shard, pa.int64()), pa.array(np.concatenate([home[1], zero[1]])), pa.array(np.concatenate([zero[0], asked[1]]))], names=["shard", "home", "asked"])
 
     return run
 
 
-def refine(placed: DataFrame, large: DataFrame, space, width: int, shard: int, split: int, probes: int, slack: float) -> DataFrame:
-    """``placed`` with the rows of ``large`` shards (shard, n) moved to shards of about ``shard`` rows, by centres that Spark fits on a bounded
-    sample of each (at most CENTROIDS of them, PER_CENTRE rows a centre). Cells are cut to slices of SLICE rows for the routing, so no task
-    holds a cell. Shards that are still too large come again; after ROUNDS a shard is cut by hash and asked in all its parts, which is exact."""
+def sums(df: DataFrame) -> dict[int, tuple[int, int]]:
+    """(shard, home, asked) summed by shard, on the driver: a row for about ``SHARD`` vectors."""
+    got = df.groupBy("shard").agg(F.sum("home"), F.sum("asked")).toArrow().to_pydict()
+    shard, home, asked = got.values()
+    return {k: (h, a) for k, h, a in zip(shard, home, asked)}
+
+
+def sample_cells(space, take: dict[int, int], width: int, probes: int, slack: float):
+    """A mapInArrow function: projected vectors at home in the cells of ``take``, one in as many as it says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Space = space.value
+        for b in batches:
+            if b.num_rows:
+                low = low_of(b, s, width)
+                home = s.cells(low, probes, slack)[:, 0]
+                every = np.array([take.get(c, 0) for c in home.tolist()], dtype=np.uint64)
+                row = np.flatnonzero((every > 0) & (mixed(b, 7) % np.maximum(every, np.uint64(1)) == 0))
+                yield pa.record_batch([pa.array(home[row], pa.int64()), pa.array([x.tobytes() for x in low[row]], pa.binary())], names=["shard", "low"])
+
+    return run
+
+
+def fit_cells(large: dict[int, tuple[int, int]]):
+    """An applyInPandas function: centres of the sample of a cell."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = int(pdf["shard"].iloc[0])
+        low = np.stack([np.frombuffer(x, dtype=np.float32) for x in pdf["low"]])
+        return pd.DataFrame({"shard": [cell], "centres": [np.unique(kmeans(low, large[cell][1]), axis=0).tobytes()]})
+
+    return run
+
+
+def refine(base: DataFrame, space, sizes: dict[int, tuple[int, int]], width: int, shard: int, split: int, probes: int, slack: float) -> tuple[object, dict[int, tuple[int, int]]]:
+    """The space with centres inside those cells that are home to more than ``split`` rows of ``base``, and the sizes of its cells.
+
+    Spark fits them on a bounded sample of each cell (at most CENTROIDS of them, PER_CENTRE rows a centre); only projected samples are shuffled
+    and no row moves. Cells that are still too large come again, ROUNDS times at most. All centres together, DIMS numbers for about ``shard``
+    vectors, are known to every task."""
+    spark = base.sparkSession
+    stuck: set[int] = set()
     for _ in range(ROUNDS):
-        plan = large.select("shard", F.least(F.lit(CENTROIDS), F.ceil(F.col("n") / shard)).cast("int").alias("k"), "n", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-        every = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("k") * PER_CENTRE)).cast("long"))
-        inside = placed.join(plan, "shard")
-        sample = inside.where(F.col("indexed") & (F.pmod(F.xxhash64("id", F.lit(7)), every) == 0)).select("shard", "k", "v")
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            low = space.value.project(unpack16(pdf["v"].tolist(), width)).astype(np.float32)
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "centres": [kmeans(low, int(pdf["k"].iloc[0])).tobytes()]})
-
-        def move(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows) or not len(centres):
-                return rows[[c.split()[0] for c in PLACED.split(", ")]]
-            low = space.value.project(unpack16(rows["v"].tolist(), width)).astype(np.float32)
-            at = np.frombuffer(centres["centres"].iloc[0], dtype=np.float32).reshape(-1, low.shape[1])
-            near = route(low, at, probes, slack)
-            own, asks = rows["indexed"].to_numpy(bool), rows["asks"].to_numpy(bool)
-            row, k = np.nonzero((near >= 0) & (asks[:, None] | (np.arange(near.shape[1]) == 0)))
-            out = rows.iloc[row]
-            salt = np.uint64(0x9E3779B97F4A7C15)
-            name = ((out["shard"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)) * salt + near[row, k].astype(np.uint64) + np.uint64(1)) * salt
-            return pd.DataFrame({"shard": name.view(np.int64), "id": out["id"].to_numpy(), "indexed": own[row] & (k == 0), "asks": asks[row], "v": out["v"].to_numpy()})
-
-        centres = materialize(sample.groupBy("shard").applyInPandas(fit, "shard long, centres binary"), "nn-centres")
-        slices = centres.join(plan, "shard").select("shard", "centres", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        rows = inside.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(9)), F.col("slices")).cast("int"))
-        moved = materialize(rows.groupBy("shard", "slice").cogroup(slices.groupBy("shard", "slice")).applyInPandas(move, PLACED), "nn-moved")
-        placed = placed.join(large.select("shard"), "shard", "left_anti").unionByName(moved)
-        large = materialize(moved.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > split), "nn-large")
-        if large.isEmpty():
-            return placed
-    parts = F.ceil(F.col("n") / split).cast("int")
-    cut = placed.join(large.select("shard", parts.alias("parts")), "shard")
-    mine = F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int")
-    cut = cut.withColumn("mine", mine).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
-    cut = cut.select(F.xxhash64("shard", "part").alias("shard"), "id", (F.col("indexed") & (F.col("part") == F.col("mine"))).alias("indexed"), "asks", "v")
-    return placed.join(large.select("shard"), "shard", "left_anti").unionByName(cut)
+        large = {c: (n, min(CENTROIDS, -(-n // shard))) for c, (n, _) in sizes.items() if n > split and c not in stuck}
+        if not large:
+            break
+        take = {c: max(1, n // (k * PER_CENTRE)) for c, (n, k) in large.items()}
+        got = base.mapInArrow(sample_cells(space, take, width, probes, slack), "shard long, low binary").groupBy("shard").applyInPandas(fit_cells(large), "shard long, centres binary").toArrow().to_pydict()
+        s: Space = space.value
+        inner, first = dict(s.inner), len(s.centres) + sum(len(x) for _, x in s.inner.values())
+        for c, x in sorted(zip(got["shard"], got["centres"])):
+            centres = np.frombuffer(x, dtype=np.float32).reshape(-1, s.axes.shape[1])
+            if len(centres) > 1:
+                inner[c] = first, centres
+                first += len(centres)
+        stuck |= large.keys() - inner.keys()
+        space = spark.sparkContext.broadcast(Space(s.mean, s.axes, s.centres, inner))
+        sizes = sums(base.mapInArrow(cell_sizes(space, width, probes, slack), "shard long, home long, asked long"))
+    return space, sizes
+
+
+def mixed(b: pa.RecordBatch, seed: int) -> np.ndarray:
+    """Hashes of the ids."""
+    x = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def shards_of(space: Space, sizes: dict[int, tuple[int, int]], split: int) -> tuple[np.ndarray, int, int]:
+    """Of each cell the number of its first shard, the parts that its vectors are cut to by hash and the parts of those that ask it; how many
+    shards there are, and how many entries. Every asking row meets every vector of the cell: it is compared in all parts of the vectors, and where
+    more than 2 * ``split`` rows ask, the vectors come once for each part of these."""
+    n = len(space.centres) + sum(len(x) for _, x in space.inner.values())
+    home, asked = np.array([sizes.get(c, (0, 0)) for c in range(n)], dtype=np.int64).T
+    p, t = np.maximum(1, -(-home // split)), np.maximum(1, -(-asked // (2 * split)))
+    return np.stack([np.cumsum(p * t) - p * t, p, t], axis=1), int((p * t).sum()), int((home * t + asked * p).sum())
+
+
+def shard_rows(space, plan, width: int, probes: int, slack: float):
+    """A mapInArrow function: the shards that a row is indexed in (of its home) or asks, each as 4 * its number, + 2 if it is indexed there, + 1 if it asks there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Space = space.value
+        first, p, t = plan.value.T.tolist()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = s.cells(low_of(b, s, width), probes, slack)
+            by_p, by_t, asks = mixed(b, 11).tolist(), mixed(b, 13).tolist(), flags(b).tolist()
+            out: list[dict[int, int]] = []
+            for cells, hp, ht, ask in zip(near.tolist(), by_p, by_t, asks):
+                c = cells[0]
+                to = {first[c] + hp % p[c] * t[c] + j: 2 for j in range(t[c])}
+                for c in cells if ask else ():
+                    for j in range(p[c] if c >= 0 else 0):
+                        x = first[c] + j * t[c] + ht % t[c]
+                        to[x] = to.get(x, 0) | 1
+                out.append(to)
+            yield pa.record_batch([b.column("id"), pa.array([[4 * x + y for x, y in o.items()] for o in out], pa.list_(pa.int64())), b.column("v")], names=["id", "shards", "v"])
+
+    return run
 
 
 def nearest(
@@ -334,9 +435,11 @@ def nearest(
     neighbours of similarity 1, on equal similarity by id, and are indexed once, so copies of one vector load no shard. A table with fewer
     than k + 1 usable rows gives shorter lists; an empty table gives no rows.
 
-    Plan: projection and centres from about SAMPLE vectors on the driver; keys and cells of all vectors in one pass; one shuffle of
-    16-bit vectors to shards, one graph a shard. A vector is indexed in its nearest shard and asks those whose centres are nearly as near.
-    Cells that the counted pass shows to be larger than ``split`` are refined by samples of their own before, so shards keep their size at any number of vectors.
+    Plan: projection and centres from about SAMPLE vectors on the driver; keys and cells of all vectors in one pass; vectors as 16-bit
+    steps are shuffled to shards, one graph a shard. A vector is indexed in its nearest shard and asks those whose centres are nearly as near, ``probes`` at most.
+    Cells that the counted pass shows to be home to more than ``split`` vectors are refined by samples of their own before, so shards keep their size at any number of vectors.
+    Where that comes to more than AT_ONCE entries a vector, vectors and their shards are written once and the shards are searched
+    in rounds, of which each frees its shuffle, so disk stays in proportion to the vectors however many shards each asks.
     """
     spark = chunks.sparkSession
     good = chunks.where(F.expr(usable(width)) & F.col("id").isNotNull())
@@ -348,25 +451,40 @@ def nearest(
         return spark.createDataFrame([], "id long, nb long, sim double, rank int")
     about = sample.num_rows * many
     space = spark.sparkContext.broadcast(fit_space(unpack16(sample.column("v").to_pylist(), width), about, shard, dims))
-    keys = materialize(good.select("id", "embedding").mapInArrow(key_rows(space, width, probes, slack), "id long, key binary, cells array<long>").dropDuplicates(["id", "key"]), "nn-keys")
-    one = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.min("cells").alias("cells"))
-    one = materialize(one, "nn-directions")
-    copies = materialize(keys.join(one.where("c > 1").select("key", "rep"), "key").select("id", "rep"), "nn-copies")
-    large = materialize(one.select(F.explode("cells").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > split), "nn-large")
     # a class of copies asks if one of its members does; its representative stands for it
     ask = F.coalesce(F.expr(asks), F.lit(False))
+    asking = good.select("id", "embedding", ask.alias("asks"))
+    keys = materialize(asking.mapInArrow(key_rows(space, width, probes, slack), "id long, asks boolean, key binary, cells array<long>").dropDuplicates(["id", "key"]), "nn-keys", free=True)
+    one = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.min("cells").alias("cells"), F.max("asks").alias("asks"))
+    one = materialize(one, "nn-directions", free=True)
+    copies = materialize(keys.join(one.where("c > 1").select("key", "rep"), "key").select("id", "rep"), "nn-copies", free=True)
     wanted = good.where(ask).select("id") if asks != "true" else None
-    rest = good.select("id", "embedding", ask.alias("asks")).join(copies.where("id <> rep").select("id"), "id", "left_anti")
+    # embeddings are packed before they are joined, as a join shuffles what it can't broadcast
+    rest = asking.mapInArrow(packed_rows(width), "id long, asks boolean, v binary").join(copies.where("id <> rep").select("id"), "id", "left_anti")
     if wanted is not None:
         heads_asking = copies.join(wanted, "id", "left_semi").select(F.col("rep").alias("id")).distinct().withColumn("also", F.lit(True))
-        rest = rest.join(heads_asking, "id", "left").withColumn("asks", F.coalesce("also", "asks")).drop("also")
-    placed = rest.mapInArrow(place_rows(space, width, probes, slack), PLACED)
-    if not large.isEmpty():
-        placed = refine(placed, large, space, width, shard, split, probes, slack)
-    # about a task for each shard, so that none gets many; the sums above say how many there are
-    tasks = max(spark.sparkContext.defaultParallelism, min(-(-about // shard), 32768))
-    found = placed.repartition(tasks, "shard").groupBy("shard").applyInPandas(search_shard(space, width, beam, k + 1, floor), "q long, nb long, sim double")
-    found = materialize(found, "nn-found")
+        rest = rest.join(heads_asking, "id", "left").select("id", F.coalesce("also", "asks").alias("asks"), "v")
+    sizes = sums(one.select(F.posexplode("cells").alias("k", "shard"), "asks").select("shard", F.when(F.col("k") == 0, 1).otherwise(0).alias("home"), F.col("asks").cast("int").alias("asked")))
+    base = None
+    if max(home for home, _ in sizes.values()) > split:
+        rest = base = materialize(rest, "nn-base", free=True)
+        space, sizes = refine(base, space, sizes, width, shard, split, probes, slack)
+    plan, tasks, rows = shards_of(space.value, sizes, split)
+    rounds = max(1, -(-rows // (AT_ONCE * max(1, sum(home for home, _ in sizes.values())))))
+    rest = rest.mapInArrow(shard_rows(space, spark.sparkContext.broadcast(plan), width, probes, slack), "id long, shards array<long>, v binary")
+    if rounds > 1:
+        rest = materialize(rest, "nn-rest", free=True)
+        if base is not None:
+            discard(base)
+    placed = rest.select("id", F.explode("shards").alias("s"), "v").select(F.expr("s div 4").alias("shard"), "id", F.expr("s & 2 = 2").alias("indexed"), F.expr("s & 1 = 1").alias("asks"), "v")
+    # about a task for each shard, so that none gets many
+    tasks = max(spark.sparkContext.defaultParallelism, min(-(-tasks // rounds), 32768))
+    search = search_shard(space, width, beam, k + 1, floor)
+    found = None
+    for r in range(rounds):
+        part = placed.where(F.expr(f"shard % {rounds} = {r}")).repartition(tasks, "shard").groupBy("shard").applyInPandas(search, "q long, nb long, sim double")
+        part = materialize(part, "nn-found", free=True)
+        found = part if found is None else found.unionByName(part)
     # members of a class beyond its k + 1 least ids are in no list
     by_rep = Window.partitionBy("rep").orderBy("id")
     heads = copies.withColumn("n", F.row_number().over(by_rep)).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("member"))

@@ -66,14 +66,35 @@ def _remove(jvm, conf, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors. See ``scratch_dir`` for how long it stays."""
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors. See ``scratch_dir`` for how long it stays.
+    ``free``: shuffle files of the step are removed when it is written, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE, None)
+    try:
+        if free:
+            spark.conf.set(FREE, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free and before is None:
+            spark.conf.unset(FREE)
+        elif free:
+            spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(step: DataFrame) -> None:
+    """Remove the files of a materialized step that no result is still to be read from."""
+    spark = step.sparkSession
+    for path in {f.rpartition("/")[0] for f in step.inputFiles()}:
+        if f"/{scratch_dir(spark).rpartition('/')[2]}/" in path:
+            _remove(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan of too few splits over the cores before costly per-row work; otherwise leave it alone."""
     spark = df.sparkSession
