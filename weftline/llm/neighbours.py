@@ -359,12 +359,12 @@ def refine(base: DataFrame, space, sizes: dict[int, tuple[int, int]], width: int
     """The space with centres inside those cells that are home to more than ``split`` rows of ``base``, and the sizes of its cells.
 
     Spark fits them on a bounded sample of each cell (at most CENTROIDS of them, PER_CENTRE rows a centre); only projected samples are shuffled
-    and no row moves. Cells that are still too large come again, ROUNDS times at most. All centres together, DIMS numbers for about ``shard``
-    vectors, are known to every task."""
+    and no row moves. Inner cells aim at half of ``split``, as vectors of a dense cell have their neighbours in many small ones. Cells that are
+    still too large come again, ROUNDS times at most. All centres together, DIMS numbers for about as many vectors, are known to every task."""
     spark = base.sparkSession
     stuck: set[int] = set()
     for _ in range(ROUNDS):
-        large = {c: (n, min(CENTROIDS, -(-n // shard))) for c, (n, _) in sizes.items() if n > split and c not in stuck}
+        large = {c: (n, min(CENTROIDS, -(-n // max(shard, split // 2)))) for c, (n, _) in sizes.items() if n > split and c not in stuck}
         if not large:
             break
         take = {c: max(1, n // (k * PER_CENTRE)) for c, (n, k) in large.items()}
